@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from .mixing import OP7_SQL, op7_mixing
 from .sharding import op3_hilbert
+from .token_records import op8_token_records
+from .warc import OP10_SQL, op10_warc
 
 
 def queries() -> dict:
     return {
         "op3_hilbert": op3_hilbert,
         "op7_mixing": op7_mixing,
+        "op8_token_records": op8_token_records,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op7_mixing": OP7_SQL, "op10_warc": OP10_SQL}
