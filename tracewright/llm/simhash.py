@@ -176,7 +176,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
         tails.select(F.col("with").alias("a"), F.col("tile").alias("b"), "print", F.lit(1).alias("side"))
     )
 
-    def match(key, group: pd.DataFrame) -> pd.DataFrame:
+    def match(key, group):
         side = group["side"].to_numpy()
         x = np.ascontiguousarray(group["print"].to_numpy()).view(np.uint64)
         x, y = x[side == 0], x[side == 1]
