@@ -21,3 +21,33 @@ def slices(batch: pa.RecordBatch, column: int, rows: int = 512, limit: int = 4 <
 
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def free_name(df, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_columns(df, column: str, make, names: list[str], types: list, rows: int = 512, limit: int = 4 << 20):
+    """df with computed columns behind its own. make() runs once for each task and returns a function
+    from a list of values of `column` to a list of columns (sequences as long)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
+
+    schema = StructType([*df.schema.fields, *[StructField(n, t) for n, t in zip(names, types, strict=True)]])
+    at = df.columns.index(column)
+    width = len(df.columns)
+
+    def run(batches):
+        kinds = [f.type for f in to_arrow_schema(StructType(schema.fields[width:]))]
+        work = make()
+        for batch in batches:
+            for part in slices(batch, at, rows, limit):
+                made = work(part.column(at).to_pylist())
+                arrays = [*part.columns, *[pa.array(c, k) for c, k in zip(made, kinds, strict=True)]]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from .audio import op9_audio
+from .decontamination import op4_decontamination
 from .mixing import OP7_SQL, op7_mixing
 from .sharding import op3_hilbert
 from .simhash import op1_simhash
 from .token_records import op8_token_records
+from .toxicity import op2_toxicity
 from .warc import OP10_SQL, op10_warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op2_toxicity": op2_toxicity,
         "op3_hilbert": op3_hilbert,
+        "op4_decontamination": op4_decontamination,
         "op7_mixing": op7_mixing,
         "op8_token_records": op8_token_records,
         "op9_audio": op9_audio,
