@@ -5,6 +5,7 @@ from __future__ import annotations
 from .audio import op9_audio
 from .decontamination import op4_decontamination
 from .mixing import OP7_SQL, op7_mixing
+from .quality import op6_quality
 from .sharding import op3_hilbert
 from .simhash import op1_simhash
 from .token_records import op8_token_records
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op2_toxicity": op2_toxicity,
         "op3_hilbert": op3_hilbert,
         "op4_decontamination": op4_decontamination,
+        "op6_quality": op6_quality,
         "op7_mixing": op7_mixing,
         "op8_token_records": op8_token_records,
         "op9_audio": op9_audio,
