@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .audio import op9_audio
+from .context_tree import op5_context_tree
 from .decontamination import op4_decontamination
 from .mixing import OP7_SQL, op7_mixing
 from .quality import op6_quality
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op2_toxicity": op2_toxicity,
         "op3_hilbert": op3_hilbert,
         "op4_decontamination": op4_decontamination,
+        "op5_context_tree": op5_context_tree,
         "op6_quality": op6_quality,
         "op7_mixing": op7_mixing,
         "op8_token_records": op8_token_records,
