@@ -81,6 +81,19 @@ def mix(documents: DataFrame, size, weights=WEIGHTS, max_epochs: int = MAX_EPOCH
     )
 
 
+def repeated(documents: DataFrame, size, **how) -> DataFrame:
+    """documents with every row as often as the mix takes it (its own columns alone).
+
+    Rows are matched by id and size; rows that share both repeat as often as the first of them.
+    """
+    columns = documents.columns
+    taken = mix(documents, size, **how).filter("copies > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source_key").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
+    source = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
+    met = documents.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (source == F.col("_source")) & (size == F.col("_size")))
+    return met.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(*columns)
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs, words_of(F.col("text"))).select(
