@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .files import Rolled, frame, frames, opened
 END_ID = 2
 ROLL_BYTES = 64 << 20
 #: Distinct chunks whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_200_000
 
 # Fixed value: how the byte-level vocabulary splits text before its merges.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -53,6 +54,10 @@ class Encoder:
 
     #: A space between a blank and another blank or the end.
     unsure = re.compile(r"\s (?=\s|\Z)|[\x1c-\x1f\x85]")
+    #: A space that may stand so: texts without it need no closer look.
+    led = ("  ", " \n", " \t", " \r")
+    #: UTF-8 bytes of rare blanks and controls.
+    rare = np.isin(np.arange(256), [*range(0x0B, 0x0D), *range(0x1C, 0x20), 0xC2])
 
     def __init__(self, path: str):
         import json
@@ -63,6 +68,10 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
+        #: Ids whose bytes begin with a space, so that they begin a word.
+        self.leads = np.zeros(self.model.get_vocab_size(), dtype=bool)
+        self.leads[[i for token, i in self.model.get_vocab().items() if token[0] == "\u0120"]] = True
+        self.code = "H" if self.width == 2 else "I"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
@@ -73,46 +82,81 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """The ids of new pieces. Words led by a space are encoded many in one text, as the splitter parts them again."""
+        led = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        rest = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+        for a in range(0, len(led), 512 * 64):
+            groups = [led[b : b + 512] for b in range(a, min(a + 512 * 64, len(led)), 512)]
+            for group, e in zip(groups, self.model.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = array(self.code, e.ids)
+                stops = np.append(np.flatnonzero(self.leads[np.frombuffer(ids, dtype=self.kind)])[1:], len(ids)) * self.width
+                if len(stops) != len(group):
+                    self.known.update(zip(group, self._ids(group), strict=True))
+                    continue
+                raw, start = ids.tobytes(), 0
+                for p, stop in zip(group, stops.tolist(), strict=True):
+                    self.known[p] = raw[start:stop]
+                    start = stop
+        for a in range(0, len(rest), 20_000):
+            self.known.update(zip(rest[a : a + 20_000], self._ids(rest[a : a + 20_000]), strict=True))
 
     def _sure(self, text: str) -> bool:
+        if not self.splits or any(s in text for s in self.special):
+            return False
+        look = text[-1] == " " or any(x in text for x in self.led)
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        return bool(self.splits and (not len(raw) or raw.max() <= 0xC9) and not self.unsure.search(text) and not any(s in text for s in self.special))
+        if raw.max() > 0xC9:
+            return False
+        return not (look or self.rare[raw].any()) or not self.unsure.search(text)
+
+    def _cut(self, chunk: str) -> list[str]:
+        """The pieces of a chunk (with its space): mostly a word, or one with a mark behind it."""
+        word = chunk[1:]
+        if word.isalpha():
+            return [chunk]
+        if word[:-1].isalpha() and word[-1] in ",.;:!?":
+            return [chunk[:-1], word[-1]]
+        return self.pieces(chunk)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > REMEMBERED or len(self.known) > REMEMBERED:
-            self.chunks, self.known = {}, {}
-        chunks, known, plans, odd, firsts = self.chunks, self.known, [], [], []
+        if len(self.chunks) > REMEMBERED:
+            self.chunks = {}
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        chunks, known, plans, odd = self.chunks, self.known, [], []
         new: dict[str, None] = {}
+        heads: dict[str, list[str]] = {}
         for at, text in enumerate(texts):
             if not text:
-                plans.append([])
+                plans.append(("", [], [], []))
             elif self._sure(text):
-                plan = text.split(" ")
-                new.update(dict.fromkeys(set(plan[1:]).difference(chunks)))
-                firsts.append(plan[0])
-                plans.append(plan)
+                head, *rest = text.split(" ")
+                if head not in heads:
+                    heads[head] = self.pieces(head)
+                found = list(map(chunks.get, rest))
+                missing = [i for i, x in enumerate(found) if x is None] if None in found else []
+                new.update(dict.fromkeys([rest[i] for i in missing]))
+                plans.append((head, rest, found, missing))
             else:
                 odd.append(at)
                 plans.append(None)
-        cut = {x: self.pieces(" " + x) for x in new}
-        heads = {x: self.pieces(x) for x in firsts}
-        unknown = list(dict.fromkeys(p for ps in (*cut.values(), *heads.values()) for p in ps if p not in known))
-        for a in range(0, len(unknown), 20_000):
-            part = unknown[a : a + 20_000]
-            known.update(zip(part, self._ids(part), strict=True))
+        cut = {x: self._cut(" " + x) for x in new}
+        self._learn(list(dict.fromkeys(p for ps in (*cut.values(), *heads.values()) for p in ps if p not in known)))
         for x, ps in cut.items():
             chunks[x] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
         whole = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True)) if odd else {}
-        get = chunks.__getitem__
         out = []
         for i, plan in enumerate(plans):
             if plan is None:
                 out.append(whole[i])
-            elif not plan:
-                out.append(b"")
-            else:
-                out.append(b"".join([*(known[p] for p in heads[plan[0]]), *map(get, plan[1:])]))
+                continue
+            head, rest, found, missing = plan
+            for k in missing:
+                found[k] = chunks[rest[k]]
+            out.append(b"".join([known[p] for p in heads[head]] + found) if head or found else b"")
         return out
 
 
