@@ -23,13 +23,13 @@ MIN_SEGMENTS = 3
 _CUT = "\u0001"
 
 
-def segments(text: Column, cues: str = SHIFT_CUES, min_chars: int = MIN_SEGMENT_CHARS) -> Column:
+def segments(text: Column, cues: str = SHIFT_CUES, min_chars: int = MIN_SEGMENT_CHARS, boundary: str = r"\b") -> Column:
     """pieces of a trace between cues, trimmed; short pieces are dropped. A cue counts at the start
     or behind . ! ? or a line end. A trace without one is a single piece if it is long enough.
 
     A trailing comma in a cue needs a word character behind it ("no,that" is a cue, "no, that" isn't).
     """
-    marked = F.regexp_replace(text, rf"(?i)(^|[.!?\n])(\s*(?:{cues})\b)", f"$1{_CUT}$2")
+    marked = F.regexp_replace(text, rf"(?i)(^|[.!?\n])(\s*(?:{cues}){boundary})", f"$1{_CUT}$2")
     pieces = F.transform(F.split(marked, _CUT), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
     whole = F.when(F.length(text) >= min_chars, F.array(text)).otherwise(F.array().cast("array<string>"))
     return F.when(marked.contains(_CUT), F.filter(pieces, lambda s: F.length(s) >= min_chars)).otherwise(whole)
@@ -69,7 +69,7 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 def final_answer(text: Column) -> Column:
     """the last flat boxed payload, else the last line that isn't blank, else empty."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), F.trim), lambda x: F.length(x) > 0)
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda v: F.trim(v)), lambda x: F.length(x) > 0)
     return F.coalesce(F.trim(last_match(text, r"\\boxed\{([^{}]*)\}")), F.try_element_at(lines, F.lit(-1)), F.lit(""))
 
 
