@@ -7,8 +7,9 @@ spanning forest of the links it found, so a group of n near copies gives n - 1 l
 and not n^2. Tile pairs whose population counts differ by more than the radius are not made. The
 classes are the connected components of the links, found in rounds on the cluster.
 
-The comparison is exact and so quadratic in the number of distinct fingerprints; the number of
-tiles is bounded (a tile grows with the table beyond MAX_TILES x TILE fingerprints).
+The comparison is exact and so quadratic in the number of distinct fingerprints. What is shuffled is
+not, while a tile holds at most TILE fingerprints: the table is cut into about TILES tiles whatever its
+size, so each fingerprint goes to at most that many tasks.
 
 Cases. Null text is empty: fingerprint zero, linked like any other; rows with a null id belong to
 classes but never name them (a class without ids has a null name); repeated rows share their class;
@@ -30,60 +31,71 @@ from .common import stage
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-TILE = 16_384
-MAX_TILES = 256
+TILES, TILE = 24, 1 << 20
 
 
-def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
-    """XXH64 of every shingle of lower-cased words; of the whole sequence if it is shorter."""
+def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED, once: bool = False) -> list[int]:
+    """XXH64 of every shingle of lower-cased words; of the whole sequence if it is shorter. once: repeats count once."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return []
     joined = b" ".join(words)
     if len(words) <= size:
-        return [xxhash.xxh64_intdigest(joined, SEED)]
+        return [xxhash.xxh64_intdigest(joined, seed)]
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[: len(words) - size].tolist()]
     stops = (ends[size - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
+    hashes = [digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)]
+    return list(set(hashes)) if once else hashes
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """As an unsigned integer: the bits set in over half the hashes."""
-    hashes = shingle_hashes(text, size)
-    if not hashes:
-        return 0
-    votes = np.zeros(64, dtype=np.int64)
-    cells = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
-    for a in range(0, len(cells), 4096):
-        votes += np.unpackbits(cells[a : a + 4096], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
-
-
-PRINTS = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
+#: Odd factors that make further independent words of a fingerprint from one hash.
+_FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def fingerprints(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint as a signed 64-bit integer."""
+def fingerprint(text: str | None, size: int = SHINGLE, parts: int = 1, once: bool = False) -> list[int]:
+    """`parts` unsigned 64-bit words: the bits set in over half the hashes. Later words mix the hashes anew."""
+    hashes = shingle_hashes(text, size, once=once)
+    if not hashes:
+        return [0] * parts
+    every = np.array(hashes, dtype=np.uint64)
+    out = []
+    for k in range(parts):
+        mixed = every
+        if k:
+            mixed = every * np.uint64(_FACTORS[k])
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(_FACTORS[1])
+            mixed = mixed ^ (mixed >> np.uint64(29))
+        cells = mixed.astype(">u8").view(np.uint8).reshape(-1, 8)
+        votes = np.zeros(64, dtype=np.int64)
+        for a in range(0, len(cells), 4096):
+            votes += np.unpackbits(cells[a : a + 4096], axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big"))
+    return out
+
+
+def fingerprints(documents: DataFrame, size: int = SHINGLE, parts: int = 1, once: bool = False) -> DataFrame:
+    """doc_id and the fingerprint's words as signed integers print0, print1, ..."""
+    schema = pa.schema([("doc_id", pa.int64()), *[(f"print{k}", pa.int64()) for k in range(parts)]])
 
     def build(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                prints = np.array([fingerprint(t, size) for t in part.column(1).to_pylist()], dtype=np.uint64)
-                yield record_batch(PRINTS, part.column(0), prints.view(np.int64))
+                prints = np.array([fingerprint(t, size, parts, once) for t in part.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+                yield record_batch(schema, part.column(0), *prints.T)
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(build, "doc_id long, print long")
+    return texts.mapInArrow(build, "doc_id long" + "".join(f", print{k} long" for k in range(parts)))
 
 
-def tiles_for(counts: dict[int, int], radius: int, tile: int = TILE) -> list[tuple[int, int, int, int]]:
-    """(population count, first tile, tiles, 0) of a plan: counts are packed or cut to about `tile` rows.
+def tiles_for(counts: dict[int, int], radius: int, tiles: int = TILES) -> list[tuple[int, int, int, int]]:
+    """(population count, first tile, tiles, reach) of a plan: counts are packed or cut into about `tiles` tiles.
 
     Tiles are numbered in the order of their population counts, so the tiles within reach of one
-    are neighbours by number: the last field becomes the last tile in reach.
+    are neighbours by number: reach is the last of them.
     """
-    size = max(tile, -(-sum(counts.values()) // MAX_TILES))
+    size = min(TILE, max(1, -(-sum(counts.values()) // tiles)))
     plan, number, room = [], -1, 0
     low: list[int] = []
     for bits in sorted(counts):
@@ -129,63 +141,70 @@ def forest(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return links
 
 
-def compare(prints: np.ndarray, second: np.ndarray | None, radius: int, rows: int = 128, columns: int = 4096) -> list[tuple[int, int]]:
-    """Links (indexes into prints, then into second behind them) that span what the tiles' matches connect."""
+def compare(prints: np.ndarray, second: np.ndarray | None, radius: int, first_radius: int, rows: int = 128, columns: int = 4096) -> list[tuple[int, int]]:
+    """Links (indexes into prints, then into second behind them) that span what the tiles' matches connect.
+
+    prints: (n, words). Pairs within first_radius by the first word, and not yet connected, are compared whole.
+    """
     own = second is None
     every = prints if own else np.concatenate([prints, second])
-    bits = np.bitwise_count(every).astype(np.int16)
+    head = np.ascontiguousarray(every[:, 0])
+    bits = np.bitwise_count(head).astype(np.int16)
     first = np.argsort(bits[: len(prints)], kind="stable")
     other = first if own else len(prints) + np.argsort(bits[len(prints) :], kind="stable")
     labels, links = np.arange(len(every)), []
     for a in range(0, len(first), rows):
         i = first[a : a + rows]
-        x = every[i][:, None]
+        x = head[i][:, None]
         for b in range(a // columns * columns if own else 0, len(other), columns):
             j = other[b : b + columns]
-            if bits[j[0]] > bits[i[-1]] + radius or bits[j[-1]] < bits[i[0]] - radius:
+            if bits[j[0]] > bits[i[-1]] + first_radius or bits[j[-1]] < bits[i[0]] - first_radius:
                 continue
-            near = np.bitwise_count(x ^ every[j]) <= radius
-            p, q = np.nonzero(near)
+            p, q = np.nonzero(np.bitwise_count(x ^ head[j]) <= first_radius)
+            p, q = i[p], j[q]
+            if every.shape[1] > 1 and len(p):
+                apart = labels[p] != labels[q]
+                p, q = p[apart], q[apart]
+                near = np.bitwise_count(every[p] ^ every[q]).sum(axis=1) <= radius
+                p, q = p[near], q[near]
             if len(p):
-                links += forest(labels, i[p], j[q])
+                links += forest(labels, p, q)
     return links
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Pairs of fingerprints (a, b) within the radius whose components are those of all such pairs.
+def links(prints: DataFrame, radius: int = RADIUS, first_radius: int | None = None, tiles: int = TILES) -> DataFrame:
+    """Pairs of nodes (a, b) within the radius whose components are those of all such pairs.
 
-    prints: distinct fingerprints in column `print`.
+    prints: distinct fingerprints with a number `node`. first_radius bounds the distance of the first words.
     """
     spark = prints.sparkSession
-    counted = prints.groupBy(F.bit_count("print").alias("bits")).count().collect()  # 65 rows at most
-    plan = tiles_for({r["bits"]: r["count"] for r in counted}, radius, tile)
+    words = [c for c in prints.columns if c.startswith("print")]
+    near = radius if first_radius is None else first_radius
+    counted = prints.groupBy(F.bit_count("print0").alias("bits")).count().collect()  # 65 rows at most
+    plan = tiles_for({r["bits"]: r["count"] for r in counted}, near, tiles)
     table = spark.createDataFrame(plan or [(0, 0, 1, 0)], "bits int, first int, cut int, reach int")
     dealt = (
-        prints.withColumn("bits", F.bit_count("print"))
+        prints.withColumn("bits", F.bit_count("print0"))
         .join(F.broadcast(table), "bits")
-        .withColumn("tile", F.col("first") + F.pmod(F.xxhash64("print"), F.col("cut")).cast("int"))
+        .withColumn("tile", F.col("first") + F.pmod(F.xxhash64(*words), F.col("cut")).cast("int"))
     )
     # a tile meets itself and the later ones in its reach; each later one is met by all whose reach it is in
-    heads = dealt.select("print", "tile", F.explode(F.sequence("tile", "reach")).alias("with"))
-    spans = table.groupBy().agg(F.array_distinct(F.flatten(F.collect_list(F.transform(F.sequence(F.col("first"), F.col("first") + F.col("cut") - 1), lambda t: F.struct(t.alias("tile"), F.col("reach").alias("reach")))))).alias("spans"))
-    tails = (
-        dealt.crossJoin(F.broadcast(spans))
-        .select("print", "tile", F.explode(F.filter("spans", lambda s: (s["tile"] < F.col("tile")) & (s["reach"] >= F.col("tile")))["tile"]).alias("with"))
-    )
-    pairs = heads.select(F.col("tile").alias("a"), F.col("with").alias("b"), "print", F.lit(0).alias("side")).unionByName(
-        tails.select(F.col("with").alias("a"), F.col("tile").alias("b"), "print", F.lit(1).alias("side"))
-    )
+    heads = dealt.select(F.col("tile").alias("a"), F.explode(F.sequence("tile", "reach")).alias("b"), "node", *words, F.lit(0).alias("side"))
+    each = F.transform(F.sequence(F.col("first"), F.col("first") + F.col("cut") - 1), lambda t: F.struct(t.alias("tile"), F.col("reach").alias("reach")))
+    spans = table.groupBy().agg(F.array_distinct(F.flatten(F.collect_list(each))).alias("spans"))
+    before = F.filter("spans", lambda s: (s["tile"] < F.col("tile")) & (s["reach"] >= F.col("tile")))["tile"]
+    tails = dealt.crossJoin(F.broadcast(spans)).select(F.explode(before).alias("a"), F.col("tile").alias("b"), "node", *words, F.lit(1).alias("side"))
 
     def match(key, group):
-        side = group["side"].to_numpy()
-        x = np.ascontiguousarray(group["print"].to_numpy()).view(np.uint64)
-        x, y = x[side == 0], x[side == 1]
-        found = compare(x, None if key[0] == key[1] else y, radius) if len(x) and (len(y) or key[0] == key[1]) else []
-        every = np.concatenate([x, y]).view(np.int64)
-        return pd.DataFrame({"a": every[[i for i, _ in found]], "b": every[[j for _, j in found]]}, dtype="int64")
+        side, node = group["side"].to_numpy(), group["node"].to_numpy()
+        cells = np.ascontiguousarray(group[words].to_numpy()).view(np.uint64)
+        order = np.concatenate([np.flatnonzero(side == 0), np.flatnonzero(side == 1)])
+        n, cells, node = int((side == 0).sum()), cells[order], node[order]
+        alone = key[0] == key[1]
+        found = compare(cells[:n], None if alone else cells[n:], radius, near) if n and (alone or n < len(cells)) else []
+        return pd.DataFrame({"a": node[[i for i, _ in found]], "b": node[[j for _, j in found]]}, dtype="int64")
 
-    # a tile with itself needs its rows once
-    return pairs.groupBy("a", "b").applyInPandas(match, "a long, b long")
+    return heads.unionByName(tails).groupBy("a", "b").applyInPandas(match, "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
@@ -211,17 +230,31 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(documents: DataFrame, size: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """doc_id, print (signed) and component_id: the least doc_id that the document reaches."""
-    prints = stage(fingerprints(documents, size), "prints")
-    distinct = stage(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "prints-distinct")
-    roots = components(links(distinct.select("print"), radius, tile), "print-links")
-    joined = distinct.join(roots, distinct["print"] == roots["node"]).select("print", "least", "root")
+def near_duplicates(documents: DataFrame, size: int = SHINGLE, radius: int = RADIUS, parts: int = 1, first_radius: int | None = None, once: bool = False, tiles: int = TILES) -> DataFrame:
+    """doc_id, the fingerprint's words (signed) and component_id: the least doc_id that the document reaches."""
+    words = [f"print{k}" for k in range(parts)]
+    prints = stage(fingerprints(documents, size, parts, once), "prints")
+    distinct = prints.groupBy(*words).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    distinct = stage(distinct, "prints-distinct")
+    roots = components(links(distinct.drop("least"), radius, first_radius, tiles), "print-links").withColumnRenamed("node", "_node")
+    joined = distinct.join(roots, F.col("node") == F.col("_node")).select("node", "least", "root")
     names = joined.groupBy("root").agg(F.min("least").alias("name"))
-    named = distinct.join(joined.join(names, "root").select("print", "name"), "print", "left").select("print", F.coalesce("name", "least").alias("component_id"))
-    return prints.join(named, "print").select("doc_id", "print", "component_id")
+    named = distinct.join(joined.join(names, "root").select("node", "name"), "node", "left").select(*words, F.coalesce("name", "least").alias("component_id"))
+    return prints.join(named, words).select("doc_id", *words, "component_id")
+
+
+#: For copies with a similarity of 0.8 or more on sets of five words: 256 bits, which such texts share but for
+#: 39 +- 6 (and unlike ones but for 128 +- 8); of the first 64 they differ in 10 +- 3.
+SIMILAR = {"size": 5, "radius": 44, "parts": 4, "first_radius": 20, "once": True}
+
+
+def one_of_each(documents: DataFrame, **how) -> DataFrame:
+    """documents without near copies: of each class the rows with its least doc_id stay, and rows without an id."""
+    found = near_duplicates(documents.filter("doc_id IS NOT NULL"), **(how or SIMILAR))
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return documents.join(gone, documents["doc_id"].cast("long") == gone["_gone"], "left_anti").select(*documents.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("print0")), 16, "0").alias("fingerprint"), "component_id")
