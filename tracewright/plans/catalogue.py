@@ -129,7 +129,7 @@ def paired_bootstrap(spark, d):
     s AS (SELECT b, CAST('0x' || substr(md5('11|' || b || '|' || i), 1, 8) AS BIGINT) % n AS pos
       FROM (SELECT unnest(range(100)) AS b), (SELECT count(*) AS n FROM p), range((SELECT count(*) FROM p)) r(i) WHERE n >= 30),
     g AS (SELECT b, avg(v) FILTER (f) - avg(v) FILTER (NOT f) AS mean FROM s JOIN p USING (pos) GROUP BY b)
-    SELECT (SELECT avg(v) FILTER (f) - avg(v) FILTER (NOT f) FROM p) AS difference, (SELECT quantile_cont(mean, 0.025) FROM g WHERE mean IS NOT NULL) AS ci95_low,
+    SELECT (SELECT CASE WHEN count(*) >= 30 THEN avg(v) FILTER (f) - avg(v) FILTER (NOT f) END FROM p) AS difference, (SELECT quantile_cont(mean, 0.025) FROM g WHERE mean IS NOT NULL) AS ci95_low,
       (SELECT quantile_cont(mean, 0.975) FROM g WHERE mean IS NOT NULL) AS ci95_high"""
 )
 def mediation_bootstrap(spark, d):
@@ -250,7 +250,7 @@ def pooled_fixed_effects(spark, d):
     """WITH g AS (SELECT user_id, avg(value) FILTER (event_type = 'click') AS y, avg(value) FILTER (event_type <> 'click') AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1),
     p AS (SELECT count(y - n) AS n_groups, count(*) FILTER (y IS NOT NULL AND n IS NULL) AS all_correct, count(*) FILTER (y IS NULL AND n IS NOT NULL) AS all_incorrect,
       avg(y - n) AS difference, 1.96 * stddev_samp(y - n) / sqrt(greatest(count(y - n), 1)) AS h FROM g)
-    SELECT n_groups, all_correct, all_incorrect, difference, difference - h AS ci95_low, difference + h AS ci95_high FROM p"""
+    SELECT n_groups, all_correct, all_incorrect, CASE WHEN n_groups >= 30 THEN difference END AS difference, CASE WHEN n_groups >= 30 THEN difference - h END AS ci95_low, CASE WHEN n_groups >= 30 THEN difference + h END AS ci95_high FROM p"""
 )
 def within_group_paired(spark, d):
     rows = attempts(spark, d).filter("condition IN ('click', 'view')").withColumn("f", F.col("condition") == "click")
@@ -389,10 +389,10 @@ def train_val_split(spark, d):
 
 @query(
     """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('9|' || doc_id), doc_id) - 1 AS pos FROM labels)
-    SELECT doc_id, CASE WHEN pos < 80 THEN 'train' ELSE 'val' END AS split FROM r WHERE pos < 100"""
+    SELECT doc_id, CASE WHEN pos < 40 THEN 'train' ELSE 'val' END AS split FROM r WHERE pos < 60"""
 )
 def fixed_split(spark, d):
-    return sampling.train_val_split(table(spark, d, "labels").select("doc_id"), "doc_id", train=80, val=20, seed=9)
+    return sampling.train_val_split(table(spark, d, "labels").select("doc_id"), "doc_id", train=40, val=20, seed=9)
 
 
 @query(

@@ -78,7 +78,7 @@ def run_summaries(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
 
 def log_traces(spark: SparkSession, path) -> DataFrame:
     """The traces of whole logs, with their place in the file."""
-    logs = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    logs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     return logs.select("file", F.posexplode(text.log_traces(F.col("value"))).alias("pos", "trace"))
 
 
