@@ -142,7 +142,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
         small = y < 8
         shift[small] += np.log(y[small])
         y[small] += 1
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
 
 
 def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:

@@ -31,8 +31,9 @@ from .learning import fit_logistic, held_out, labelled_sample, logistic
 #: Labelled documents that are learned from, at most.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 3000, 6000
 SHORTEST, LONGEST = 4, 14
-#: Log-likelihood ratio and log odds that an entry needs; the lexicon's largest size.
-EVIDENCE, WEIGHT, ENTRIES = 20.0, 2.0, 2000
+#: Log odds that an entry needs, and the lexicon's largest size. The log-likelihood ratio that it needs grows with the
+#: logarithm of the candidates, as chance finds do.
+WEIGHT, ENTRIES = 2.0, 2000
 THRESHOLD = 0.3
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
@@ -199,13 +200,14 @@ def choose(toxic: dict, clean: dict, toxic_size: tuple[int, int], clean_size: tu
     """Entries and weights. toxic, clean: documents and times of each beginning; sizes: documents and words. Of beginnings with the same documents the longest stays; one that a
     shorter entry begins, and weighs no more, adds nothing."""
     strong = {}
+    least = 2 * np.log(max(2, len(toxic)))
     n_toxic, n_clean = toxic_size[0], clean_size[0]
     for k, (a, times) in toxic.items():
         b, clean_times = clean.get(k, (0, 0))
         weight = np.log((times + 0.5) / (toxic_size[1] + 1)) - np.log((clean_times + 0.5) / (clean_size[1] + 1))
         share = (a + b) / (n_toxic + n_clean)
         evidence = 2 * (a * np.log(a / (share * n_toxic)) + (b * np.log(b / (share * n_clean)) if b else 0))
-        if weight >= WEIGHT and evidence >= EVIDENCE:
+        if weight >= WEIGHT and evidence >= least:
             strong[k] = (float(weight), a)
     longest = _longest(strong)
     out: dict[str, float] = {}
