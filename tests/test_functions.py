@@ -145,6 +145,15 @@ def test_empty_tags_earn_the_paper_reward_only(spark):
     assert (r["paper"], r["attempt"], r["shaped"]) == (0.1, 0.0, 0.0)
 
 
+def test_rewards_at_once_equal_single_ones(spark):
+    tries = ["<think>x</think><answer>50 + 2 + 1</answer>", "<think>x</think><answer>1</answer>", "<think1>x</think1><group_solution>50 * 2 * 1</group_solution>", "", None]
+    df = spark.createDataFrame([(t, 53, [50, 2, 1]) for t in tries], "c string, t int, n array<int>")
+    args = (F.col("c"), F.col("t"), F.col("n"))
+    once = rewards.with_rewards(df, *args).select(*rewards.SHAPES).collect()
+    each = df.select(*[rewards.countdown_reward(*args, shape=s).alias(s) for s in rewards.SHAPES]).collect()
+    assert [tuple(r) for r in once[:4]] == [tuple(r) for r in each[:4]]
+
+
 # --- text -----------------------------------------------------------------------------------
 
 CUE_BEFORE = re.compile(rf"(?:^|(?<=[.!?\n]))\s*(?:{text.SHIFT_CUES})\b", re.I)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grading
@@ -59,3 +59,20 @@ def countdown_reward(text: Column, target: Column, nums: Column, shape: str = "a
         return shaped_reward(text, target, nums)
     extra = attempt_reward(text, nums, strict) if shape == "attempt" else format_reward(text, strict)
     return 0.9 * accuracy_reward(text, target, nums) + 0.1 * extra
+
+
+def with_rewards(df: DataFrame, text: Column, target: Column, nums: Column, strict: bool = False) -> DataFrame:
+    """df with the reward in every shape (F36-F39) and `accuracy`; the equation is found and evaluated once."""
+    rows = grading.with_equation(df, with_answer_container(text), target, nums, "_equation")
+    accuracy = F.col("_equation.correct").cast("double")
+    skeleton = _skeleton(text, strict)
+    value = F.col("_equation.value")
+    near = F.greatest(F.lit(0.0), 1 - F.abs(value - target) / F.greatest(F.abs(target), F.lit(1)))
+    return rows.withColumns(
+        {
+            "accuracy": accuracy,
+            "attempt": 0.9 * accuracy + 0.1 * (skeleton & F.col("_equation.sound")).cast("double"),
+            "paper": 0.9 * accuracy + 0.1 * skeleton.cast("double"),
+            "shaped": F.when(F.col("_equation.correct"), 1.0).when(value.isNotNull(), 0.1 * near).otherwise(0.0),
+        }
+    ).drop("_equation")

@@ -571,8 +571,8 @@ COUNTDOWN = "c AS (SELECT l_orderkey, l_linenumber, l_orderkey % 6 AS k, CAST(l_
     f"""WITH {COUNTDOWN} SELECT l_orderkey, l_linenumber, k IN (0, 1, 5) AS correct, k IN (0, 1, 2, 5) AS parsed FROM c"""
 )
 def countdown_grade(spark, d):
-    g = grading.grade_equation(F.col("completion"), F.col("target"), F.col("nums"))
-    return _countdown(spark, d).select("l_orderkey", "l_linenumber", g.alias("g")).select("l_orderkey", "l_linenumber", "g.correct", "g.parsed")
+    g = grading.with_equation(_countdown(spark, d), F.col("completion"), F.col("target"), F.col("nums"))
+    return g.select("l_orderkey", "l_linenumber", "equation.correct", "equation.parsed")
 
 
 @query(
@@ -581,9 +581,8 @@ def countdown_grade(spark, d):
     CAST(CASE WHEN ok THEN 1.0 WHEN k = 4 THEN CAST(0.1 AS DOUBLE) * greatest(0.0, 1 - abs(q * n - 7 - (q + n + 7)) / greatest(abs(q + n + 7), 1)) ELSE 0.0 END AS DOUBLE) AS shaped FROM r"""
 )
 def reward_shapes(spark, d):
-    args = (F.col("completion"), F.col("target"), F.col("nums"))
-    shapes = {s: rewards.countdown_reward(*args, shape=s) for s in rewards.SHAPES}
-    return _countdown(spark, d).select("l_orderkey", "l_linenumber", *[c.alias(s) for s, c in shapes.items()])
+    rows = rewards.with_rewards(_countdown(spark, d), F.col("completion"), F.col("target"), F.col("nums"))
+    return rows.select("l_orderkey", "l_linenumber", *rewards.SHAPES)
 
 
 @query(
