@@ -37,21 +37,30 @@ def balanced_sample(df: DataFrame, label: str, key: str, n: int, seed=0) -> Data
     return ranked(df.withColumn("_draw", draw(seed, key)), [label], ["_draw", key]).filter(F.col("rn") <= n).drop("_draw", "rn")
 
 
+#: Ranges that a table is numbered in, at most, and sampled keys for each.
+RANGES, SAMPLED = 512, 8
+
+
+def key_ranges(df: DataFrame, key: str) -> Column:
+    """Number of the range that a row's key is in: ranges of about equal size, in key order, as a function of the key alone
+    (so that every evaluation puts a row in the same one). The cuts come from a bounded sample, drawn by hash."""
+    width = min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sample = df.select(key).filter(F.col(key).isNotNull()).orderBy(draw("cuts", key)).limit(SAMPLED * width).collect()
+    cuts = sorted({r[0] for r in sample})[SAMPLED::SAMPLED]
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key)))
+
+
 def positions(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
-    """0-based places in key order. Ranges of the key are numbered apart and joined by their sizes, so no single
-    task sorts the table. key must be unique."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(width, key).withColumn("_part", F.spark_partition_id())
-    # the part of a row comes from the key's range alone; its least key orders the parts
-    bounds = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min(key).alias("_low"))
-    before = Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bounds.select(F.col("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_part").orderBy(key)
-    return (
-        dealt.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.row_number().over(inside) - 1 + F.col("_off"))
-        .drop("_part", "_off")
-    )
+    """0-based places in key order (null first). Ranges of the key are numbered apart and joined by their sizes, so no single
+    task sorts the table. Rows with equal keys are in one range, in any order."""
+    dealt = df.withColumn("_range", key_ranges(df, key))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_range").orderBy(key)
+    return dealt.join(F.broadcast(offsets), "_range").withColumn(name, F.row_number().over(inside) - 1 + F.col("_off")).drop("_range", "_off")
 
 
 def stride_shard(df: DataFrame, key: str, shards: int) -> DataFrame:
@@ -82,7 +91,7 @@ def train_val_split(df: DataFrame, key: str, fraction: int | None = 6, train: in
             raise ValueError(f"{have} rows are fewer than the {train} + {val or 0} that are asked for")
         split = F.when(F.col("pos") < train, "train").when(F.col("pos") < train + (val or 0), "val")
         return shuffled.withColumn("split", split).filter("split IS NOT NULL").drop("_draw", "pos")
-    n = F.broadcast(df.agg(F.count("*").alias("_n")))
+    n = F.broadcast(df.agg(F.count("*").alias("_n")))  # one row
     cut = F.greatest(F.lit(1), F.expr(f"_n div {fraction}"))
     return shuffled.crossJoin(n).withColumn("split", F.when(F.col("pos") < cut, "val").otherwise("train")).drop("_draw", "pos", "_n")
 
