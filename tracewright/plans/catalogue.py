@@ -628,6 +628,201 @@ def prompt_numbers(spark, d):
     return rows.select("doc_id", at(r"numbers (\[.*?\]),").alias("numbers"), at(r"equals (\d+)\.").cast("bigint").alias("target"))
 
 
+# --- more of the inventory --------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {TRACES} SELECT words % 4 / 4.0 AS alpha, count(*) AS n, count(*) FILTER (words < 50) AS single_voice, avg(words) AS words, avg(CAST(correct AS INT)) AS accuracy FROM t GROUP BY 1"""
+)
+def dose_summary(spark, d):
+    """A4"""
+    rows = traces(spark, d).withColumn("alpha", F.col("words") % 4 / 4.0)
+    return rows.groupBy("alpha").agg(F.count("*").alias("n"), F.count(F.when(F.col("words") < 50, 1)).alias("single_voice"), F.avg("words").alias("words"), stats.rate(F.col("correct")).alias("accuracy"))
+
+
+@query()
+def dose_matched(spark, d):
+    """J10, P11"""
+    rows = traces(spark, d).withColumn("alpha", F.col("doc_id") % 3 / 2.0)
+    return matching.matched_estimate(matching.dose_vs_baseline(rows, "doc_id", "alpha", "words", "n_chars", 0.5), "scope")
+
+
+@query(
+    f"""WITH {TRACES}, u AS (SELECT avg(words) FILTER (correct) - avg(words) FILTER (NOT correct) AS d, sqrt(var_samp(words) FILTER (correct) / count(*) FILTER (correct) + var_samp(words) FILTER (NOT correct) / count(*) FILTER (NOT correct)) AS se FROM t)
+    SELECT d AS unadjusted, CASE WHEN d - 1.96 * se > 0 THEN 'more' WHEN d + 1.96 * se < 0 THEN 'less' ELSE 'no difference' END AS verdict, 1 - abs(d / 4) / greatest(abs(d), 1e-12) AS shrinkage FROM u"""
+)
+def effect_verdict(spark, d):
+    """F40, F41"""
+    e = stats.welch(traces(spark, d), [], "correct", "words")
+    return e.select(F.col("difference").alias("unadjusted"), stats.verdict_of_ci(F.col("ci95_low"), F.col("ci95_high")).alias("verdict"), stats.shrinkage(F.col("difference") / 4, F.col("difference")).alias("shrinkage"))
+
+
+@query("SELECT l_returnflag, avg(l_quantity) AS mean, stddev_pop(l_quantity) AS std, quantile_cont(l_quantity, 0.05) AS p05, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.95) AS p95 FROM lineitem GROUP BY 1")
+def population_summary(spark, d):
+    """A29"""
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*stats.population_summary("l_quantity"))
+
+
+@query("SELECT event_type, avg(CAST(abs(value - 10) <= 0.5 OR abs(value - 20) <= 0.5 AS INT)) AS share FROM events GROUP BY 1")
+def near_reference_share(spark, d):
+    """A33, G7"""
+    return table(spark, d, "events").groupBy("event_type").agg(stats.near_reference_share(F.col("value"), [10.0, 20.0], 0.5).alias("share"))
+
+
+@query(
+    """WITH x AS (SELECT list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings)
+    SELECT 1 - sum(list_sum(list_transform(e, lambda v: (v - round(v, 1)) ** 2))) / sum(list_sum(list_transform(e, lambda v: v * v))) AS explained FROM x"""
+)
+def explained_variance(spark, d):
+    """A32"""
+    x = F.col("embedding").cast("array<double>")
+    rows = table(spark, d, "embeddings").select(x.alias("x"), F.transform(x, lambda v: F.round(v, 1)).alias("a"), F.transform(x, lambda v: v * 0).alias("m"))
+    return rows.agg(stats.explained_variance("x", "a", "m").alias("explained"))
+
+
+@query(
+    """SELECT count(*) FILTER (n_chars > 3000) AS truncated, count(*) FILTER (n_chars <= 3000 AND lang = 'es') AS empty, count(*) FILTER (n_chars <= 3000 AND lang <> 'es') AS kept FROM documents"""
+)
+def kept_trace_counts(spark, d):
+    """P6"""
+    rows = table(spark, d, "documents").select((F.col("n_chars") > 3000).alias("truncated"), F.when(F.col("lang") == "es", " ").otherwise(F.col("text")).alias("response"))
+    return corpus.kept_traces(rows)[1]
+
+
+@query("SELECT p_type, arg_max(p_partkey, p_retailprice) AS p_partkey, max(p_retailprice) AS p_retailprice FROM part GROUP BY 1")
+def argmax_by_type(spark, d):
+    """O17"""
+    return corpus.argmax(table(spark, d, "part"), ["p_type"], "p_partkey", "p_retailprice")
+
+
+@query("SELECT c_custkey AS pid, r_regionkey AS feature, CAST(i AS INT) AS sample FROM customer, region, range(3) s(i) WHERE c_custkey < 50")
+def condition_grid(spark, d):
+    """J16"""
+    problems = table(spark, d, "customer").filter("c_custkey < 50").select(F.col("c_custkey").alias("pid"))
+    return corpus.grid(problems, 3, table(spark, d, "region").select(F.col("r_regionkey").alias("feature"))).select("pid", "feature", "sample")
+
+
+@query("SELECT p_partkey AS index, CASE WHEN p_partkey < 64 THEN CAST(e.embedding[p_partkey + 1] AS DOUBLE) ELSE p_retailprice END AS max_act FROM part, (SELECT embedding FROM embeddings WHERE vec_id = 3) e")
+def calibration_overlay(spark, d):
+    """J2"""
+    features = table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("index"), F.col("p_retailprice").alias("max_act"), F.lit(0.5).alias("frac_nonzero"))
+    one = table(spark, d, "embeddings").filter("vec_id = 3").select(F.col("embedding").cast("array<double>").alias("max_act"), F.col("embedding").cast("array<double>").alias("frac_nonzero"))
+    return corpus.calibrated(features, one).select(F.col("index").cast("bigint").alias("index"), "max_act")
+
+
+@query("SELECT event_id // 1000 * 1000 AS step, avg(CAST(value > 10 AS INT)) AS val_accuracy, avg(CAST(value > 1 AS INT)) AS parse_rate, avg(value) AS mean_completion_tokens FROM events GROUP BY 1")
+def periodic_eval(spark, d):
+    """T-7"""
+    from ..streaming import metrics
+
+    rows = table(spark, d, "events").select(F.col("event_id").alias("step"), (F.col("value") > 10).alias("correct"), (F.col("value") > 1).alias("parsed"), F.col("value").alias("n_tokens"))
+    return metrics.periodic_eval(rows, 1000)
+
+
+@query("SELECT user_id AS step, arg_min(value, event_id) AS kl FROM events GROUP BY 1")
+def first_metric_by_step(spark, d):
+    """T-2 on a table: the first record of a step counts."""
+    from ..streaming import metrics
+
+    line = F.concat(F.lit("step:"), F.col("user_id").cast("string"), F.lit(" - kl:"), F.col("value").cast("string"))
+    rows = table(spark, d, "events").select("event_id", text.metric_line(line).alias("m")).select("event_id", "m.*")
+    return metrics.first_by_step(rows, ["event_id"]).select("step", F.col("metrics").getItem("kl").alias("kl"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '12' ELSE '7' END AS answer, o_orderstatus = 'O' AS changed, o_custkey >= 899 AS truncated FROM orders"""
+)
+def regraded(spark, d):
+    """F4, F29, F30"""
+    o = table(spark, d, "orders")
+    said = F.when(F.col("o_orderstatus") == "P", "so \\boxed{3} or \\boxed{12}").otherwise("long\n\n 7 \n")
+    flag = lambda c: F.struct(c.alias("correct"), F.lit(True).alias("parsed"))
+    return o.select(
+        "o_orderkey", text.final_answer(said).alias("answer"), grading.changed(flag(F.lit(True)), flag(F.col("o_orderstatus") != "O")).alias("changed"), grading.truncated(F.col("o_custkey"), 900).alias("truncated")
+    )
+
+
+@query(
+    """SELECT o_orderkey, '<think> step ' || o_custkey || ' then ' || o_orderstatus || E' </think>\n<group_solution>4</group_solution>' AS block,
+    '<group_consensus>' || o_custkey || E'</group_consensus>\n<answer>' || o_custkey || '</answer>' AS response FROM orders"""
+)
+def training_targets(spark, d):
+    """F17-F19"""
+    k, s = F.col("o_custkey").cast("string"), F.col("o_orderstatus")
+    talk = F.concat(F.lit("<cast_of_characters>x</cast_of_characters><conversation><think1>step "), k, F.lit("</think1>\n<!-- c --><think2>then  "), s, F.lit("</think2></conversation><group_solution>4</group_solution>"))
+    said = F.concat(F.lit("<group_consensus>"), k, F.lit("</group_consensus>"))
+    return table(spark, d, "orders").select("o_orderkey", text.one_think_block(talk).alias("block"), text.response_target(said).alias("response"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, [-100, -100, CAST(l_quantity AS INT), 0] AS labels, CASE WHEN l_tax > 0.04 THEN l_tax ELSE 0.0 END AS relu, l_tax * 3 AS steer FROM lineitem"""
+)
+def training_arrays(spark, d):
+    """F44, F46, F47"""
+    ids = F.array(F.col("l_orderkey").cast("int"), F.col("l_linenumber"), F.col("l_quantity").cast("int"))
+    rows = table(spark, d, "lineitem")
+    relu = corpus.jump_relu(F.array("l_tax"), F.array(F.lit(0.04)))
+    return rows.select("l_orderkey", "l_linenumber", text.masked_labels(ids, F.lit(2), 8, 0).alias("labels"), relu[0].alias("relu"), corpus.steering_vector(F.array("l_tax"), F.lit(3.0))[0].alias("steer"))
+
+
+@query("SELECT vec_id, sqrt(CAST(embedding[1] AS DOUBLE) ** 2 + CAST(embedding[2] AS DOUBLE) ** 2) / sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * v))) AS alignment FROM embeddings")
+def subspace_alignment(spark, d):
+    """with the space of the first two axes."""
+    axis = lambda k: F.array(*[F.lit(1.0 if i == k else 0.0) for i in range(64)])
+    return table(spark, d, "embeddings").select("vec_id", corpus.alignment(F.array(axis(0), axis(1)), F.col("embedding").cast("array<double>")).alias("alignment"))
+
+
+@query(
+    """WITH o AS (SELECT p_partkey, list_sort([md5(p_partkey || '|' || i) || ['w', 'x', 'y', 'z'][i + 1] FOR i IN [0, 1, 2, 3]]) AS o FROM part)
+    SELECT p_partkey, '(A) ' || right(o[1], 1) || E'\n(B) ' || right(o[2], 1) || E'\n(C) ' || right(o[3], 1) || E'\n(D) ' || right(o[4], 1) AS choices FROM o"""
+)
+def shuffled_choices(spark, d):
+    """O16, P2"""
+    options = sampling.shuffled_options(F.array(*[F.lit(x) for x in "wxyz"]), F.col("p_partkey"))
+    return table(spark, d, "part").select("p_partkey", text.choices(options).alias("choices"))
+
+
+@query(
+    """SELECT source, count(*) AS n, avg(CAST(gradable AS INT)) AS gradable FROM (SELECT 'claims' AS source, true AS gradable FROM documents WHERE lang = 'en' UNION ALL SELECT 'pages', false FROM pages) GROUP BY 1"""
+)
+def pool_composition(spark, d):
+    """S8, U1, A20"""
+    from ..sources import readers
+
+    docs = table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("pid"), "text", "source")
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("pid"), "html")
+    whole = readers.pool([readers.pool_rows(docs, "claims", F.col("text"), F.col("source")), readers.pool_rows(pages, "pages", F.col("html"), F.lit(None).cast("string"), gradable=False)])
+    return whole.groupBy("source").agg(F.count("*").alias("n"), stats.rate(F.col("gradable")).alias("gradable"))
+
+
+@query(
+    """SELECT doc_id AS idx, 'Rate: ' || source || '.' AS content, CASE WHEN doc_id % 6 > 3 THEN 'true' WHEN doc_id % 6 = 3 THEN 'half-true' ELSE 'false' END AS verdict FROM documents"""
+)
+def claim_rows(spark, d):
+    """Rule-graded training rows."""
+    from ..sources import readers
+
+    rows = readers.claims(table(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") % 6).cast("int").alias("label")), "doc_id")
+    out = corpus.claim_rows(rows, text.prompt("Rate: {s}.", s=F.col("source")), "train", "doc_id")
+    return out.select(F.col("extra_info.index").alias("idx"), F.col("prompt")[0]["content"].alias("content"), F.col("reward_model.ground_truth")["verdict"].alias("verdict"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE value > 340) GROUP BY 1")
+def tasks_without_baseline(spark, d):
+    """G10"""
+    e = table(spark, d, "events")
+    missing = gates.without_baseline(e, "event_type", F.col("value") > 340)
+    return e.join(F.broadcast(missing), "event_type", "left_semi").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'shared' AS side, count(*) AS n FROM (SELECT l_partkey FROM lineitem WHERE l_discount > 0.05 INTERSECT SELECT l_partkey FROM lineitem WHERE l_tax > 0.05)")
+def shared_keys(spark, d):
+    """J15, U4"""
+    rows = table(spark, d, "lineitem")
+    both = rows.filter("l_discount > 0.05").select("l_partkey").intersect(rows.filter("l_tax > 0.05").select("l_partkey"))
+    return both.agg(F.count("*").alias("n")).select(F.lit("shared").alias("side"), "n")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of every condition beside its paired difference from the baseline."""
     return accuracy_by_condition(spark, sf_dir).join(paired_delta_vs_baseline(spark, sf_dir), "condition", "left").orderBy("condition")
