@@ -264,3 +264,12 @@ def test_pipeline(spark):
     assert seen["token_records"].count() == seen["mixing"].count() > 0
     total = seen["token_records"].agg(F.max(F.col("start") + F.col("n_tokens")), F.sum("n_tokens")).first()
     assert total[0] == total[1]
+
+
+def test_release(spark, tmp_path, monkeypatch):
+    from tracewright.llm import common
+
+    monkeypatch.setattr(common, "_MADE", [])
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    common.stage(spark.range(5), "x")
+    assert len(list(tmp_path.iterdir())) == 1 and common.release(spark) == 1 and not list(tmp_path.iterdir())

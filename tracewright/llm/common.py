@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _OWN_DIR: list[str] = []
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call has."""
-    return f"{shared_dir(spark)}/tracewright-{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/tracewright-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the folders that this driver made in the shared one. For the end of a job: results that still read them are lost."""
+    gone = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
