@@ -153,6 +153,13 @@ def test_context_tree_against_the_definition():
         assert got[k] == pytest.approx(math.log10(p), abs=1e-9)
 
 
+def test_estimates_of_large_counts():
+    zeros = np.array([[0.0, 3.0, 5000.0], [1e6, 4095.0, 1e9]])
+    ones = np.array([[0.0, 9000.0, 5000.0], [0.0, 4096.0, 7.0]])
+    want = [[math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1) for a, b in zip(x, y)] for x, y in zip(zeros, ones)]
+    assert context_tree.log_estimate(zeros, ones) == pytest.approx(np.array(want), rel=1e-9, abs=1e-5)
+
+
 def test_lookup():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 1 << 48, 5000))
