@@ -6,7 +6,7 @@ the product of its children's, so all depths are mixed. The tree is learned from
 training texts' (DEPTH + 1)-byte strings and then stands still: the probability of a byte is a
 function of those bytes, evaluated once for every distinct string in the table.
 
-Strings are grouped by the two bytes before the predicted one. A group computes its part of the tree
+Strings are grouped by (hashes of) the two bytes before the predicted one. A group computes its part of the tree
 below depth two; the tops (256 contexts at most) meet on the driver; a second look at the groups
 gives the strings' probabilities. Scoring looks strings and words up in tables of bounded size,
 broadcast, that hold the frequent ones; the rest are joined on the cluster.
@@ -21,6 +21,8 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -36,10 +38,12 @@ from .learning import held_out
 DEPTH = 5
 END = b"\n"
 #: Rows of the broadcast tables, at most: byte strings and words.
-STRINGS, WORDS = 3 << 20, 1 << 19
+STRINGS, WORDS = 2 << 20, 1 << 18
 #: Distinct strings or words that a counting task holds before it hands them on.
 HELD = 2_000_000
 MODULUS = 7
+#: Strings that a group of the tree has, about; all with the same two last bytes are in one.
+GROUP = 40_000
 
 
 # --- texts and byte strings ----------------------------------------------------------------
@@ -133,21 +137,24 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
 # --- the tree ------------------------------------------------------------------------------
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """For x >= 0.5: Stirling's series, after moving small arguments up."""
-    x = np.asarray(x, dtype=np.float64)
-    shift = np.zeros_like(x)
-    y = x.copy()
-    for _ in range(8):
-        small = y < 8
-        shift[small] += np.log(y[small])
-        y[small] += 1
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
+_SMALL = 4096
+_HALVES = np.array([math.lgamma(n + 0.5) for n in range(_SMALL)])
+_WHOLES = np.array([math.lgamma(n + 1.0) for n in range(_SMALL)])
+
+
+def _log_gamma(counts: np.ndarray, table: np.ndarray, shift: float) -> np.ndarray:
+    """log Gamma(counts + shift): from the table, or Stirling's series for large counts."""
+    out = table[np.minimum(counts, _SMALL - 1).astype(np.int64)]
+    large = counts >= _SMALL
+    if large.any():
+        y = counts[large] + shift
+        out[large] = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3)
+    return out
 
 
 def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Krichevsky-Trofimov probability (log) of a sequence with so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1.0)
+    return _log_gamma(zeros, _HALVES, 0.5) + _log_gamma(ones, _HALVES, 0.5) - np.log(np.pi) - _log_gamma(zeros + ones, _WHOLES, 1.0)
 
 
 def half_half(own: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -249,9 +256,12 @@ def probabilities(grams: np.ndarray, counts: np.ndarray, crown: Crown) -> np.nda
 
 def string_table(counts: DataFrame) -> DataFrame:
     """gram, n and the log10 probability of its last byte after the others."""
-    grams = counts.filter("gram IS NOT NULL").select("gram", "n", F.shiftright("gram", 8 * (DEPTH - 1)).alias("pair"))
+    grams = counts.filter("gram IS NOT NULL").select("gram", "n")
+    groups = min(1 << 16, 1 + grams.count() // GROUP)
+    pair = F.shiftright("gram", 8 * (DEPTH - 1))
+    grams = grams.withColumn("group", F.pmod(F.xxhash64(pair), F.lit(groups)))
     spark = counts.sparkSession
-    tops = grams.groupBy("pair").applyInPandas(lambda key, frame: group_tops(frame), "c int, node int, zeros double, ones double, weighted double")
+    tops = grams.groupBy("group").applyInPandas(lambda key, frame: group_tops(frame), "c int, node int, zeros double, ones double, weighted double")
     rows = tops.groupBy("c", "node").agg(*[F.sum(k).alias(k) for k in ("zeros", "ones", "weighted")]).collect()  # 256 x 255 at most
     crown = spark.sparkContext.broadcast(Crown(rows))
 
@@ -259,7 +269,7 @@ def string_table(counts: DataFrame) -> DataFrame:
         grams, n = frame["gram"].to_numpy(), frame["n"].to_numpy()
         return pd.DataFrame({"gram": grams, "n": n, "logp": probabilities(grams, n, crown.value).astype(np.float32)})
 
-    return grams.groupBy("pair").applyInPandas(evaluate, "gram long, n long, logp float")
+    return grams.groupBy("group").applyInPandas(evaluate, "gram long, n long, logp float")
 
 
 # --- scores --------------------------------------------------------------------------------
@@ -302,15 +312,15 @@ class Lookup:
         return out
 
 
-_BUILT: dict[int, tuple] = {}
+_BUILT: dict[str, tuple] = {}
 
 
-def _tables(shared, key: int):
+def _tables(shared, key: str):
     """The lookups of this worker process, built once."""
     if key not in _BUILT:
         _BUILT.clear()
-        keys, values, words = shared.value
-        _BUILT[key] = (Lookup(keys, values), words)
+        keys, values, words, logs = shared.value
+        _BUILT[key] = (Lookup(keys, values), dict(zip(words.to_pylist(), logs.tolist(), strict=True)))
     return _BUILT[key]
 
 
@@ -335,11 +345,14 @@ def score(documents: DataFrame, strings: int = STRINGS, most_words: int = WORDS)
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     table = stage(string_table(counts), "lm-strings")
     gram_least, word_least = frequent(table, strings), frequent(words, most_words)
-    top = table.filter(F.col("n") >= gram_least).select("gram", "logp").toPandas()
-    common = {r["word"]: float(np.log10(r["n"] + 1)) for r in words.filter(F.col("n") >= word_least).toLocalIterator()}
-    shared = spark.sparkContext.broadcast((top["gram"].to_numpy(), top["logp"].to_numpy(), {bytes(k): v for k, v in common.items()}))
+    # Arrow all the way: rows as Python objects would take the driver ten times the memory
+    top = table.filter(F.col("n") >= gram_least).select("gram", "logp").toArrow()
+    common = words.filter(F.col("n") >= word_least).toArrow()
+    parts = (top["gram"].to_numpy(), top["logp"].to_numpy(), common["word"].combine_chunks(), np.log10(common["n"].to_numpy() + 1.0))
     del top, common
-    key = hash((id(shared), counts.inputFiles()[0] if size["v"] else ""))
+    shared = spark.sparkContext.broadcast(parts)
+    del parts
+    key = uuid.uuid4().hex
 
     def run(batches):
         lookup, known = _tables(shared, key)
