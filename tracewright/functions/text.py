@@ -78,6 +78,7 @@ def without_code_fences(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?m)^```[A-Za-z]*\s*$", ""))
 
 
+# Fixed value: terminal colours in logs.
 _COLOUR = r"\x1b\[[0-9;]*m"
 
 
