@@ -179,6 +179,45 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == {i for i, _ in rows if i % 10 != 1}
 
 
+def similar_by_hand(texts):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return {i for i in range(len(sets)) if root(i) == i}
+
+
+def test_copies_are_decided_at_the_threshold(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"f{rng.randrange(10**7)}" for _ in range(n)]
+    texts = []
+    for own in (18, 19, 20, 21, 22, 30, 40):  # sets of 160 + own shingles, 160 in common: 0.8 at 20
+        for _ in range(6):
+            shared = fresh(164)
+            texts += [" ".join(shared + fresh(own)), " ".join(shared + fresh(own))]
+    for n in (5, 6, 7, 8, 9, 10, 14, 20):  # one word more
+        for _ in range(6):
+            w = fresh(n)
+            texts += [" ".join(w), " ".join(w + fresh(1))]
+    banner = fresh(12)  # common shingles: in every text of a group
+    texts += [" ".join(banner + fresh(k % 4)) for k in range(40)] + [" ".join(fresh(3000) + banner) for _ in range(10)]
+    want = similar_by_hand(texts)
+    got = {r["doc_id"] for r in simhash.one_of_each(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert got == want and 0 < len(want) < len(texts)
+
+
 # --- leaks ----------------------------------------------------------------------------------
 
 

@@ -11,6 +11,10 @@ The comparison is exact and so quadratic in the number of distinct fingerprints.
 not, while a tile holds at most TILE fingerprints: the table is cut into about TILES tiles whatever its
 size, so each fingerprint goes to at most that many tasks.
 
+The pipeline's copies (one_of_each) are not decided by fingerprints: every pair of texts with a Jaccard
+similarity of 0.8 or more on sets of five words is found by shared prefix shingles, verified on the
+whole sets (as 64-bit hashes), and linked; classes are components of verified links.
+
 Cases. Null text is empty: fingerprint zero, linked like any other; rows with a null id belong to
 classes but never name them (a class without ids has a null name); repeated rows share their class;
 an empty table gives no rows; other columns are ignored.
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import record_batch, slices
+from .batches import free_name, record_batch, slices
 from .common import stage
 
 SHINGLE = 4
@@ -243,16 +247,155 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, radius: int = RAD
     return prints.join(named, words).select("doc_id", *words, "component_id")
 
 
-#: For copies with a similarity of 0.8 or more on sets of five words: 256 bits, which such texts share but for
-#: 39 +- 6 (and unlike ones but for 128 +- 8); of the first 64 they differ in 10 +- 3.
-SIMILAR = {"size": 5, "radius": 44, "parts": 4, "first_radius": 20, "once": True}
+#: Copies are texts whose sets of five words have a Jaccard similarity of NEAR / OF or more.
+COPY, NEAR, OF = 5, 4, 5
+#: Words of 64 bits in a set's bitmap; documents sampled for shingles that many have, how many of them make a shingle
+#: common, and how many such shingles are known at most. Sampling decides the order of shingles, so the speed, never the result.
+BITMAP = 16
+SAMPLED, COMMON, KNOWN = 8192, 4, 1 << 18
+SLOTS = 1 << 24
+
+
+def shingle_set(text: str | None, size: int = COPY) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(np.array(shingle_hashes(text, size), dtype=np.uint64))
+
+
+def common_shingles(documents: DataFrame, size: int = COPY) -> np.ndarray:
+    """Shingles that many of a sample of the documents have, the rarest first (KNOWN at most)."""
+    share = min(1.0, SAMPLED / max(1, documents.count()))
+
+    def build(batches):
+        for batch in batches:
+            for part in slices(batch, 0):
+                for text in part.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, size).view(np.int64))], names=["h"])
+
+    some = documents.select("text") if share == 1 else documents.select("text").sample(share, SEED)
+    counted = some.mapInArrow(build, "h long").groupBy("h").count().filter(F.col("count") >= COMMON)
+    rows = counted.orderBy(F.desc("count"), "h").limit(KNOWN).collect()
+    return np.array([r["h"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
+
+
+def sketches(rows: DataFrame, common: np.ndarray, size: int = COPY) -> DataFrame:
+    """For each row its set's 128-bit checksum (sum0, sum1), its size n, a bitmap (bits0, ...) and the prefix.
+
+    The prefix holds the n - ceil(n * NEAR / OF) + 1 first shingles in one order of all shingles (common ones
+    last): sets that are similar enough have one of them in common. A bitmap's bit is the parity of the
+    shingles that fall on it, so bitmaps differ in no more bits than their sets in shingles.
+    """
+    bits = [f"bits{k}" for k in range(BITMAP)]
+    schema = pa.schema([("row", pa.int64()), ("sum0", pa.int64()), ("sum1", pa.int64()), ("n", pa.int32()), *[(b, pa.int64()) for b in bits], ("prefix", pa.list_(pa.int64()))])
+    by_hash = np.argsort(common)
+    table = rows.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))
+
+    def sketch(text, known, rank):
+        found = shingle_set(text, size)
+        n, raw = len(found), found.tobytes()
+        parity = (np.bincount((found % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1) if len(known) else np.zeros(n, dtype=np.int64)
+        is_common = known[at] == found if len(known) else np.zeros(n, dtype=bool)
+        last = found[is_common][np.argsort(rank[at[is_common]])]
+        order = np.concatenate([found[~is_common], last])[: n - -(-n * NEAR // OF) + 1 if n else 0]
+        digest = xxhash.xxh3_128_intdigest(raw)
+        sums = np.array([digest >> 64, digest & (1 << 64) - 1], dtype=np.uint64).view(np.int64).tolist()
+        return [*sums, n, *np.packbits(parity).view(np.int64).tolist(), order.view(np.int64)]
+
+    def build(batches):
+        known, rank = table.value
+        for batch in batches:
+            for part in slices(batch, 1):
+                made = [sketch(t, known, rank) for t in part.column(1).to_pylist()]
+                yield record_batch(schema, part.column(0), *zip(*made, strict=True))
+
+    ddl = "row long, sum0 long, sum1 long, n int" + "".join(f", {b} long" for b in bits) + ", prefix array<long>"
+    return rows.select("row", "text").mapInArrow(build, ddl)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that may be similar enough: all that are, by bounds that hold for each such pair."""
+    least = lambda x, y: F.ceil((F.col(x) + F.col(y)) * F.lit(NEAR) / F.lit(NEAR + OF) - F.lit(1e-6))  # noqa: E731  common shingles needed
+    terms = nodes.select("node", "n", F.posexplode("prefix").alias("at", "h"))
+    x = terms.select("h", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    y = terms.select("h", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    fits = (F.col("a") < F.col("b")) & (F.col("n_a") * OF >= F.col("n_b") * NEAR) & (F.col("n_b") * OF >= F.col("n_a") * NEAR)
+    # behind the first common shingle no more can follow than either set has left
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least("n_a", "n_b")
+    pairs = x.join(y, "h").filter(fits & left).select("a", "b").distinct()
+    bits = [f"bits{k}" for k in range(BITMAP)]
+    maps = nodes.select("node", "n", *bits)
+    for side in "ab":
+        pairs = pairs.join(maps.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), *[F.col(b).alias(f"{b}_{side}") for b in bits]), side)
+    apart = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in bits), F.lit(0))
+    return pairs.filter(apart <= F.col("n_a") + F.col("n_b") - 2 * least("n_a", "n_b")).select("a", "b")
+
+
+def named_rows(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows whose number `row` is in named, exchanging hardly more than these: a table of SLOTS bits sifts first."""
+    slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS))
+    bits = named.withColumn("_slot", slot).groupBy(F.expr("_slot DIV 64").alias("_at")).agg(F.expr("bit_or(shiftleft(1L, CAST(_slot % 64 AS INT)))").alias("_bits"))
+    sifted = rows.withColumn("_slot", slot).withColumn("_at", F.expr("_slot DIV 64")).join(F.broadcast(bits), "_at")
+    return sifted.filter("shiftright(_bits, CAST(_slot % 64 AS INT)) % 2 <> 0").drop("_at", "_bits", "_slot").join(named, "row", "left_semi")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, size: int = COPY) -> DataFrame:
+    """Of the pairs (a, b) of row numbers, those whose texts' sets are similar enough; less pairs that others connect.
+
+    Each b's least a is verified first; then all pairs that these links leave apart.
+    """
+
+    def pack(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, size).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["row", "held"])
+
+    def check(batches):
+        for batch in batches:
+            near = []
+            for p, q in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(p.as_py(), dtype=np.uint64), np.frombuffer(q.as_py(), dtype=np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                near.append(both * OF >= (len(p) + len(q) - both) * NEAR)
+            yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
+
+    used = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = stage(named_rows(rows.select("row", "text"), used).mapInArrow(pack, "row long, held binary"), "copy-sets")
+
+    def similar(some):
+        both = some.join(sets.select(F.col("row").alias("a"), F.col("held").alias("p")), "a").join(sets.select(F.col("row").alias("b"), F.col("held").alias("q")), "b")
+        return stage(both.select("a", "b", "p", "q").mapInArrow(check, "a long, b long"), "copy-pairs")
+
+    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    links = similar(first)
+    rest, roots = pairs.join(first, ["a", "b"], "left_anti"), components(links, "copy-links")
+    for side in "ab":
+        rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    return links.unionByName(similar(rest.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")))
+
+
+def copies(rows: DataFrame, size: int = COPY) -> DataFrame:
+    """row and class, the same for rows that verified pairs connect. rows: texts with a number `row` of their own.
+
+    Equal sets are one node (the least row), so only different sets are paired.
+    """
+    found = stage(sketches(rows, common_shingles(rows, size), size), "copy-sketches")
+    equal = stage(found.groupBy("sum0", "sum1").agg(F.min("row").alias("node")), "copy-nodes")
+    nodes = found.join(equal.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    pairs = stage(candidates(nodes), "copy-candidates")
+    roots = components(verified(pairs, rows, size), "copy-links")
+    classes = equal.join(roots, "node", "left").select("sum0", "sum1", F.coalesce("root", "node").alias("class"))
+    return found.select("row", "sum0", "sum1").join(classes, ["sum0", "sum1"]).select("row", "class")
 
 
-def one_of_each(documents: DataFrame, **how) -> DataFrame:
+def one_of_each(documents: DataFrame, size: int = COPY) -> DataFrame:
     """documents without near copies: of each class the rows with its least doc_id stay, and rows without an id."""
-    found = near_duplicates(documents.filter("doc_id IS NOT NULL"), **(how or SIMILAR))
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"].cast("long") == gone["_gone"], "left_anti").select(*documents.columns)
+    number = free_name(documents, "row")
+    rows = stage(documents.withColumn(number, F.monotonically_increasing_id()), "copy-rows")
+    plain = rows.filter("doc_id IS NOT NULL").select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = stage(copies(plain, size).join(plain.select("row", "doc_id"), "row"), "copy-classes")
+    least = found.groupBy("class").agg(F.min("doc_id").alias("least"))
+    gone = found.join(least, "class").filter("doc_id <> least").select(F.col("row").alias("_gone"))
+    return rows.join(gone, F.col(number) == F.col("_gone"), "left_anti").select(*documents.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
