@@ -211,3 +211,32 @@ def test_probabilities_of_a_context_sum_to_one():
 def test_logistic_of_one_class():
     w = learning.fit_logistic(np.zeros((4, 1)), np.ones(4))
     assert 0.5 < learning.logistic(np.zeros((1, 1)), w)[0] < 1
+
+
+def labelled_by_chance(spark, label, ones, zeros):
+    """Documents whose texts say nothing about their label, and the labels."""
+    import random
+
+    rng = random.Random(3)
+    n = ones + zeros
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**6):06d}" for _ in range(12)) if label == "toxic" else "the same line of words") for i in range(n)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, int(i % n < ones)) for i in range(n)], f"doc_id long, {label} int")
+
+
+def training_share(spark, labels, label):
+    return labels.filter(~learning.held_out(F.col("doc_id"))).agg(F.avg(label)).first()[0]
+
+
+def test_caps_keep_the_odds_of_toxic_documents(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOXIC_SAMPLE", 30)
+    monkeypatch.setattr(toxicity, "CLEAN_SAMPLE", 30)
+    docs, labels = labelled_by_chance(spark, "toxic", 60, 540)
+    scores = [r["score"] for r in toxicity.scored(docs, toxicity.learn(docs, labels)).collect()]
+    assert scores == pytest.approx([training_share(spark, labels, "toxic")] * 600, abs=0.01)
+
+
+def test_caps_keep_the_odds_of_good_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", {0: 30, 1: 30})
+    docs, labels = labelled_by_chance(spark, "quality", 300, 60)
+    scores = [r["score"] for r in quality.scored(docs, quality.learn(docs, labels)).collect()]
+    assert scores == pytest.approx([training_share(spark, labels, "quality")] * 360, abs=0.01)

@@ -5,7 +5,7 @@ are all that is known, so training starts from them: all lines of a good documen
 a bad one bad; after a first fit, lines of bad documents that the field takes for good are relabelled
 (the worst line of a document stays bad) and the field is fitted again. A document's quality is the
 mean of its lines' forward-backward marginals, weighted by length, through a logistic curve fitted on
-the same sample.
+the same sample, whose classes are weighted to their frequency among all training labels.
 
 Cases. Null and empty texts have one empty line; without usable labels the score is one constant;
 null ids are scored and in the bucket of the empty text; repeated rows score alike; an empty table
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from .batches import with_columns
-from .learning import fit_logistic, held_out, labelled_sample, logistic
+from .learning import fit_logistic, held_out, labelled_sample, logistic, row_weights
 
 #: Labelled documents that are learned from, at most, and lines taken of each for the field.
 SAMPLE = {0: 1000, 1: 1500}
@@ -165,7 +165,7 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, rounds: int = ROUNDS)
 
 def learn(documents: DataFrame, labels: DataFrame) -> Field:
     """A field from a bounded sample: line features come to the driver, never texts."""
-    sample = labelled_sample(documents, labels, "quality", SAMPLE, "quality-sample")
+    sample, totals = labelled_sample(documents, labels, "quality", SAMPLE, "quality-sample")
 
     def make():
         def work(texts):
@@ -196,7 +196,7 @@ def learn(documents: DataFrame, labels: DataFrame) -> Field:
     y = np.where((y == 0) & (good > 0.8) & ~worst, 1.0, y)
     field = Field(*fit(x, counts, y), mean, spread)
     share = weighted(field.lines(own, counts), counts, sizes)
-    field.curve = fit_logistic(share[:, None], labels_of)
+    field.curve = fit_logistic(share[:, None], labels_of, weights=row_weights(labels_of, totals))
     return field
 
 

@@ -5,7 +5,8 @@ that stand for letters, and drops invisible characters. The lexicon is learned f
 labelled documents: word beginnings that are far more frequent in toxic ones, weighted by the logarithm
 of the ratio. Words of clean documents that begin like an entry are exceptions, and so are phrases
 that a caller names; a hit inside an exception doesn't count. The weights found, over the number of
-words, give the score by a logistic curve fitted on the sample.
+words, give the score by a logistic curve fitted on the sample, whose classes are weighted to their frequency
+among all training labels.
 
 Cases. Null and empty texts score as texts without a hit; without usable labels the score is one
 constant; null ids are scored and in the bucket of the empty text; repeated rows score alike; an
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .batches import slices, with_columns
-from .learning import fit_logistic, held_out, labelled_sample, logistic
+from .learning import fit_logistic, held_out, labelled_sample, logistic, row_weights
 
 #: Labelled documents that are learned from, at most.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 3000, 6000
@@ -178,7 +179,7 @@ def _without_copies(sample: DataFrame) -> list[int]:
 
 def learn(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
     spark = documents.sparkSession
-    sample = labelled_sample(documents, labels, "toxic", {1: TOXIC_SAMPLE, 0: CLEAN_SAMPLE}, "toxic-sample")
+    sample, totals = labelled_sample(documents, labels, "toxic", {1: TOXIC_SAMPLE, 0: CLEAN_SAMPLE}, "toxic-sample")
     kept = spark.createDataFrame([(k,) for k in _without_copies(sample)], "doc_id long")
     sample = sample.join(F.broadcast(kept), "doc_id")
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
@@ -192,7 +193,8 @@ def learn(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] =
     lexicon = Lexicon(weights, spared, [])
     rows = _measured(sample.select("text", "y"), lexicon).select("m_density", "m_total", "m_any", "y").collect()
     x = np.array([list(r)[:3] for r in rows])
-    lexicon.curve = fit_logistic(x, np.array([float(r[3]) for r in rows])).tolist()
+    y = np.array([float(r[3]) for r in rows])
+    lexicon.curve = fit_logistic(x, y, weights=row_weights(y, totals)).tolist()
     return lexicon
 
 
