@@ -313,6 +313,16 @@ def cumulative_variance_cutoff(spark, d):
     return stats.variance_cutoff(table(spark, d, "lineitem").filter("l_suppkey < 20"), ["l_suppkey"], "l_extendedprice", 0.9)
 
 
+@query(
+    """WITH c AS (SELECT l_suppkey, sum(q) OVER (PARTITION BY l_suppkey ORDER BY v DESC ROWS UNBOUNDED PRECEDING) / sum(q) OVER (PARTITION BY l_suppkey) AS share
+      FROM (SELECT l_suppkey, l_extendedprice * l_extendedprice AS q, l_extendedprice AS v FROM lineitem))
+    SELECT l_suppkey, count(*) FILTER (share < 0.9) + 1 AS k FROM c GROUP BY 1"""
+)
+def cumulative_variance_cutoff_whole(spark, d):
+    """All suppliers."""
+    return stats.variance_cutoff(table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", 0.9)
+
+
 FEATURES = """f AS (SELECT p_partkey AS index, p_name AS description, p_retailprice / 500 AS max_act, p_size / 100.0 AS frac_nonzero, (p_partkey * 7919 % 1009) / 1009.0 AS score FROM part)"""
 
 
