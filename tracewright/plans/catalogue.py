@@ -136,6 +136,12 @@ def mediation_bootstrap(spark, d):
     return resample.mediation_bootstrap(traces(spark, d).filter("lang = 'de'"), "correct", "words", "doc_id", reps=100, seed=11)
 
 
+@query()
+def mediation_bootstrap_whole(spark, d):
+    """All labelled documents and the operator's own number of replicates."""
+    return resample.mediation_bootstrap(traces(spark, d), "correct", "words", "doc_id", seed=11)
+
+
 STAND_IN = {"article": r"[ \n](the|an)[ ,.]", "joint": r"[ \n](and|or|for)[ ,.]", "stop": r"\."}
 
 
