@@ -356,6 +356,18 @@ def features_with_explanations(spark, d):
     return corpus.features_with_explanations(table(spark, d, "part").select(F.col("p_partkey").alias("index")), ex, "at").select("index", "description")
 
 
+@query(
+    """SELECT p.p_partkey AS index, e.d AS description FROM part p LEFT JOIN (SELECT l_partkey, arg_max(l_returnflag || l_linestatus, l_orderkey * 10 + l_linenumber) AS d
+    FROM lineitem GROUP BY 1) e ON e.l_partkey = p.p_partkey"""
+)
+def features_with_explanations_whole(spark, d):
+    """All explanations."""
+    ex = table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("index"), F.concat("l_returnflag", "l_linestatus").alias("description"), F.lit(None).cast("array<float>").alias("embedding"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at")
+    )
+    return corpus.features_with_explanations(table(spark, d, "part").select(F.col("p_partkey").alias("index")), ex, "at").select("index", "description")
+
+
 # --- sampling and splits (O6-O15, J6, J7, W5, W7) ---------------------------------------------
 
 
@@ -644,6 +656,15 @@ def prompt_numbers(spark, d):
     return rows.select("doc_id", at(r"numbers (\[.*?\]),").alias("numbers"), at(r"equals (\d+)\.").cast("bigint").alias("target"))
 
 
+@query("SELECT doc_id, '[' || doc_id || ', ' || n_chars || ']' AS numbers, length(text) AS target FROM documents")
+def prompt_numbers_whole(spark, d):
+    """Documents of all languages."""
+    rows = table(spark, d, "documents").select("doc_id", "n_chars", F.length("text").cast("bigint").alias("n"))
+    filled = text.prompt(text.COUNTDOWN_PROMPT, numbers=text.number_list(F.array("doc_id", "n_chars")), target=F.col("n"))
+    at = lambda p: F.regexp_extract(filled, p, 1)
+    return rows.select("doc_id", at(r"numbers (\[.*?\]),").alias("numbers"), at(r"equals (\d+)\.").cast("bigint").alias("target"))
+
+
 # --- more of the inventory --------------------------------------------------------------------
 
 
@@ -718,6 +739,13 @@ def condition_grid(spark, d):
     return corpus.grid(problems, 3, table(spark, d, "region").select(F.col("r_regionkey").alias("feature"))).select("pid", "feature", "sample")
 
 
+@query("SELECT c_custkey AS pid, r_regionkey AS feature, CAST(i AS INT) AS sample FROM customer, region, range(3) s(i)")
+def condition_grid_whole(spark, d):
+    """J16, all problems"""
+    problems = table(spark, d, "customer").select(F.col("c_custkey").alias("pid"))
+    return corpus.grid(problems, 3, table(spark, d, "region").select(F.col("r_regionkey").alias("feature"))).select("pid", "feature", "sample")
+
+
 @query("SELECT p_partkey AS index, CASE WHEN p_partkey < 64 THEN CAST(e.embedding[p_partkey + 1] AS DOUBLE) ELSE p_retailprice END AS max_act FROM part, (SELECT embedding FROM embeddings WHERE vec_id = 3) e")
 def calibration_overlay(spark, d):
     """J2"""
