@@ -179,3 +179,14 @@ def test_media_round_trip(spark):
     assert by[0]["media_sha256"] == by[1]["media_sha256"]
     for codec in audio.CODECS:
         assert audio.payload_from(*audio.from_wav(audio.to_wav(b"x" * 192 + b"y" * 192, codec))) == b"x" * 192 + b"y" * 192
+
+
+def test_query_stores_the_pcm(spark, monkeypatch):
+    import zlib
+
+    staged, stage = [], audio.stage
+    monkeypatch.setattr(audio, "stage", lambda df, name: staged.append(stage(df, name)) or staged[-1])
+    rows = {r["doc_id"]: r for r in audio.op9_audio(spark, "/root/testdata/sf0.001").collect()}
+    held = staged[-1].select("doc_id", "pcm").collect()
+    assert len(held) == len(rows)
+    assert all(rows[r["doc_id"]]["feature"].endswith(f"pcm={zlib.crc32(r['pcm']):08x}") for r in held)

@@ -216,6 +216,24 @@ def decode_media(media: DataFrame, keep_pcm: bool = True) -> DataFrame:
     return media.mapInArrow(decode, _DDL)
 
 
+def store_pcm(media: DataFrame, name: str = "audio-pcm") -> DataFrame:
+    """decode_media written to the shared folder, PCM and all."""
+    return stage(decode_media(media), name)
+
+
+def read_features(stored: DataFrame) -> DataFrame:
+    """The rows of store_pcm without their PCM; the features are those of the stored PCM."""
+
+    def read(batches):
+        for batch in batches:
+            for part in slices(batch, 8, limit=8 << 20):
+                codecs = [f.partition(";")[0] for f in part.column(7).to_pylist()]
+                features = [feature_of(c, np.frombuffer(b, dtype="<i2")) for c, b in zip(codecs, part.column(8).to_pylist(), strict=True)]
+                yield record_batch(pa.schema(list(DECODED)[:8]), *[part.column(k) for k in range(7)], features)
+
+    return stored.mapInArrow(read, _DDL.removesuffix(", pcm binary"))
+
+
 def op9_audio(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return decode_media(store_media(docs), keep_pcm=False).drop("pcm")
+    return read_features(store_pcm(store_media(docs)))
