@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,11 +54,15 @@ def test_encoder_equals_the_tokenizer():
     path = token_records.default_tokenizer()
     plain, mine = Tokenizer.from_file(path), token_records.Encoder(path)
     rng = random.Random(0)
-    bits = ["the", " ", "  ", "\n", "a1", ",", "'s", "é", "ß", "x.", "!!", "\t", "12", "Ｑ", "\xa0", "don't", "…"]
-    texts = [t or "" for t in ODD] + ["".join(rng.choice(bits) for _ in range(40)) for _ in range(400)]
-    for _ in range(2):
-        got = mine.encode(texts)
-        assert [np.frombuffer(x, dtype=mine.kind).tolist() for x in got] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    bits = ["the", " ", "  ", "\n", "a1", ",", "'s", "é", "ß", "x.", "!!", "\t", "12", "Ｑ", "\xa0", "don't", "…", "'", "\r\n", "e\u0301", "\u3000", "\u2009", "日", "😀", "(", '"', "\x85", "\x1f", "\x0b"]
+    texts = ODD + ["".join(rng.choice(bits) for _ in range(rng.choice((1, 3, 40)))) for _ in range(4000)]
+    want = [e.ids for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    odd = [i for i, t in enumerate(texts) if t and "<|" in t]
+    for rows in (range(len(texts)), [i for i in range(len(texts)) if i not in odd], odd):
+        for end in (None, 2, 2):
+            ids, sizes = mine.encode(pa.array([None, *[texts[i] for i in rows]], pa.string()).slice(1), end)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [want[i] + ([] if end is None else [end]) for i in rows]
+    assert mine.known.nbytes < token_records.HELD_BYTES
 
 
 def test_token_records(spark):
@@ -93,6 +98,18 @@ def test_index_finds_records(spark, tmp_path):
             assert files.masked(files.crc32c(data[s : s + 8])) == check
 
 
+def test_equal_ids_are_written_alike_whatever_their_order(spark, tmp_path):
+    rows = [(i % 3 or None, f"text {i * 7919 % 50}") for i in range(200)]
+    written = []
+    for k, some in enumerate((rows, rows[::-1])):
+        folder = f"file://{tmp_path}/{k}"
+        docs = spark.createDataFrame(some, "doc_id long, text string").repartition(5 - k)
+        token_records.write_records(docs, folder, token_records.default_tokenizer(), roll=1000)
+        files_ = {p.name: p.read_bytes() for p in (tmp_path / str(k)).iterdir()}
+        written.append(b"".join(files_[n] for n in sorted(files_) if n.endswith(".rec")))
+    assert written[0] == written[1] and written[0]
+
+
 def test_warc_equals_its_sql(spark):
     df = queries.queries()["op10_warc"](spark, SF)
     assert table(df.columns, df.collect()) == table(*rows_of(queries.oracle_sql()["op10_warc"], SF))

@@ -1,39 +1,53 @@
 """Token ids in length-delimited binary records with a separate offset index.
 
-Documents are range-sorted by doc_id; every task encodes its run and streams records into files of
-the shared folder. A record is: length (8 bytes), masked CRC-32C of the length, payload, masked
-CRC-32C of the payload. A payload is a flag byte (1: the id is null), the doc_id (8 bytes) and the
-ids, two bytes each if the vocabulary allows, else four; all little-endian. Beside each file lies
-`.idx`: a frame with the records' offsets (8 bytes each), for shuffled reads.
-
-Cases. Null text is empty (its record holds the end id alone); null ids come first; repeated rows
-have a record each, neighbours in arbitrary order; an empty table writes no file and reads as no
-rows; texts of any length are encoded whole; other columns are ignored.
+Texts are encoded where they are read; the ids, which are smaller, are staged and range-sorted by doc_id, and
+every task streams its run of records into files of the shared folder. A record is: length (8 bytes), masked
+CRC-32C of the length, payload, masked CRC-32C of the payload. A payload is a flag byte (1: the id is null), the
+doc_id (8 bytes) and the ids, two bytes each if the vocabulary allows, else four; all little-endian. Beside each
+file lies `.idx`: a frame with the records' offsets (8 bytes each), for shuffled reads.
+
+Cases. Null text is empty (its record holds the end id alone); null ids come first; rows with equal ids have a
+record each, in an order that their ids alone decide (so null ids, too, are dealt to many tasks, and every
+attempt writes the same bytes); an empty table writes no file and reads as no rows; texts of any length are
+encoded whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from .batches import slices
 from .common import fresh_dir, shuffle_width, stage
 from .files import Rolled, frame, frames, opened
 
 END_ID = 2
 ROLL_BYTES = 64 << 20
-#: Distinct chunks whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 1_200_000
-
-# Fixed value: how the byte-level vocabulary splits text before its merges.
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Text in a batch, rows in it, and bytes of known chunks that a worker keeps from batch to batch, at most.
+BATCH_BYTES, BATCH_ROWS, HELD_BYTES = 8 << 20, 1 << 16, 48 << 20
+#: Chunks that are encoded in one text.
+TOGETHER = 4096
+
+# Kinds of bytes, as the vocabulary's splitter tells them apart.
+OTHER, LETTER, DIGIT, MARK, SPACE, LINE, TAIL, LEAD2, LEAD3, QUOTE = range(10)
+_RANGES = ((MARK, 0x21, 0x7F), (QUOTE, 0x27, 0x28), (DIGIT, 0x30, 0x3A), (LETTER, 0x41, 0x5B), (LETTER, 0x61, 0x7B), (SPACE, 32, 33), (LINE, 9, 14),
+           (TAIL, 0x80, 0xC0), (LEAD2, 0xC3, 0xE0), (LEAD3, 0xE4, 0xF0))
+KINDS = np.zeros(256, dtype=np.uint8)
+for _kind, _low, _high in _RANGES:
+    KINDS[_low:_high] = _kind
+#: What may stand before a lone blank, behind it, and what is one.
+SOLID, FRONT, BLANK = (np.isin(np.arange(10), x) for x in ([LETTER, DIGIT, MARK, QUOTE], [LETTER, DIGIT, MARK, QUOTE, LEAD2, LEAD3], [SPACE, LINE]))
+#: Pairs of kinds (16 * first + second) between which a piece always ends; a quote may begin a contraction.
+PARTS = np.zeros(160, dtype=bool)
+PARTS[[16 * a + b for a, b in ((LETTER, DIGIT), (LETTER, MARK), (LETTER, QUOTE), (DIGIT, LETTER), (DIGIT, MARK), (DIGIT, QUOTE), (MARK, LETTER), (MARK, DIGIT))]] = True
 
 
 def default_tokenizer() -> str:
@@ -42,122 +56,140 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder:
-    """Ids of whole texts, as bytes of little-endian integers.
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every run, one after the other."""
+    stops = np.cumsum(sizes)
+    total = int(stops[-1]) if len(stops) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(starts) or starts.max() < 1 << 30) else np.int64
+    return np.repeat((starts - stops + sizes).astype(kind), sizes) + np.arange(total, dtype=kind)
 
-    The vocabulary's splitter never joins what stands on both sides of a lone space, so a text's ids
-    are those of its space-led chunks one after the other, and a chunk's are those of its pieces.
-    Chunks (kept without their space) and pieces seen before come from memory. Texts for which this split is not certain
-    (blanks beside blanks, control characters, scripts beyond U+024F, special tokens) go to the
-    tokenizer whole.
-    """
 
-    #: A space between a blank and another blank or the end.
-    unsure = re.compile(r"\s (?=\s|\Z)|[\x1c-\x1f\x85]")
-    #: A space that may stand so: texts without it need no closer look.
-    led = ("  ", " \n", " \t", " \r")
-    #: UTF-8 bytes of rare blanks and controls.
-    rare = np.isin(np.arange(256), [*range(0x0B, 0x0D), *range(0x1C, 0x20), 0xC2])
+class Encoder:
+    """Ids of whole texts, a batch at a time.
+
+    The vocabulary's splitter always ends a piece at certain places: at a lone blank between two other characters,
+    and where letters, digits and marks meet. A text's ids are those of its chunks, cut there, one after the other.
+    A batch's chunks tile its bytes; Arrow finds the distinct ones, those not yet known are encoded (many in one
+    text, as the splitter parts them again), and numpy gathers the ids. What is known is kept in arrays of
+    HELD_BYTES at most. Where a place is in doubt (blanks beside blanks, characters that may be blanks) nothing is
+    cut; batches with special tokens, and vocabularies that split otherwise, go to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
-        import json
-
-        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        vocabulary = self.model.get_vocab()
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        #: Ids whose bytes begin with a space, so that they begin a word.
-        self.leads = np.zeros(self.model.get_vocab_size(), dtype=bool)
-        self.leads[[i for token, i in self.model.get_vocab().items() if token[0] == "\u0120"]] = True
-        self.code = "H" if self.width == 2 else "I"
+        #: Ids whose bytes begin with a space, so that they begin a chunk.
+        self.leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.leads[[i for token, i in vocabulary.items() if token[0] == "Ġ"]] = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
-        self.pieces = regex.compile(PIECES).findall
         self.splits = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-        self.special = tuple(t["content"] for t in spec.get("added_tokens", ()))
-        self.chunks: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """The ids of new pieces. Words led by a space are encoded many in one text, as the splitter parts them again."""
-        led = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        rest = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
-        for a in range(0, len(led), 512 * 64):
-            groups = [led[b : b + 512] for b in range(a, min(a + 512 * 64, len(led)), 512)]
-            for group, e in zip(groups, self.model.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids = array(self.code, e.ids)
-                stops = np.append(np.flatnonzero(self.leads[np.frombuffer(ids, dtype=self.kind)])[1:], len(ids)) * self.width
-                if len(stops) != len(group):
-                    self.known.update(zip(group, self._ids(group), strict=True))
+        self.special = [t["content"] for t in spec.get("added_tokens", ())]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.binary())
+        self.ids, self.stops = np.zeros(0, dtype=self.kind), np.zeros(1, dtype=np.int64)
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks one after the other, and how many each has."""
+        at = np.frombuffer(chunks.buffers()[1], dtype=np.int32)[chunks.offset : chunks.offset + len(chunks) + 1]
+        raw = np.frombuffer(chunks.buffers()[2], dtype=np.uint8) if len(chunks) else np.zeros(0, dtype=np.uint8)
+        spaces = np.concatenate([[0], np.cumsum(raw == 32)])
+        led = (spaces[at[1:]] - spaces[at[:-1]] == 1) & (raw[np.minimum(at[:-1], max(0, len(raw) - 1))] == 32)
+        sizes = np.zeros(len(chunks), dtype=np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        order = np.flatnonzero(led)
+        groups = [order[a : a + TOGETHER] for a in range(0, len(order), TOGETHER)]
+        for a in range(0, len(groups), 64):
+            some = groups[a : a + 64]
+            texts = [b"".join(chunks.take(pa.array(g)).to_pylist()).decode() for g in some]
+            for group, ids in zip(some, self._plain(texts), strict=True):
+                starts = np.flatnonzero(self.leads[ids])
+                if len(starts) != len(group) or starts[0]:  # not one lead for each: a chunk at a time, below
+                    led[group] = False
                     continue
-                raw, start = ids.tobytes(), 0
-                for p, stop in zip(group, stops.tolist(), strict=True):
-                    self.known[p] = raw[start:stop]
-                    start = stop
-        for a in range(0, len(rest), 20_000):
-            self.known.update(zip(rest[a : a + 20_000], self._ids(rest[a : a + 20_000]), strict=True))
-
-    def _sure(self, text: str) -> bool:
-        if not self.splits or any(s in text for s in self.special):
-            return False
-        look = text[-1] == " " or any(x in text for x in self.led)
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        if raw.max() > 0xC9:
-            return False
-        return not (look or self.rare[raw].any()) or not self.unsure.search(text)
-
-    def _cut(self, chunk: str) -> list[str]:
-        """The pieces of a chunk (with its space): mostly a word, or one with a mark behind it."""
-        word = chunk[1:]
-        if word.isalpha():
-            return [chunk]
-        if word[:-1].isalpha() and word[-1] in ",.;:!?":
-            return [chunk[:-1], word[-1]]
-        return self.pieces(chunk)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > REMEMBERED:
-            self.chunks = {}
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        chunks, known, plans, odd = self.chunks, self.known, [], []
-        new: dict[str, None] = {}
-        heads: dict[str, list[str]] = {}
-        for at, text in enumerate(texts):
-            if not text:
-                plans.append(("", [], [], []))
-            elif self._sure(text):
-                head, *rest = text.split(" ")
-                if head not in heads:
-                    heads[head] = self.pieces(head)
-                found = list(map(chunks.get, rest))
-                missing = [i for i, x in enumerate(found) if x is None] if None in found else []
-                new.update(dict.fromkeys([rest[i] for i in missing]))
-                plans.append((head, rest, found, missing))
-            else:
-                odd.append(at)
-                plans.append(None)
-        cut = {x: self._cut(" " + x) for x in new}
-        self._learn(list(dict.fromkeys(p for ps in (*cut.values(), *heads.values()) for p in ps if p not in known)))
-        for x, ps in cut.items():
-            chunks[x] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
-        whole = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True)) if odd else {}
-        out = []
-        for i, plan in enumerate(plans):
-            if plan is None:
-                out.append(whole[i])
-                continue
-            head, rest, found, missing = plan
-            for k in missing:
-                found[k] = chunks[rest[k]]
-            out.append(b"".join([known[p] for p in heads[head]] + found) if head or found else b"")
-        return out
+                sizes[group] = np.diff(np.append(starts, len(ids)))
+                parts.append((group, ids))
+        rest = np.flatnonzero(~led)
+        for a in range(0, len(rest), 8192):
+            some = rest[a : a + 8192]
+            found = self._plain([b.decode() for b in chunks.take(pa.array(some)).to_pylist()])
+            sizes[some] = [len(x) for x in found]
+            parts.append((some, np.concatenate(found)))
+        starts = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), dtype=self.kind)
+        for group, ids in parts:
+            out[spread(starts[group], sizes[group])] = ids
+        return out, sizes
+
+    def _cuts(self, raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Where chunks start: at the texts' starts, and wherever a piece certainly ends."""
+        if not len(raw):
+            return np.zeros(0, dtype=np.int64)
+        kinds = KINDS[raw]
+        # a character of two or three bytes that can't be a blank counts as a mark that nothing but a blank parts from its neighbours
+        wide = np.flatnonzero(kinds == TAIL)
+        wide = wide[wide > 2]
+        whole = (kinds[wide - 1] == LEAD2) | (kinds[wide - 1] == TAIL) & (kinds[wide - 2] == LEAD3)
+        solid = SOLID[kinds]
+        solid[wide[whole]] = True
+        # a lone blank between two others: cut before it, and behind it unless it is a space
+        blank = np.flatnonzero(BLANK[kinds[1:-1]]) + 1
+        blank = blank[solid[blank - 1] & FRONT[kinds[blank + 1]]]
+        text = np.searchsorted(edges, blank, side="right")
+        blank = blank[(blank > edges[text - 1]) & (blank + 1 < edges[text])]
+        starts = np.zeros(len(raw), dtype=bool)
+        starts[1:] = PARTS[kinds[:-1] * 16 + kinds[1:]]
+        starts[blank] = True
+        starts[blank[kinds[blank] == LINE] + 1] = True
+        starts[edges[:-1][np.diff(edges) > 0]] = True
+        return np.flatnonzero(starts)
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one text after the other (each with the end id behind it), and how many each text has."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+        edges = offsets - offsets[0]
+        whole = raw.tobytes() if self.special else b""
+        if not self.splits or any(s.encode() in whole for s in self.special):
+            found = self._plain(texts.to_pylist())
+            sizes = np.array([len(x) for x in found], dtype=np.int64)
+            ids = np.concatenate(found) if len(found) else np.zeros(0, dtype=self.kind)
+        else:
+            starts = self._cuts(raw, edges)
+            bounds = np.append(starts, len(raw)).astype(np.int32)
+            chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
+            place = pc.index_in(chunks.dictionary, value_set=self.known).to_numpy(zero_copy_only=False)
+            missing = np.isnan(place) if place.dtype.kind == "f" else np.zeros(len(place), dtype=bool)
+            if missing.any():
+                new = chunks.dictionary.filter(pa.array(missing))
+                ids, n = self._chunk_ids(new)
+                place[missing] = len(self.known) + np.arange(len(new))
+                self.known = pa.concat_arrays([self.known, new])
+                self.ids = np.concatenate([self.ids, ids])
+                self.stops = np.concatenate([self.stops, self.stops[-1] + np.cumsum(n)])
+            which = place.astype(np.int64)[chunks.indices.to_numpy()]
+            n = self.stops[which + 1] - self.stops[which]
+            ids = self.ids[spread(self.stops[which], n)]
+            through = np.concatenate([[0], np.cumsum(n)])
+            sizes = np.diff(through[np.searchsorted(starts, edges)])
+            if self.known.nbytes + self.ids.nbytes + self.stops.nbytes > HELD_BYTES:
+                self._forget()
+        if end is not None:
+            out = np.full(len(ids) + len(sizes), end, dtype=self.kind)
+            out[spread(np.cumsum(sizes + 1) - sizes - 1, sizes)] = ids
+            return out, sizes + 1
+        return ids, sizes
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -171,46 +203,59 @@ def encoder(path: str) -> Encoder:
 
 
 MANIFEST = "part int, seq int, name string, bytes long, records long, ids long, width int"
+ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("width", pa.int32())])
+
+
+def encoded(documents: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """doc_id, the ids of the whole text and the end id (little-endian) and their width, in the shared folder."""
+
+    def run(batches):
+        codec = encoder(tokenizer)
+        for batch in batches:
+            for part in slices(batch, 1, BATCH_ROWS, BATCH_BYTES):
+                ids, sizes = codec.encode(part.column(1), end_id)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * codec.width
+                rows = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), rows, pa.array(np.full(len(sizes), codec.width, dtype=np.int32))], schema=ENCODED)
+
+    texts = documents.select(F.col("doc_id").cast(LongType()).alias("doc_id"), "text")
+    return stage(texts.mapInArrow(run, "doc_id long, ids binary, width int"), "record-ids", codec="lz4")
 
 
 def write_records(documents: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, roll: int = ROLL_BYTES) -> DataFrame:
     """Writes the files; returns the manifest, a row for each file, itself kept in the shared folder."""
-    width = shuffle_width(documents.sparkSession)
 
     def write(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        codec = encoder(tokenizer)
-        end = np.array([end_id], dtype=codec.kind).tobytes()
         out = Rolled(folder, f"part-{part:06d}", ".rec", roll)
         starts: list[int] = []
-        ids = 0
+        ids = width = 0
 
         def closed():
             nonlocal starts, ids
             name, size = out.commit()
             out.beside(".idx", frame(np.array(starts, dtype="<u8").tobytes()))
-            row = [part, out.count - 1, name, size, len(starts), ids, codec.width]
+            row = [part, out.count - 1, name, size, len(starts), ids, width]
             starts, ids = [], 0
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, KINDS, strict=True)], names=NAMES)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, KINDS_OF, strict=True)], names=NAMES)
 
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for a in range(0, len(keys), 256):
-                some = keys.slice(a, 256).to_pylist()
-                for key, data in zip(some, codec.encode([t or "" for t in texts.slice(a, 256).to_pylist()]), strict=True):
-                    data = struct.pack("<Bq", key is None, key or 0) + data + end
-                    starts.append(out.write(frame(data)))
-                    ids += (len(data) - 9) // codec.width
+            for part_of in slices(batch, 1):
+                for key, raw, width in zip(*[c.to_pylist() for c in part_of.columns], strict=True):
+                    starts.append(out.write(frame(struct.pack("<Bq", key is None, key or 0) + raw)))
+                    ids += len(raw) // width
                     if out.full:
                         yield closed()
         if starts:
             yield closed()
 
-    kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-    NAMES, KINDS = [c.split()[0] for c in MANIFEST.split(", ")], kinds
-    run = documents.select(F.col("doc_id").cast(LongType()).alias("doc_id"), "text").repartitionByRange(width, "doc_id").sortWithinPartitions("doc_id")
+    KINDS_OF = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    NAMES = [c.split()[0] for c in MANIFEST.split(", ")]
+    spot = F.xxhash64("ids")
+    found = encoded(documents, tokenizer, end_id)
+    run = found.withColumn("spot", spot).repartitionByRange(shuffle_width(documents.sparkSession), "doc_id", "spot").sortWithinPartitions("doc_id", "spot", "ids").drop("spot")
     return stage(run.mapInArrow(write, MANIFEST), "records-manifest")
 
 
