@@ -113,3 +113,16 @@ def running_sum(df: DataFrame, group: str, order: list[str], value: str, name: s
         .withColumn("before", F.col("_local") + F.col("_off"))
         .drop("_part", "_local", "_off")
     )
+
+
+def range_bounds(df: DataFrame, width: int, each: int = 20, most: int = 1_000_000) -> list[tuple]:
+    """Up to width - 1 ascending rows of df (no nulls) that cut it into runs of like size.
+
+    They come from a seeded sample of `each` rows a run, `most` in all, as Spark's own range partitioning takes
+    its bounds: the sample decides where files end, never what is in them.
+    """
+    wanted = min(each * width, most)
+    rows = df.count()
+    some = df if rows <= wanted else df.sample(min(1.0, 1.1 * wanted / rows), 17)
+    found = sorted(tuple(r) for r in some.collect())
+    return sorted({found[len(found) * k // width] for k in range(1, width)}) if found else []

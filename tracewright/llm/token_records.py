@@ -1,8 +1,7 @@
 """Token ids in length-delimited binary records with a separate offset index.
 
-Texts are encoded where they are read; the ids, which are smaller, are staged and range-sorted by doc_id, and
-every task streams its run of records into files of the shared folder. A record is: length (8 bytes), masked
-CRC-32C of the length, payload, masked CRC-32C of the payload. A payload is a flag byte (1: the id is null), the
+Texts are encoded where they are read; the ids, which are smaller, are exchanged once, by ranges of doc_id (whose
+bounds come from a sample), and every task sorts its run and streams it into files of the shared folder. A record is: length (8 bytes), masked CRC-32C of the length, payload, masked CRC-32C of the payload. A payload is a flag byte (1: the id is null), the
 doc_id (8 bytes) and the ids, two bytes each if the vocabulary allows, else four; all little-endian. Beside each
 file lies `.idx`: a frame with the records' offsets (8 bytes each), for shuffled reads.
 
@@ -17,6 +16,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .batches import slices
-from .common import fresh_dir, shuffle_width, stage
+from .common import fresh_dir, range_bounds, shuffle_width, stage
 from .files import Rolled, frame, frames, opened
 
 END_ID = 2
@@ -203,23 +203,31 @@ def encoder(path: str) -> Encoder:
 
 
 MANIFEST = "part int, seq int, name string, bytes long, records long, ids long, width int"
-ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("width", pa.int32())])
+ENCODED = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("spot", pa.int64()), ("ids", pa.binary()), ("width", pa.int32())])
 
 
-def encoded(documents: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, the ids of the whole text and the end id (little-endian) and their width, in the shared folder."""
+def encoded(documents: DataFrame, tokenizer: str, width: int, end_id: int = END_ID) -> DataFrame:
+    """doc_id, the ids of the whole text and the end id (little-endian) and their width; part: the row's range of ids.
+
+    Rows with one id are told apart by a checksum of their text, so that a hot (or null) id fills many ranges.
+    """
+    key = F.col("doc_id").cast(LongType())
+    texts = documents.select(key.isNotNull().alias("known"), F.coalesce(key, F.lit(0)).alias("key"), F.xxhash64("text").alias("spot"), "text")
+    bounds = range_bounds(texts.drop("text"), width)
 
     def run(batches):
         codec = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, 1, BATCH_ROWS, BATCH_BYTES):
-                ids, sizes = codec.encode(part.column(1), end_id)
+            for some in slices(batch, 3, BATCH_ROWS, BATCH_BYTES):
+                known, keys, spots, column = some.columns
+                parts = [bisect_right(bounds, row) for row in zip(known.to_pylist(), keys.to_pylist(), spots.to_pylist(), strict=True)]
+                ids, sizes = codec.encode(column, end_id)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * codec.width
                 rows = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([part.column(0), rows, pa.array(np.full(len(sizes), codec.width, dtype=np.int32))], schema=ENCODED)
+                ids_of = pc.if_else(known, keys, pa.scalar(None, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), ids_of, spots, rows, pa.array(np.full(len(sizes), codec.width, dtype=np.int32))], schema=ENCODED)
 
-    texts = documents.select(F.col("doc_id").cast(LongType()).alias("doc_id"), "text")
-    return stage(texts.mapInArrow(run, "doc_id long, ids binary, width int"), "record-ids", codec="lz4")
+    return texts.mapInArrow(run, "part int, doc_id long, spot long, ids binary, width int")
 
 
 def write_records(documents: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, roll: int = ROLL_BYTES) -> DataFrame:
@@ -253,9 +261,8 @@ def write_records(documents: DataFrame, folder: str, tokenizer: str, end_id: int
 
     KINDS_OF = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
     NAMES = [c.split()[0] for c in MANIFEST.split(", ")]
-    spot = F.xxhash64("ids")
-    found = encoded(documents, tokenizer, end_id)
-    run = found.withColumn("spot", spot).repartitionByRange(shuffle_width(documents.sparkSession), "doc_id", "spot").sortWithinPartitions("doc_id", "spot", "ids").drop("spot")
+    parts = shuffle_width(documents.sparkSession)
+    run = encoded(documents, tokenizer, parts, end_id).repartitionById(parts, "part").sortWithinPartitions("doc_id", "spot", "ids").select("doc_id", "ids", "width")
     return stage(run.mapInArrow(write, MANIFEST), "records-manifest")
 
 
