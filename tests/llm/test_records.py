@@ -202,8 +202,52 @@ def test_query_stores_the_pcm(spark, monkeypatch):
     import zlib
 
     staged, stage = [], audio.stage
-    monkeypatch.setattr(audio, "stage", lambda df, name: staged.append(stage(df, name)) or staged[-1])
+    monkeypatch.setattr(audio, "stage", lambda df, name, **how: staged.append(stage(df, name, **how)) or staged[-1])
     rows = {r["doc_id"]: r for r in audio.op9_audio(spark, "/root/testdata/sf0.001").collect()}
     held = staged[-1].select("doc_id", "pcm").collect()
     assert len(held) == len(rows)
-    assert all(rows[r["doc_id"]]["feature"].endswith(f"pcm={zlib.crc32(r['pcm']):08x}") for r in held)
+    sounds = {r["doc_id"]: audio.unpacked(r["pcm"]).astype("<i2").tobytes() for r in held}
+    assert all(rows[k]["feature"].endswith(f"pcm={zlib.crc32(s):08x}") for k, s in sounds.items())
+
+
+def test_packing_is_lossless():
+    rng = np.random.default_rng(5)
+    sounds = [np.zeros(0), np.array([-32768]), np.array([32767, -32768]), rng.integers(-32768, 32768, 1001), rng.integers(-3, 3, 1000), rng.integers(-32768, 32768, 70000)]
+    sounds += [audio.resample_double(x.astype(np.int16)) for x in sounds if len(x)]
+    for pcm in sounds:
+        pcm = pcm.astype(np.int16)
+        back = audio.unpacked(audio.packed(pcm))
+        assert back.dtype == np.int16 and np.array_equal(back, pcm)
+    assert len(audio.packed(audio.resample_double(rng.integers(-3, 3, 1000).astype(np.int16)))) < 1100
+
+
+def test_audio_feature_by_brute_force(spark):
+    """The stored sound, decoded sample by sample, gives the query's feature."""
+    docs = odd_documents(spark)
+    got = {(r["doc_id"], r["media_sha256"]): r["feature"] for r in audio.read_features(audio.store_pcm(audio.store_media(docs))).collect()}
+    for d in docs.collect():
+        payload = audio.payload_of(d["text"])[1]
+        codec = audio.CODECS[zlib.crc32(payload) % 3]
+        pcm = []
+        if codec == "adpcm":
+            for a in range(0, len(payload), 192):
+                now = index = 0
+                pcm.append(0)
+                for byte in payload[a : a + 192]:
+                    for code in (byte & 15, byte >> 4):
+                        step = audio.STEPS[index]
+                        change = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                        now = max(-32768, min(32767, now - change if code & 8 else now + change))
+                        index = max(0, min(88, index + audio.CHANGES[code & 7]))
+                        pcm.append(now)
+        else:
+            pcm = [int((audio.MULAW if codec == "mulaw" else audio.ALAW)[b]) for b in payload]
+        out = audio.resample_double(np.array(pcm, dtype=np.int16)).tolist()
+        assert out[::2] == pcm
+        cross = sum((a < 0) != (b < 0) for a, b in zip(out, out[1:]))
+        want = f"{codec};n={len(out)};peak={max(map(abs, out))};energy={sum(x * x for x in out) // len(out)};crossings={cross};pcm={zlib.crc32(np.array(out, dtype='<i2').tobytes()):08x}"
+        assert got[d["doc_id"], hashlib.sha256(audio.to_wav(payload, codec)).hexdigest()] == want
+
+
+def test_audio_of_an_empty_table(spark):
+    assert audio.read_features(audio.store_pcm(audio.store_media(odd_documents(spark).limit(0)))).count() == 0

@@ -2,7 +2,7 @@
 
 A payload becomes a WAV file of 8 kHz codes: one byte is one mu-law or A-law sample, or two ADPCM
 nibbles. Files are stored in the shared folder as a Parquet column, read back, expanded by lookup
-tables (ADPCM: all blocks of a batch in step) and resampled to 16 kHz PCM.
+tables (ADPCM: all blocks of a batch in step) and resampled to 16 kHz PCM, which is stored packed without loss.
 
 Cases. Null text is empty; payloads are filled with blanks to a positive multiple of 192 bytes, so
 an empty one holds one frame; equal texts give equal files and features, whatever their ids; null
@@ -105,6 +105,49 @@ def resample_double(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
+#: How packed sound begins: flags and the number of samples.
+_PACKED = struct.Struct("<BI")
+_PALETTE, _EXACT = 1, 2
+
+
+def packed(pcm: np.ndarray) -> bytes:
+    """16-bit samples without loss, so that a general compressor has little left to do.
+
+    Every other sample is stored, by its place among the values that occur if these are 256 at most, else as
+    its change. The samples between are stored as what they are off the interpolated ones: for sound that
+    resample_double made that is nothing, and one flag says so.
+    """
+    own, between = pcm[::2], pcm[1::2]
+    off = (between - resample_double(own)[1::2][: len(between)]).astype("<i2") if len(pcm) else between
+    values = np.unique(own)
+    flags = (_PALETTE if 0 < len(values) <= 256 else 0) | (0 if off.any() else _EXACT)
+    if flags & _PALETTE:
+        body = bytes([len(values) - 1]) + values.astype("<i2").tobytes() + np.searchsorted(values, own).astype(np.uint8).tobytes()
+    else:
+        body = np.diff(own, prepend=np.int16(0)).astype("<i2").tobytes()
+    return _PACKED.pack(flags, len(pcm)) + body + (b"" if flags & _EXACT else off.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The samples of packed()."""
+    flags, n = _PACKED.unpack_from(data)
+    half, at = -(-n // 2), _PACKED.size
+    if flags & _PALETTE:
+        many = data[at] + 1
+        values = np.frombuffer(data, dtype="<i2", count=many, offset=at + 1)
+        own = values[np.frombuffer(data, dtype=np.uint8, count=half, offset=at + 1 + 2 * many)]
+        at += 1 + 2 * many + half
+    else:
+        own = np.cumsum(np.frombuffer(data, dtype="<i2", count=half, offset=at), dtype=np.int16)
+        at += 2 * half
+    if not n:
+        return own.astype(np.int16)
+    out = resample_double(own)[:n]
+    if not flags & _EXACT:
+        out[1::2] += np.frombuffer(data, dtype="<i2", count=n // 2, offset=at)
+    return out
+
+
 def payload_of(text: str | None) -> tuple[int, bytes]:
     raw = (text or "").encode("utf-8", "surrogatepass")
     return len(raw), raw + b" " * (-len(raw) % FRAME if raw else FRAME)
@@ -177,6 +220,10 @@ DECODED = pa.schema(
 _DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
 
 
+#: Media columns are pressed harder than other staged tables: they are the job's product, and read more often than written.
+PRESSED = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(4 << 20)}
+
+
 def store_media(documents: DataFrame, name: str = "audio") -> DataFrame:
     """doc_id, n_bytes and the stored WAV file of each text; the payload's checksum picks the codec."""
 
@@ -187,11 +234,11 @@ def store_media(documents: DataFrame, name: str = "audio") -> DataFrame:
                 yield record_batch(MEDIA, part.column(0), [n for n, _ in made], [to_wav(p, CODECS[zlib.crc32(p) % 3]) for _, p in made])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stage(texts.mapInArrow(build, "doc_id long, n_bytes long, media binary"), name)
+    return stage(texts.mapInArrow(build, "doc_id long, n_bytes long, media binary"), name, **PRESSED)
 
 
-def decode_media(media: DataFrame, keep_pcm: bool = True) -> DataFrame:
-    """Digests and features of stored files, and their PCM at 16 kHz (little-endian, 16 bit)."""
+def decode_media(media: DataFrame, keep_pcm: bool = True, pack: bool = False) -> DataFrame:
+    """Digests and features of stored files, and their PCM at 16 kHz (little-endian, 16 bit; or packed())."""
 
     def decode(batches):
         for batch in batches:
@@ -210,25 +257,25 @@ def decode_media(media: DataFrame, keep_pcm: bool = True) -> DataFrame:
                     [len(w) for w in stored],
                     [hashlib.sha256(w).hexdigest() for w in stored],
                     [feature_of(c, s) for (c, _), s in zip(files, sounds, strict=True)],
-                    [s.tobytes() if keep_pcm else None for s in sounds],
+                    [None if not keep_pcm else packed(s) if pack else s.tobytes() for s in sounds],
                 )
 
     return media.mapInArrow(decode, _DDL)
 
 
 def store_pcm(media: DataFrame, name: str = "audio-pcm") -> DataFrame:
-    """decode_media written to the shared folder, PCM and all."""
-    return stage(decode_media(media), name)
+    """decode_media written to the shared folder, PCM (packed) and all."""
+    return stage(decode_media(media, pack=True), name, **PRESSED)
 
 
 def read_features(stored: DataFrame) -> DataFrame:
-    """The rows of store_pcm without their PCM; the features are those of the stored PCM."""
+    """The rows of store_pcm without their PCM; the features are those of the stored PCM, unpacked."""
 
     def read(batches):
         for batch in batches:
             for part in slices(batch, 8, limit=8 << 20):
                 codecs = [f.partition(";")[0] for f in part.column(7).to_pylist()]
-                features = [feature_of(c, np.frombuffer(b, dtype="<i2")) for c, b in zip(codecs, part.column(8).to_pylist(), strict=True)]
+                features = [feature_of(c, unpacked(b)) for c, b in zip(codecs, part.column(8).to_pylist(), strict=True)]
                 yield record_batch(pa.schema(list(DECODED)[:8]), *[part.column(k) for k in range(7)], features)
 
     return stored.mapInArrow(read, _DDL.removesuffix(", pcm binary"))

@@ -16,10 +16,13 @@ _MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; unset (tests), one of our own."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; unset, one of our own if all run in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir is unset, and on {master} a folder of this machine would not be shared")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tracewright-"))
     return _OWN_DIR[0]
@@ -40,15 +43,15 @@ def release(spark: SparkSession) -> int:
     return gone
 
 
-def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back.
+def stage(df: DataFrame, name: str, codec: str = "zstd", **options) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back. options: further ones of the writer.
 
     This cuts the lineage (a lost executor re-reads files instead of recomputing), and pins
     non-deterministic columns such as partition numbers.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
