@@ -218,6 +218,8 @@ def test_packing_is_lossless():
         pcm = pcm.astype(np.int16)
         back = audio.unpacked(audio.packed(pcm))
         assert back.dtype == np.int16 and np.array_equal(back, pcm)
+        shared = audio.levels_of([pcm, np.array([5, 5], dtype=np.int16)])
+        assert shared is None or np.array_equal(audio.unpacked(audio.packed(pcm, shared)), pcm)
     assert len(audio.packed(audio.resample_double(rng.integers(-3, 3, 1000).astype(np.int16)))) < 1100
 
 

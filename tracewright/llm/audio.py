@@ -110,17 +110,23 @@ _PACKED = struct.Struct("<BI")
 _PALETTE, _EXACT = 1, 2
 
 
-def packed(pcm: np.ndarray) -> bytes:
+def levels_of(sounds: list[np.ndarray]) -> np.ndarray | None:
+    """The values of every other sample of all sounds, if these are 256 at most."""
+    values = np.unique(np.concatenate([np.unique(s[::2]) for s in sounds])) if sounds else np.zeros(0, dtype=np.int16)
+    return values if 0 < len(values) <= 256 else None
+
+
+def packed(pcm: np.ndarray, values: np.ndarray | None = None) -> bytes:
     """16-bit samples without loss, so that a general compressor has little left to do.
 
-    Every other sample is stored, by its place among the values that occur if these are 256 at most, else as
-    its change. The samples between are stored as what they are off the interpolated ones: for sound that
+    Every other sample is stored, by its place among `values` (the levels of many sounds, so that equal stretches of
+    them look alike; of this one by default) if there are 256 at most, else as its change. The samples between are stored as what they are off the interpolated ones: for sound that
     resample_double made that is nothing, and one flag says so.
     """
     own, between = pcm[::2], pcm[1::2]
     off = (between - resample_double(own)[1::2][: len(between)]).astype("<i2") if len(pcm) else between
-    values = np.unique(own)
-    flags = (_PALETTE if 0 < len(values) <= 256 else 0) | (0 if off.any() else _EXACT)
+    values = levels_of([pcm]) if values is None else values
+    flags = (0 if values is None else _PALETTE) | (0 if off.any() else _EXACT)
     if flags & _PALETTE:
         body = bytes([len(values) - 1]) + values.astype("<i2").tobytes() + np.searchsorted(values, own).astype(np.uint8).tobytes()
     else:
@@ -221,7 +227,7 @@ _DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 
 
 #: Media columns are pressed harder than other staged tables: they are the job's product, and read more often than written.
-PRESSED = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(4 << 20)}
+PRESSED = {"parquet.compression.codec.zstd.level": "11", "parquet.page.size": str(4 << 20)}
 
 
 def store_media(documents: DataFrame, name: str = "audio") -> DataFrame:
@@ -247,6 +253,7 @@ def decode_media(media: DataFrame, keep_pcm: bool = True, pack: bool = False) ->
                 files = [from_wav(w) for w in stored]
                 payloads = [payload_from(c, d) for c, d in files]
                 sounds = [resample_double(pcm) for pcm in expand(files)]
+                shared = {c: levels_of([s for (k, _), s in zip(files, sounds, strict=True) if k == c]) for c in CODECS} if pack else {}
                 yield record_batch(
                     DECODED,
                     part.column(0),
@@ -257,7 +264,7 @@ def decode_media(media: DataFrame, keep_pcm: bool = True, pack: bool = False) ->
                     [len(w) for w in stored],
                     [hashlib.sha256(w).hexdigest() for w in stored],
                     [feature_of(c, s) for (c, _), s in zip(files, sounds, strict=True)],
-                    [None if not keep_pcm else packed(s) if pack else s.tobytes() for s in sounds],
+                    [None if not keep_pcm else packed(s, shared[c]) if pack else s.tobytes() for (c, _), s in zip(files, sounds, strict=True)],
                 )
 
     return media.mapInArrow(decode, _DDL)
