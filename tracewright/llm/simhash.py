@@ -7,13 +7,17 @@ spanning forest of the links it found, so a group of n near copies gives n - 1 l
 and not n^2. Tile pairs whose population counts differ by more than the radius are not made. The
 classes are the connected components of the links, found in rounds on the cluster.
 
-The comparison is exact and so quadratic in the number of distinct fingerprints. What is shuffled is
-not, while a tile holds at most TILE fingerprints: the table is cut into about TILES tiles whatever its
-size, so each fingerprint goes to at most that many tasks.
-
-The pipeline's copies (one_of_each) are not decided by fingerprints: every pair of texts with a Jaccard
-similarity of 0.8 or more on sets of five words is found by shared prefix shingles, verified on the
-whole sets (as 64-bit hashes), and linked; classes are components of verified links.
+The comparison is exact and so quadratic in the number of distinct fingerprints. A tile holds at most TILE of
+them, so a task compares at most TILE^2 pairs; a table is cut into about TILES tiles until these are full. Up to
+TILES * TILE distinct fingerprints the rows shuffled grow with the table, beyond that with its square, as the
+comparisons do throughout.
+
+The pipeline's copies (one_of_each) are texts whose sets of five words have a Jaccard similarity of 0.8 or more.
+Candidates are found by the same comparison, over fingerprints of 256 bits within a radius that pairs at 0.8 hardly
+ever pass (unequal sets of fewer than four shingles can't be similar enough, and sizes must be), and verified on
+the whole sets (as 64-bit hashes). First every set is verified against its nearest candidate; then all candidates
+that these links leave apart, less those whose bitmaps prove them too different. So what is verified grows with
+the rows, but for groups of sets that are close and yet not similar enough: of these all pairs are verified.
 
 Cases. Null text is empty: fingerprint zero, linked like any other; rows with a null id belong to
 classes but never name them (a class without ids has a null name); repeated rows share their class;
@@ -22,6 +26,8 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,11 +41,11 @@ from .common import stage
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-TILES, TILE = 24, 1 << 20
+TILES, TILE = 24, 44_000
 
 
-def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED, once: bool = False) -> list[int]:
-    """XXH64 of every shingle of lower-cased words; of the whole sequence if it is shorter. once: repeats count once."""
+def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> list[int]:
+    """XXH64 of every shingle of lower-cased words; of the whole sequence if it is shorter."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return []
@@ -50,25 +56,22 @@ def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED, once
     starts = [0, *ends[: len(words) - size].tolist()]
     stops = (ends[size - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)]
-    return list(set(hashes)) if once else hashes
+    return [digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)]
 
 
 #: Odd factors that make further independent words of a fingerprint from one hash.
 _FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, parts: int = 1, once: bool = False) -> list[int]:
-    """`parts` unsigned 64-bit words: the bits set in over half the hashes. Later words mix the hashes anew."""
-    hashes = shingle_hashes(text, size, once=once)
-    if not hashes:
+def majority(hashes: np.ndarray, parts: int = 1) -> list[int]:
+    """The bits set in over half the hashes; words after the first mix the hashes anew."""
+    if not len(hashes):
         return [0] * parts
-    every = np.array(hashes, dtype=np.uint64)
     out = []
     for k in range(parts):
-        mixed = every
+        mixed = hashes
         if k:
-            mixed = every * np.uint64(_FACTORS[k])
+            mixed = hashes * np.uint64(_FACTORS[k])
             mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(_FACTORS[1])
             mixed = mixed ^ (mixed >> np.uint64(29))
         cells = mixed.astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -79,41 +82,56 @@ def fingerprint(text: str | None, size: int = SHINGLE, parts: int = 1, once: boo
     return out
 
 
-def fingerprints(documents: DataFrame, size: int = SHINGLE, parts: int = 1, once: bool = False) -> DataFrame:
-    """doc_id and the fingerprint's words as signed integers print0, print1, ..."""
-    schema = pa.schema([("doc_id", pa.int64()), *[(f"print{k}", pa.int64()) for k in range(parts)]])
+def fingerprints(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id and the fingerprint as a signed integer, print0."""
+    schema = pa.schema([("doc_id", pa.int64()), ("print0", pa.int64())])
 
     def build(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                prints = np.array([fingerprint(t, size, parts, once) for t in part.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-                yield record_batch(schema, part.column(0), *prints.T)
+                prints = [majority(np.array(shingle_hashes(t, size), dtype=np.uint64))[0] for t in part.column(1).to_pylist()]
+                yield record_batch(schema, part.column(0), np.array(prints, dtype=np.uint64).view(np.int64))
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(build, "doc_id long" + "".join(f", print{k} long" for k in range(parts)))
+    return texts.mapInArrow(build, "doc_id long, print0 long")
 
 
-def tiles_for(counts: dict[int, int], radius: int, tiles: int = TILES) -> list[tuple[int, int, int, int]]:
-    """(population count, first tile, tiles, reach) of a plan: counts are packed or cut into about `tiles` tiles.
+def tiles_for(counts: dict[tuple[int, int], int], radius: int, tiles: int = TILES) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]]]:
+    """(band, population count, first tile, tiles) of a plan, and the spans (tile, low, high) of tiles that each meets.
 
-    Tiles are numbered in the order of their population counts, so the tiles within reach of one
-    are neighbours by number: reach is the last of them.
+    counts: fingerprints by (band, population count). Tiles are numbered by band, then by population count, so those
+    within reach of one (itself and later ones of its band, and some of the next band) are neighbours by number.
     """
     size = min(TILE, max(1, -(-sum(counts.values()) // tiles)))
-    plan, number, room = [], -1, 0
-    low: list[int] = []
-    for bits in sorted(counts):
-        n = counts[bits]
-        if n <= room and number >= 0:
-            plan.append([bits, number, 1])
+    plan: list[tuple[int, int, int, int]] = []
+    bands: dict[int, tuple[int, list[int], list[int]]] = {}  # band: its first tile, the least and the greatest count of each
+    number, room = -1, 0
+    for band, bits in sorted(counts):
+        n = counts[band, bits]
+        if band not in bands:
+            bands[band], room = (number + 1, [], []), 0
+        _, low, top = bands[band]
+        if n <= room:
+            plan.append((band, bits, number, 1))
             room -= n
-        else:
-            cut = -(-n // size)
-            plan.append([bits, number + 1, cut])
-            low += [bits] * cut
-            number += cut
-            room = size - n if cut == 1 else 0
-    return [(bits, first, cut, max(t for t, b in enumerate(low) if b <= max(c[0] for c in plan if c[1] == first) + radius)) for bits, first, cut in plan]
+            top[-1] = bits
+            continue
+        cut = -(-n // size)
+        plan.append((band, bits, number + 1, cut))
+        low += [bits] * cut
+        top += [bits] * cut
+        number += cut
+        room = size - n if cut == 1 else 0
+    spans = []
+    for band, (first, low, top) in bands.items():
+        for i in range(len(low)):
+            spans.append((first + i, first + i, first + bisect_right(low, top[i] + radius) - 1))
+            if band + 1 in bands:
+                start, lows, tops = bands[band + 1]
+                a, b = bisect_left(tops, low[i] - radius), bisect_right(lows, top[i] + radius) - 1
+                if a <= b:
+                    spans.append((first + i, start + a, start + b))
+    return plan, spans
 
 
 def forest(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -145,10 +163,10 @@ def forest(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return links
 
 
-def compare(prints: np.ndarray, second: np.ndarray | None, radius: int, first_radius: int, rows: int = 128, columns: int = 4096) -> list[tuple[int, int]]:
-    """Links (indexes into prints, then into second behind them) that span what the tiles' matches connect.
+def near_pairs(prints: np.ndarray, second: np.ndarray | None, radius: int, first_radius: int, keep=None, rows: int = 128, columns: int = 4096):
+    """Arrays (i, j, distance) of pairs within the radius: of prints with themselves or, behind them, with second.
 
-    prints: (n, words). Pairs within first_radius by the first word, and not yet connected, are compared whole.
+    prints: (n, words). Only pairs within first_radius by the first word, that keep(i, j) lets pass, are compared whole.
     """
     own = second is None
     every = prints if own else np.concatenate([prints, second])
@@ -156,7 +174,6 @@ def compare(prints: np.ndarray, second: np.ndarray | None, radius: int, first_ra
     bits = np.bitwise_count(head).astype(np.int16)
     first = np.argsort(bits[: len(prints)], kind="stable")
     other = first if own else len(prints) + np.argsort(bits[len(prints) :], kind="stable")
-    labels, links = np.arange(len(every)), []
     for a in range(0, len(first), rows):
         i = first[a : a + rows]
         x = head[i][:, None]
@@ -165,50 +182,103 @@ def compare(prints: np.ndarray, second: np.ndarray | None, radius: int, first_ra
             if bits[j[0]] > bits[i[-1]] + first_radius or bits[j[-1]] < bits[i[0]] - first_radius:
                 continue
             p, q = np.nonzero(np.bitwise_count(x ^ head[j]) <= first_radius)
+            if own:  # each pair once
+                later = a + p < b + q
+                p, q = p[later], q[later]
             p, q = i[p], j[q]
-            if every.shape[1] > 1 and len(p):
-                apart = labels[p] != labels[q]
-                p, q = p[apart], q[apart]
-                near = np.bitwise_count(every[p] ^ every[q]).sum(axis=1) <= radius
-                p, q = p[near], q[near]
-            if len(p):
-                links += forest(labels, p, q)
-    return links
-
-
-def links(prints: DataFrame, radius: int = RADIUS, first_radius: int | None = None, tiles: int = TILES) -> DataFrame:
-    """Pairs of nodes (a, b) within the radius whose components are those of all such pairs.
-
-    prints: distinct fingerprints with a number `node`. first_radius bounds the distance of the first words.
+            if keep is not None and len(p):
+                some = keep(p, q)
+                p, q = p[some], q[some]
+            if not len(p):
+                continue
+            far = np.bitwise_count(every[p] ^ every[q]).sum(axis=1, dtype=np.int32)
+            near = far <= radius
+            if near.any():
+                yield p[near], q[near], far[near]
+
+
+def compare(prints: np.ndarray, second: np.ndarray | None, radius: int, first_radius: int, **how) -> list[tuple[int, int]]:
+    """Links (indexes into prints, then into second behind them) that span what the tiles' matches connect."""
+    labels, found = np.arange(len(prints) + (0 if second is None else len(second))), []
+    for p, q, _ in near_pairs(prints, second, radius, first_radius, lambda p, q: labels[p] != labels[q], **how):
+        found += forest(labels, p, q)
+    return found
+
+
+def similar_sizes(n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (n[p] * OF >= n[q] * NEAR) & (n[q] * OF >= n[p] * NEAR)
+
+
+def nearest(prints: np.ndarray, second: np.ndarray | None, radius: int, first_radius: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each index that has one within the radius (and near in size n): it, its nearest, and the distance."""
+    best, where = np.full(len(n), 1 << 20, dtype=np.int64), np.full(len(n), -1, dtype=np.int64)
+    for p, q, far in near_pairs(prints, second, radius, first_radius, lambda p, q: similar_sizes(n, p, q)):
+        one, two, far = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([far, far])
+        order = np.lexsort((two, far, one))
+        one, two, far = one[order], two[order], far[order]
+        head = np.flatnonzero(np.r_[True, one[1:] != one[:-1]])
+        one, two, far = one[head], two[head], far[head]
+        less = far < best[one]
+        best[one[less]], where[one[less]] = far[less], two[less]
+    found = np.flatnonzero(where >= 0)
+    return found, where[found], best[found]
+
+
+def unlinked(prints: np.ndarray, second: np.ndarray | None, radius: int, first_radius: int, n: np.ndarray, label: np.ndarray, maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within the radius with different labels that sizes and bitmaps don't prove too different."""
+    found = [(np.zeros(0, dtype=np.int64),) * 2]
+    for p, q, _ in near_pairs(prints, second, radius, first_radius, lambda p, q: (label[p] != label[q]) & similar_sizes(n, p, q)):
+        both = n[p] + n[q]
+        apart = np.bitwise_count(maps[p] ^ maps[q]).sum(axis=1, dtype=np.int64)
+        fits = apart * (NEAR + OF) <= both * (OF - NEAR)
+        found.append((p[fits], q[fits]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def tiled(prints: DataFrame, radius: int, work, ddl: str, carried: tuple[str, ...] = (), tiles: int = TILES, banded: bool = False) -> DataFrame:
+    """What work() makes of every pair of tiles that may hold fingerprints within the radius by their first words.
+
+    prints: distinct fingerprints print0, ..., a number `node`, and what is carried; banded: only those whose sizes n
+    may make a similarity of NEAR / OF meet. work(cells, second, node, carried) gets the fingerprints of one tile and
+    of the other (None: one tile with itself) and arrays of both.
     """
     spark = prints.sparkSession
     words = [c for c in prints.columns if c.startswith("print")]
-    near = radius if first_radius is None else first_radius
-    counted = prints.groupBy(F.bit_count("print0").alias("bits")).count().collect()  # 65 rows at most
-    plan = tiles_for({r["bits"]: r["count"] for r in counted}, near, tiles)
-    table = spark.createDataFrame(plan or [(0, 0, 1, 0)], "bits int, first int, cut int, reach int")
-    dealt = (
-        prints.withColumn("bits", F.bit_count("print0"))
-        .join(F.broadcast(table), "bits")
-        .withColumn("tile", F.col("first") + F.pmod(F.xxhash64(*words), F.col("cut")).cast("int"))
-    )
-    # a tile meets itself and the later ones in its reach; each later one is met by all whose reach it is in
-    heads = dealt.select(F.col("tile").alias("a"), F.explode(F.sequence("tile", "reach")).alias("b"), "node", *words, F.lit(0).alias("side"))
-    each = F.transform(F.sequence(F.col("first"), F.col("first") + F.col("cut") - 1), lambda t: F.struct(t.alias("tile"), F.col("reach").alias("reach")))
-    spans = table.groupBy().agg(F.array_distinct(F.flatten(F.collect_list(each))).alias("spans"))
-    before = F.filter("spans", lambda s: (s["tile"] < F.col("tile")) & (s["reach"] >= F.col("tile")))["tile"]
-    tails = dealt.crossJoin(F.broadcast(spans)).select(F.explode(before).alias("a"), F.col("tile").alias("b"), "node", *words, F.lit(1).alias("side"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(OF / NEAR))).cast("int") if banded else F.lit(0)
+    prints = prints.withColumn("band", band).withColumn("bits", F.bit_count("print0"))
+    counted = prints.groupBy("band", "bits").count().collect()  # 65 rows a band at most, and 4 bands as a size doubles
+    plan, spans = tiles_for({(r["band"], r["bits"]): r["count"] for r in counted}, radius, tiles)
+    table = spark.createDataFrame(plan or [(0, 0, 0, 1)], "band int, bits int, first int, cut int")
+    reach = spark.createDataFrame(spans or [(0, 0, 0)], "tile int, low int, high int")
+    dealt = prints.join(F.broadcast(table), ["band", "bits"]).withColumn("tile", F.col("first") + F.pmod(F.xxhash64(*words), F.col("cut")).cast("int"))
+    own = ["node", *words, *carried]
+    # a tile meets itself and the later ones in its spans; each later one is met by all in whose spans it is
+    heads = dealt.join(F.broadcast(reach), "tile").select(F.col("tile").alias("a"), F.explode(F.sequence("low", "high")).alias("b"), *own, F.lit(0).alias("side"))
+    every = reach.groupBy().agg(F.collect_list(F.struct("tile", "low", "high")).alias("spans"))
+    met = F.filter("spans", lambda s: (s["tile"] != F.col("tile")) & (s["low"] <= F.col("tile")) & (s["high"] >= F.col("tile")))["tile"]
+    tails = dealt.crossJoin(F.broadcast(every)).select(F.explode(met).alias("a"), F.col("tile").alias("b"), *own, F.lit(1).alias("side"))
 
     def match(key, group):
-        side, node = group["side"].to_numpy(), group["node"].to_numpy()
-        cells = np.ascontiguousarray(group[words].to_numpy()).view(np.uint64)
+        side = group["side"].to_numpy()
         order = np.concatenate([np.flatnonzero(side == 0), np.flatnonzero(side == 1)])
-        n, cells, node = int((side == 0).sum()), cells[order], node[order]
-        alone = key[0] == key[1]
-        found = compare(cells[:n], None if alone else cells[n:], radius, near) if n and (alone or n < len(cells)) else []
+        columns = {c: group[c].to_numpy()[order] for c in ("node", *carried)}
+        cells = np.ascontiguousarray(group[words].to_numpy()[order]).view(np.uint64)
+        n, alone = int((side == 0).sum()), key[0] == key[1]
+        if not n or not (alone or n < len(cells)):
+            return work(cells[:0], None, {c: v[:0] for c, v in columns.items()})
+        return work(cells[:n], None if alone else cells[n:], columns)
+
+    return heads.unionByName(tails).groupBy("a", "b").applyInPandas(match, ddl)
+
+
+def links(prints: DataFrame, radius: int = RADIUS, tiles: int = TILES) -> DataFrame:
+    """Pairs of nodes (a, b) within the radius whose components are those of all such pairs. prints: distinct, with a number `node`."""
+
+    def work(cells, second, columns):
+        found, node = compare(cells, second, radius, radius), columns["node"]
         return pd.DataFrame({"a": node[[i for i, _ in found]], "b": node[[j for _, j in found]]}, dtype="int64")
 
-    return heads.unionByName(tails).groupBy("a", "b").applyInPandas(match, "a long, b long")
+    return tiled(prints, radius, work, "a long, b long", tiles=tiles)
 
 
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
@@ -234,26 +304,32 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(documents: DataFrame, size: int = SHINGLE, radius: int = RADIUS, parts: int = 1, first_radius: int | None = None, once: bool = False, tiles: int = TILES) -> DataFrame:
-    """doc_id, the fingerprint's words (signed) and component_id: the least doc_id that the document reaches."""
-    words = [f"print{k}" for k in range(parts)]
-    prints = stage(fingerprints(documents, size, parts, once), "prints")
-    distinct = prints.groupBy(*words).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+def near_duplicates(documents: DataFrame, size: int = SHINGLE, radius: int = RADIUS, tiles: int = TILES) -> DataFrame:
+    """doc_id, the fingerprint print0 (signed) and component_id: the least doc_id that the document reaches."""
+    prints = stage(fingerprints(documents, size), "prints")
+    distinct = prints.groupBy("print0").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
     distinct = stage(distinct, "prints-distinct")
-    roots = components(links(distinct.drop("least"), radius, first_radius, tiles), "print-links").withColumnRenamed("node", "_node")
+    roots = components(links(distinct.drop("least"), radius, tiles), "print-links").withColumnRenamed("node", "_node")
     joined = distinct.join(roots, F.col("node") == F.col("_node")).select("node", "least", "root")
     names = joined.groupBy("root").agg(F.min("least").alias("name"))
-    named = distinct.join(joined.join(names, "root").select("node", "name"), "node", "left").select(*words, F.coalesce("name", "least").alias("component_id"))
-    return prints.join(named, words).select("doc_id", *words, "component_id")
+    named = distinct.join(joined.join(names, "root").select("node", "name"), "node", "left").select("print0", F.coalesce("name", "least").alias("component_id"))
+    # a frequent fingerprint (that of empty texts, say) is dealt out over SALTS tasks
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    dealt = named.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return prints.withColumn("_salt", salt).join(dealt, ["print0", "_salt"]).select("doc_id", "print0", "component_id")
 
 
 #: Copies are texts whose sets of five words have a Jaccard similarity of NEAR / OF or more.
 COPY, NEAR, OF = 5, 4, 5
-#: Words of 64 bits in a set's bitmap; documents sampled for shingles that many have, how many of them make a shingle
-#: common, and how many such shingles are known at most. Sampling decides the order of shingles, so the speed, never the result.
-BITMAP = 16
-SAMPLED, COMMON, KNOWN = 8192, 4, 1 << 18
+#: Sets with fewer shingles are similar enough to equal ones alone.
+LEAST = NEAR
+#: Words of 64 bits in a fingerprint and in a set's bitmap. At a similarity of 0.8 fingerprints differ in some 39 of 256
+#: bits (standard deviation 6), in 48 at worst (four shingles of five); the first words in 10 to 12 of 64.
+PARTS, BITMAP = 4, 16
+WIDE, WIDE_FIRST = 72, 22
 SLOTS = 1 << 24
+#: Tasks over which rows with one fingerprint are dealt.
+SALTS = 8
 
 
 def shingle_set(text: str | None, size: int = COPY) -> np.ndarray:
@@ -261,73 +337,53 @@ def shingle_set(text: str | None, size: int = COPY) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, size), dtype=np.uint64))
 
 
-def common_shingles(documents: DataFrame, size: int = COPY) -> np.ndarray:
-    """Shingles that many of a sample of the documents have, the rarest first (KNOWN at most)."""
-    share = min(1.0, SAMPLED / max(1, documents.count()))
-
-    def build(batches):
-        for batch in batches:
-            for part in slices(batch, 0):
-                for text in part.column(0).to_pylist():
-                    yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, size).view(np.int64))], names=["h"])
-
-    some = documents.select("text") if share == 1 else documents.select("text").sample(share, SEED)
-    counted = some.mapInArrow(build, "h long").groupBy("h").count().filter(F.col("count") >= COMMON)
-    rows = counted.orderBy(F.desc("count"), "h").limit(KNOWN).collect()
-    return np.array([r["h"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
-
-
-def sketches(rows: DataFrame, common: np.ndarray, size: int = COPY) -> DataFrame:
-    """For each row its set's 128-bit checksum (sum0, sum1), its size n, a bitmap (bits0, ...) and the prefix.
+def sketches(rows: DataFrame, size: int = COPY) -> DataFrame:
+    """For each row its set's 128-bit checksum (sum0, sum1), its size n, its fingerprint and a bitmap (bits0, ...).
 
-    The prefix holds the n - ceil(n * NEAR / OF) + 1 first shingles in one order of all shingles (common ones
-    last): sets that are similar enough have one of them in common. A bitmap's bit is the parity of the
-    shingles that fall on it, so bitmaps differ in no more bits than their sets in shingles.
+    A bitmap's bit is the parity of the shingles that fall on it, so bitmaps differ in no more bits than their
+    sets in shingles.
     """
-    bits = [f"bits{k}" for k in range(BITMAP)]
-    schema = pa.schema([("row", pa.int64()), ("sum0", pa.int64()), ("sum1", pa.int64()), ("n", pa.int32()), *[(b, pa.int64()) for b in bits], ("prefix", pa.list_(pa.int64()))])
-    by_hash = np.argsort(common)
-    table = rows.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))
+    names = ["sum0", "sum1", "n", *[f"print{k}" for k in range(PARTS)], *[f"bits{k}" for k in range(BITMAP)]]
+    schema = pa.schema([("row", pa.int64()), *[(c, pa.int64()) for c in names]])
 
-    def sketch(text, known, rank):
+    def sketch(text):
         found = shingle_set(text, size)
-        n, raw = len(found), found.tobytes()
         parity = (np.bincount((found % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)
-        at = np.minimum(np.searchsorted(known, found), len(known) - 1) if len(known) else np.zeros(n, dtype=np.int64)
-        is_common = known[at] == found if len(known) else np.zeros(n, dtype=bool)
-        last = found[is_common][np.argsort(rank[at[is_common]])]
-        order = np.concatenate([found[~is_common], last])[: n - -(-n * NEAR // OF) + 1 if n else 0]
-        digest = xxhash.xxh3_128_intdigest(raw)
-        sums = np.array([digest >> 64, digest & (1 << 64) - 1], dtype=np.uint64).view(np.int64).tolist()
-        return [*sums, n, *np.packbits(parity).view(np.int64).tolist(), order.view(np.int64)]
+        digest = xxhash.xxh3_128_intdigest(found.tobytes())
+        words = np.array([digest >> 64, digest & (1 << 64) - 1, len(found), *majority(found, PARTS)], dtype=np.uint64)
+        return np.concatenate([words.view(np.int64), np.packbits(parity).view(np.int64)])
 
     def build(batches):
-        known, rank = table.value
         for batch in batches:
             for part in slices(batch, 1):
-                made = [sketch(t, known, rank) for t in part.column(1).to_pylist()]
-                yield record_batch(schema, part.column(0), *zip(*made, strict=True))
-
-    ddl = "row long, sum0 long, sum1 long, n int" + "".join(f", {b} long" for b in bits) + ", prefix array<long>"
-    return rows.select("row", "text").mapInArrow(build, ddl)
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that may be similar enough: all that are, by bounds that hold for each such pair."""
-    least = lambda x, y: F.ceil((F.col(x) + F.col(y)) * F.lit(NEAR) / F.lit(NEAR + OF) - F.lit(1e-6))  # noqa: E731  common shingles needed
-    terms = nodes.select("node", "n", F.posexplode("prefix").alias("at", "h"))
-    x = terms.select("h", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    y = terms.select("h", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    fits = (F.col("a") < F.col("b")) & (F.col("n_a") * OF >= F.col("n_b") * NEAR) & (F.col("n_b") * OF >= F.col("n_a") * NEAR)
-    # behind the first common shingle no more can follow than either set has left
-    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least("n_a", "n_b")
-    pairs = x.join(y, "h").filter(fits & left).select("a", "b").distinct()
-    bits = [f"bits{k}" for k in range(BITMAP)]
-    maps = nodes.select("node", "n", *bits)
-    for side in "ab":
-        pairs = pairs.join(maps.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), *[F.col(b).alias(f"{b}_{side}") for b in bits]), side)
-    apart = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in bits), F.lit(0))
-    return pairs.filter(apart <= F.col("n_a") + F.col("n_b") - 2 * least("n_a", "n_b")).select("a", "b")
+                yield record_batch(schema, part.column(0), *np.array([sketch(t) for t in part.column(1).to_pylist()]).T)
+
+    return rows.select("row", "text").mapInArrow(build, "row long, " + ", ".join(f"{c} long" for c in names))
+
+
+def nearest_of(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b: each node with the nearest of its candidates, if it has one."""
+
+    def work(cells, second, columns):
+        one, two, far = nearest(cells, second, WIDE, WIDE_FIRST, columns["n"])
+        return pd.DataFrame({"x": columns["node"][one], "y": columns["node"][two], "far": far}, dtype="int64")
+
+    found = tiled(nodes, WIDE_FIRST, work, "x long, y long, far long", ("n",), banded=True)
+    best = found.groupBy("x").agg(F.min_by("y", F.struct("far", "y")).alias("y"))
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def unlinked_of(nodes: DataFrame) -> DataFrame:
+    """All pairs (a, b), a < b, of candidates with different labels. nodes: node, n, label, fingerprint and bitmap."""
+    bits = tuple(f"bits{k}" for k in range(BITMAP))
+
+    def work(cells, second, columns):
+        maps = np.stack([columns[c] for c in bits], axis=1).view(np.uint64)
+        p, q = unlinked(cells, second, WIDE, WIDE_FIRST, columns["n"], columns["label"], maps)
+        x, y = columns["node"][p], columns["node"][q]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}, dtype="int64")
+
+    return tiled(nodes, WIDE_FIRST, work, "a long, b long", ("n", "label", *bits), banded=True)
 
 
 def named_rows(rows: DataFrame, named: DataFrame) -> DataFrame:
@@ -338,17 +394,20 @@ def named_rows(rows: DataFrame, named: DataFrame) -> DataFrame:
     return sifted.filter("shiftright(_bits, CAST(_slot % 64 AS INT)) % 2 <> 0").drop("_at", "_bits", "_slot").join(named, "row", "left_semi")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, size: int = COPY) -> DataFrame:
-    """Of the pairs (a, b) of row numbers, those whose texts' sets are similar enough; less pairs that others connect.
-
-    Each b's least a is verified first; then all pairs that these links leave apart.
-    """
+def sets_of(rows: DataFrame, used: DataFrame, size: int = COPY) -> DataFrame:
+    """row and its set (held, sorted hashes) for the rows in used, in the shared folder."""
 
     def pack(batches):
         for batch in batches:
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, size).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["row", "held"])
 
+    return stage(named_rows(rows.select("row", "text"), used).mapInArrow(pack, "row long, held binary"), "copy-sets", codec="none")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+
     def check(batches):
         for batch in batches:
             near = []
@@ -358,19 +417,8 @@ def verified(pairs: DataFrame, rows: DataFrame, size: int = COPY) -> DataFrame:
                 near.append(both * OF >= (len(p) + len(q) - both) * NEAR)
             yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = stage(named_rows(rows.select("row", "text"), used).mapInArrow(pack, "row long, held binary"), "copy-sets")
-
-    def similar(some):
-        both = some.join(sets.select(F.col("row").alias("a"), F.col("held").alias("p")), "a").join(sets.select(F.col("row").alias("b"), F.col("held").alias("q")), "b")
-        return stage(both.select("a", "b", "p", "q").mapInArrow(check, "a long, b long"), "copy-pairs")
-
-    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    links = similar(first)
-    rest, roots = pairs.join(first, ["a", "b"], "left_anti"), components(links, "copy-links")
-    for side in "ab":
-        rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    return links.unionByName(similar(rest.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")))
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("held").alias("p")), "a").join(sets.select(F.col("row").alias("b"), F.col("held").alias("q")), "b")
+    return stage(both.select("a", "b", "p", "q").mapInArrow(check, "a long, b long"), "copy-pairs")
 
 
 def copies(rows: DataFrame, size: int = COPY) -> DataFrame:
@@ -378,11 +426,18 @@ def copies(rows: DataFrame, size: int = COPY) -> DataFrame:
 
     Equal sets are one node (the least row), so only different sets are paired.
     """
-    found = stage(sketches(rows, common_shingles(rows, size), size), "copy-sketches")
+    found = stage(sketches(rows, size), "copy-sketches")
     equal = stage(found.groupBy("sum0", "sum1").agg(F.min("row").alias("node")), "copy-nodes")
-    nodes = found.join(equal.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    pairs = stage(candidates(nodes), "copy-candidates")
-    roots = components(verified(pairs, rows, size), "copy-links")
+    nodes = found.filter(F.col("n") >= LEAST).join(equal.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    first = stage(nearest_of(nodes.select("node", "n", *[f"print{k}" for k in range(PARTS)])), "copy-nearest")
+    used = stage(first.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "copy-used")
+    sets = sets_of(rows, used, size)
+    near = similar(first, sets)
+    roots = components(near, "copy-links")
+    # a node without a candidate needs no second look
+    rest = nodes.join(used.withColumnRenamed("row", "node"), "node").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    more = similar(stage(unlinked_of(rest.drop("root", "row", "sum0", "sum1")), "copy-unlinked"), sets)
+    roots = components(near.unionByName(more), "copy-links")
     classes = equal.join(roots, "node", "left").select("sum0", "sum1", F.coalesce("root", "node").alias("class"))
     return found.select("row", "sum0", "sum1").join(classes, ["sum0", "sum1"]).select("row", "class")
 
