@@ -67,6 +67,81 @@ def test_toxicity_cases(spark):
     assert {r["score"] for r in toxicity.scored(docs, unlabelled).select("score").collect()} == {0.5}
 
 
+def test_matcher_equals_a_naive_one():
+    """Hits and exceptions against a search of every entry at every word."""
+    rng = np.random.default_rng(11)
+    stems = ["grob", "grobn", "fuzz", "fuzzle", "dork", "ripp"]
+    weights = {s: float(rng.uniform(2, 5)) for s in stems}
+    spared = ["grobnik", "dork side", "fuzzle wuzzle fuzz", "ripp"]
+    a = toxicity.Lexicon(weights, spared, []).automaton()
+    pool = ["grob", "grobner", "grobnik", "fuzzy", "fuzzles", "fuzzle", "wuzzle", "fuzz", "dork", "side", "sider", "ripp", "ripper", "plain", "a", "agrob"]
+    for _ in range(300):
+        text = toxicity.fold(" ".join(rng.choice(pool, rng.integers(0, 30))))
+        want, at = {}, [i for i, c in enumerate(text) if c == " " and i + 1 < len(text)]
+        for i in at:
+            found = [w for k, w in weights.items() if text.startswith(" " + k, i)]
+            covered = any(b <= i < b + len(p) + 1 for p in spared for b in at if text.startswith(f" {p} ", b))
+            if found and not covered:
+                want[i] = max(found)
+        assert toxicity.hits(a, text) == want
+
+
+def test_many_hits_and_exceptions_take_no_quadratic_time():
+    import time
+
+    a = toxicity.Lexicon({"scumb": 3.0}, ["scumble"], []).automaton()
+    text = toxicity.fold("scumbag scumble " * 200_000)
+    start = time.process_time()
+    assert len(toxicity.hits(a, text)) == 200_000
+    assert time.process_time() - start < 20
+
+
+def test_near_copies_in_the_sample():
+    rng = np.random.default_rng(2)
+    w = [f"w{rng.integers(10**6)}" for _ in range(200)]
+    alike = lambda t: sum(x == y for x, y in zip(toxicity._signature(" ".join(w)), toxicity._signature(" ".join(t)), strict=True))
+    assert alike(w) == toxicity.MINIMA and alike([*w, "more"]) >= toxicity.ALIKE
+    assert alike([*w[:80], *(f"v{k}" for k in range(120))]) < toxicity.ALIKE
+    assert toxicity._signature("") == toxicity._signature("  ")
+
+
+def test_all_lines_are_learned_from(spark, monkeypatch):
+    """A long document's lines all reach the fit, with their true neighbours, whatever a chain may hold."""
+    lines = "\n".join(f"line {k} {'x' * (k % 7)}" for k in range(500))
+    docs = spark.createDataFrame([(1, lines, 1), (2, "short | | one", 0), (3, "two\nlines", 1)], "doc_id long, text string, quality int")
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, counts, y, rounds=3: seen.append((x, counts)) or fit(x, counts, y, 3))
+    for window in (512, 64):
+        seen.clear()
+        monkeypatch.setattr(quality, "WINDOW", window)
+        monkeypatch.setattr(quality.windows, "__defaults__", (window,))
+        quality.learn(docs, docs.select("doc_id", "quality"))
+        assert seen and all(len(x) == 503 == c.sum() and c.max() <= window for x, c in seen)
+        first = seen[0][0]
+        own = first[:, : quality.OWN]
+        long = next(a for a in range(504) if np.all(first[a, quality.OWN : 2 * quality.OWN] == 0) and a + 499 < 503 and np.any(first[a + 499, quality.OWN : 2 * quality.OWN]))
+        assert np.array_equal(first[long + 1 : long + 500, quality.OWN : 2 * quality.OWN], own[long : long + 499])
+    assert quality.windows(np.array([1, 64, 65, 200]), 64).tolist() == [1, 64, 64, 1, 64, 64, 64, 8]
+
+
+def test_quality_query_by_brute_force(spark):
+    """The query's scores against the definition: every labelling of a text's lines, weighted and summed."""
+    docs = spark.createDataFrame([(i, "A calm line of words here.\nAnd one more, quite plain." if i % 2 else "A | b | c!! | d%%\nX!! Y!! Z!! | |", i % 2) for i in range(60)], "doc_id long, text string, y int")
+    field = quality.learn(docs, docs.select("doc_id", F.col("y").alias("quality")))
+    texts = ["A calm line.\n| | |\n\nplain words", "", "one", "x\ny"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.scored(rows, field).collect()}
+    for i, t in enumerate(texts):
+        own, counts, sizes = quality.own_features([t])
+        x = quality.with_neighbours((own - field.mean) / field.spread, counts)
+        emission, total, good = x @ field.theta, 0.0, np.zeros(len(x))
+        for y in itertools.product((0, 1), repeat=len(x)):
+            w = math.exp(sum(e * v for e, v in zip(emission, y)) + sum(field.change[a, b] for a, b in zip(y, y[1:])))
+            total, good = total + w, good + w * np.array(y)
+        share = float(np.dot(good / total, sizes + 1) / (sizes + 1).sum())
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(share * field.curve[0] + field.curve[1]))), rel=1e-6)
+
+
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(5)
     counts = np.array([3, 1, 4])

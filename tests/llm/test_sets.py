@@ -87,6 +87,18 @@ def test_water_filling(spark):
         assert got == pytest.approx(water_fill(sizes))
 
 
+def test_equal_rows_are_repeated_each_on_its_own(spark):
+    rows = [(7, "a b c", "en", "a")] * 50 + [(i, "a b c d", "en", "b") for i in range(100)] + [(None, "x y", "en", None)] * 20
+    docs = documents(spark, rows).withColumn("_number", F.lit(1)).withColumn("_times", F.lit("clash"))
+    size = words_of(F.col("text"))
+    taken = {r["source_key"]: r["n"] for r in mixing.mix(docs, size).groupBy("source_key").agg(F.sum("copies").alias("n")).collect()}
+    out = mixing.repeated(docs, size)
+    assert out.columns == docs.columns
+    got = {"1" if r["source"] is None else "0" + r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    assert got == taken
+    assert sorted(map(str, out.collect())) == sorted(map(str, mixing.repeated(docs.repartition(3), size).collect()))
+
+
 def test_mix_cases(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), "en", ("a", "b", None)[i % 3]) for i in range(300)] + [(None, None, None, "a"), (7, "", "en", "b"), (7, "", "en", "b")]
@@ -282,6 +294,34 @@ def test_a_large_benchmark_takes_several_passes(spark, monkeypatch):
     assert sorted((r["doc_id"], r["i"]) for r in found) == [(i, i) for i in range(12)]
 
 
+def test_passes_score_as_one_index(spark, monkeypatch):
+    """Items that share words, in one index and in many: the same leaks with the same scores."""
+    rng = random.Random(5)
+    pool = [f"v{k}" for k in range(200)]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(6, 30)))) for i in range(60)] + [(60, "yes"), (61, "yes no yes no")]
+    docs = documents(spark, [(i, " ".join([*(rng.choice(pool) for _ in range(80)), items[i][1], *(rng.choice(pool) for _ in range(80)), "yes no yes no yes"]), "en", "s") for i in range(60)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for limit in (1 << 20, 500):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", limit)
+        rows = decontamination.annotate(docs, bench, "found").select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*").collect()
+        found.append({(r["doc_id"], r["item_id"]): (round(r["score"], 9), *tuple(r)[3:]) for r in rows})
+    assert found[0] == found[1] and {(i, i) for i in range(60)} <= set(found[0]) and not {60, 61} & {i for _, i in found[0]}
+
+
+def test_small_batches_find_the_same(monkeypatch):
+    rng = random.Random(10)
+    pool = [f"v{k}" for k in range(100)]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(12))) for i in range(50)]
+    texts = [" ".join([*(rng.choice(pool) for _ in range(90)), t]) for _, t in items] + ["", None]
+    index = decontamination.Index(items, block=2)
+    want = index.leaks(texts)
+    for rows, cells in ((1, 1), (30, 60), (200, 10_000)):
+        monkeypatch.setattr(decontamination, "ROWS", rows)
+        monkeypatch.setattr(decontamination, "CELLS", cells)
+        assert index.leaks(texts) == want
+
+
 # --- pipeline -------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ gives the strings' probabilities. Scoring looks strings and words up in tables o
 broadcast, that hold the frequent ones; the rest are joined on the cluster.
 
 The text that is scored is the tokens of the base score: words in lower case (A-Z), a blank between
-them, and one end mark.
+them, and one end mark. Its code length is given in bits (code_bits) and per byte of it (bits_per_byte).
 
 Cases. Null and empty texts are one end token; null ids count as the empty text in the split; repeated
 rows count and score each; without training rows every bit costs one bit; an empty table gives no
@@ -332,10 +332,10 @@ def frequent(table: DataFrame, most: int) -> int:
 
 
 SCORED = pa.schema(
-    [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
+    [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_bytes", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
      ("rare_words", pa.list_(pa.binary())), ("rare_grams", pa.list_(pa.int64()))]
 )
-_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare_words array<binary>, rare_grams array<long>"
+_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base double, score double, rare_words array<binary>, rare_grams array<long>"
 
 
 def score(documents: DataFrame, strings: int = STRINGS, most_words: int = WORDS) -> DataFrame:
@@ -378,7 +378,7 @@ def score(documents: DataFrame, strings: int = STRINGS, most_words: int = WORDS)
                     n.append(len(w))
                     n_known.append(len(found))
                     base.append(sum(found))
-                yield record_batch(SCORED, part.column(0), part.column(1), n, n_known, base, sums, rare, missing)
+                yield record_batch(SCORED, part.column(0), part.column(1), n, n_known, sizes, base, sums, rare, missing)
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), MODULUS).alias("held_out"), "text")
     done = stage(texts.mapInArrow(run, _DDL).withColumn("uid", F.monotonically_increasing_id()), "lm-scores")
@@ -406,8 +406,9 @@ def score(documents: DataFrame, strings: int = STRINGS, most_words: int = WORDS)
         (F.col("base") + F.coalesce("more_base", zero) - F.col("n_tokens") * total).alias("base_score"),
         (F.col("score") + F.coalesce("more_score", zero)).alias("score"),
         (-(F.col("score") + F.coalesce("more_score", zero)) * float(np.log2(10))).alias("code_bits"),
-    )
+        "n_bytes",
+    ).withColumn("bits_per_byte", F.col("code_bits") / F.col("n_bytes"))
 
 
 def op5_context_tree(spark, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("code_bits")
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))

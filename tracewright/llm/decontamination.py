@@ -9,9 +9,12 @@ WAND's pivots. A retrieved item is a leak if the passage holds at least `similar
 shingles of its question (all but the last sentence) and as much of its answer (the last sentence).
 
 The index is broadcast for at most BLOCK_BYTES of item text at a time; a larger benchmark is taken
-in several passes of the documents.
+in several passes of the documents, each written before the next. What scores and passages depend on (the number
+of items, their average and greatest length, the words' document frequencies) is counted once over all items, so
+the passes find what one index would.
 
-Cases. Null and empty texts and items match nothing; items with a null id are ignored; equal items
+Cases. Null and empty texts and items match nothing, and so do items of fewer than five words, which are no
+evidence; items with a null id are ignored; equal items
 are found each by its id; repeated rows of documents are found each; empty tables give no rows;
 other columns are ignored (or passed through where rows are annotated).
 """
@@ -20,21 +23,27 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from .batches import free_name, with_columns
+from .common import stage
 
 THRESHOLD = 0.6
 SIMILARITY = 0.8
 SHINGLE = 5
 #: Items in a block of the index.
 BLOCK = 8
-#: Item text in one index, in characters.
-BLOCK_BYTES = 16 << 20
+#: Item text in one index, in characters (a worker holds some 30 bytes for each).
+BLOCK_BYTES = 4 << 20
+#: Rows of the index and cells of sums that a batch of passages looks at together.
+ROWS, CELLS = 1 << 19, 1 << 21
 K1, B = 1.2, 0.75
 #: Share of an item's score that its commonest words may give without being looked up.
 COMMON = 0.2
@@ -69,31 +78,44 @@ def contained(part: list[str], passage: list[str], size: int = SHINGLE) -> float
     return len(mine & {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}) / len(mine)
 
 
+@dataclass
+class Statistics:
+    """What the scores take from all items: their number, average and greatest length in words, and words' document frequencies."""
+
+    items: int
+    average: float
+    longest: int
+    frequency: dict[str, int]
+
+    @classmethod
+    def of(cls, texts: list[list[str]]) -> Statistics:
+        frequency: dict[str, int] = {}
+        for seq in texts:
+            for w in set(seq):
+                frequency[w] = frequency.get(w, 0) + 1
+        return cls(len(texts), sum(map(len, texts)) / max(1, len(texts)), max(map(len, texts), default=1), frequency)
+
+
 class Index:
-    """Postings with impacts (a word's part of an item's score, 1 in all) and their block maxima."""
+    """Postings with impacts (a word's part of an item's score, 1 in all) and their block maxima.
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, similarity: float = SIMILARITY, block: int = BLOCK):
+    known: the statistics of all items, if these are only some of them.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, similarity: float = SIMILARITY, block: int = BLOCK, known: Statistics | None = None):
         self.threshold, self.similarity, self.block = threshold, similarity, block
         texts = [(i, t, words(t)) for i, t in sorted(items) if i is not None]
-        texts = [x for x in texts if x[2]]
+        texts = [x for x in texts if len(x[2]) >= SHINGLE]
         self.ids = [i for i, _, _ in texts]
         self.parts = [question_answer(t) for _, t, _ in texts]
-        self.longest = max((len(w) for _, _, w in texts), default=1)
-        average = sum(len(w) for _, _, w in texts) / max(1, len(texts))
-        counts = []
-        df: dict[str, int] = {}
-        for _, _, seq in texts:
-            tf: dict[str, int] = {}
-            for w in seq:
-                tf[w] = tf.get(w, 0) + 1
-            counts.append(tf)
-            for w in tf:
-                df[w] = df.get(w, 0) + 1
-        self.terms = {w: k for k, w in enumerate(sorted(df))}
+        known = known or Statistics.of([w for _, _, w in texts])
+        self.longest, average, every, df = known.longest, known.average, known.items, known.frequency
+        counts = [Counter(seq) for _, _, seq in texts]
+        self.terms = {w: k for k, w in enumerate(sorted({w for tf in counts for w in tf}))}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for item, ((_, _, seq), tf) in enumerate(zip(texts, counts, strict=True)):
             scores = {
-                w: math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(seq) / average))
+                w: math.log(1 + (every - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(seq) / average))
                 for w, n in tf.items()
             }
             total = sum(scores.values())
@@ -144,21 +166,29 @@ class Index:
         """(passage, block) whose maxima can reach the threshold."""
         at = np.flatnonzero((known >= 0) & self.rare[np.maximum(known, 0)]) if len(self.terms) else np.zeros(0, dtype=np.int64)
         # passages are a step apart and two steps long: a word is in one or two of them
-        out = []
+        fan = self.starts[known[at] + 1] - self.starts[known[at]]
         first, last = np.searchsorted(at, starts), np.searchsorted(at, stops)
-        sizes = last - first
-        a = 0
-        while a < len(starts):  # a bounded number of (word, passage) rows at once
-            b = max(a + 1, int(np.searchsorted(np.cumsum(sizes[a:]), 200_000, side="right")) + a)
-            n = sizes[a:b]
+        through = np.concatenate([[0], np.cumsum(fan)])
+        load = np.concatenate([[0], np.cumsum(through[last] - through[first])])
+        most = max(1, CELLS // max(1, self.n_blocks))
+        out, a = [], 0
+        while a < len(starts):
+            b = max(a + 1, min(int(np.searchsorted(load, load[a] + ROWS, side="right")) - 1, a + most))
+            n = last[a:b] - first[a:b]
             passage = np.repeat(np.arange(b - a), n)
-            word = known[at[np.repeat(first[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
-            m = self.starts[word + 1] - self.starts[word]
-            row = np.repeat(self.starts[word] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            cell = np.repeat(passage, m) * self.n_blocks + self.blocks[row]
-            reach = np.bincount(cell, weights=self.bounds[row], minlength=(b - a) * self.n_blocks)
+            place = np.repeat(first[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            reach = np.zeros((b - a) * self.n_blocks)
+            rows = np.cumsum(fan[place])
+            c = 0
+            while c < len(place):  # more than once for a passage beyond ROWS alone
+                d = max(c + 1, int(np.searchsorted(rows, (rows[c - 1] if c else 0) + ROWS, side="right")))
+                m, word = fan[place[c:d]], known[at[place[c:d]]]
+                row = np.repeat(self.starts[word] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                cell = np.repeat(passage[c:d], m) * self.n_blocks + self.blocks[row]
+                reach += np.bincount(cell, weights=self.bounds[row], minlength=len(reach))
+                c = d
             hit = np.flatnonzero(reach >= self.threshold - self.slack - 1e-9)
-            out += [(a + int(c) // self.n_blocks, int(c) % self.n_blocks) for c in hit]
+            out += [(a + int(x) // self.n_blocks, int(x) % self.n_blocks) for x in hit]
             a = b
         return out
 
@@ -169,7 +199,8 @@ class Index:
         for k in sorted(terms):
             bound = self.maxima[k].get(block)
             if bound is not None:
-                cursors.append([[p for p in self.postings[k] if low <= p[0] < high], 0, bound])
+                rows = self.postings[k]
+                cursors.append([rows[bisect_left(rows, (low,)) : bisect_left(rows, (high,))], 0, bound])
         found = []
         while cursors:
             cursors.sort(key=lambda c: c[0][c[1]][0])
@@ -232,17 +263,32 @@ def annotate(documents: DataFrame, benchmark: DataFrame, name: str, threshold: f
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-total // BLOCK_BYTES))
-    found = None
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(passes)).cast("int"))
+    profiles = stage(with_columns(items, "text", lambda: _profiled, ["n", "bag"], [LongType(), ArrayType(StringType())]).filter(F.col("n") >= SHINGLE).select("part", "n", "bag"), "leak-words")
+    size = profiles.agg(F.count("*").alias("items"), F.coalesce(F.sum("n") / F.count("*"), F.lit(0.0)).alias("average"), F.coalesce(F.max("n"), F.lit(1)).alias("longest")).first()
+    frequency = profiles.select(F.explode("bag").alias("word")).groupBy("word").count()
+    found = documents
     for k in range(passes):
-        some = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()  # about BLOCK_BYTES of text
-        index = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in some], threshold))
-        column = name if found is None else free_name(found, name)
-        found = with_columns(documents if found is None else found, "text", lambda i=index: (lambda texts: [i.value.leaks(texts)]), [column], [ArrayType(LEAK)])
+        some = items.filter(F.col("part") == k).select("item_id", "text").collect()  # about BLOCK_BYTES of text, and its words
+        own = frequency.join(profiles.filter(F.col("part") == k).select(F.explode("bag").alias("word")).distinct(), "word").collect()
+        known = Statistics(size["items"], size["average"], size["longest"], {r["word"]: r["count"] for r in own})
+        index = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in some], threshold, known=known))
+        column = name if k == 0 else free_name(found, name)
+        found = with_columns(found, "text", lambda i=index: (lambda texts: [i.value.leaks(texts)]), [column], [ArrayType(LEAK)])
         if column != name:
             found = found.withColumn(name, F.concat(name, column)).drop(column)
+        if passes > 1:  # one index at a time
+            found = stage(found, "leak-pass")
+            index.destroy()
     return found
 
 
+def _profiled(texts: list[str | None]) -> list[list]:
+    """How many words each text has, and which."""
+    split = [words(t) for t in texts]
+    return [[len(w) for w in split], [sorted(set(w)) for w in split]]
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without a leak, with their own columns."""
     name = free_name(documents, "leaks")

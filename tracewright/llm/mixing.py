@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import free_name
 from .common import numbered, running_sum, stage, words_of
 
 WEIGHTS = (5, 2, 1)
@@ -57,15 +58,17 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPO
     )
 
 
-def mix(documents: DataFrame, size, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source_key, size, source_size, target and copies (how often the mix repeats the row)."""
+def mix(documents: DataFrame, size, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, ties: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source_key, size, source_size, target and copies (how often the mix repeats the row), and the columns
+    `ties`, which order rows that share id and size."""
     keyed = documents.select(
         "doc_id",
         F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")).alias("source_key"),
         size.alias("size"),
         F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("draw"),
+        *ties,
     )
-    placed = stage(running_sum(keyed, "source_key", ["draw", "doc_id", "size"], "size", "mix-order"), "mix-before")
+    placed = stage(running_sum(keyed, "source_key", ["draw", "doc_id", "size", *ties], "size", "mix-order"), "mix-before")
     totals = placed.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -77,21 +80,23 @@ def mix(documents: DataFrame, size, weights=WEIGHTS, max_epochs: int = MAX_EPOCH
             "copies",
             F.col("_whole") + F.when(F.col("before") + F.col("size") / F.lit(2.0) <= F.col("_rest"), 1).otherwise(0),
         )
-        .select("doc_id", "source_key", "size", "source_size", "target", "copies")
+        .select("doc_id", "source_key", "size", "source_size", "target", "copies", *ties)
     )
 
 
 def repeated(documents: DataFrame, size, **how) -> DataFrame:
     """documents with every row as often as the mix takes it (its own columns alone).
 
-    Rows are matched by id and size; rows that share both repeat as often as the first of them.
+    Every row has a number of its own, so rows that share id, size or everything else are taken each on its own;
+    which of them come first depends on their texts.
     """
     columns = documents.columns
-    taken = mix(documents, size, **how).filter("copies > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source_key").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    source = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
-    met = documents.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (source == F.col("_source")) & (size == F.col("_size")))
-    return met.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(*columns)
+    spot, number = free_name(documents, "_spot"), free_name(documents, "_number")
+    rows = stage(documents.withColumn(spot, F.xxhash64("text")).withColumn(number, F.monotonically_increasing_id()), "mix-rows")
+    times, again = free_name(documents, "_times"), free_name(documents, "_again")
+    taken = mix(rows, size, ties=(spot, number), **how).filter("copies > 0").select(number, F.col("copies").cast("long").alias(times))
+    met = rows.join(taken, number).withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return met.select(*columns)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

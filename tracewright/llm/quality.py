@@ -19,14 +19,16 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType
+from pyspark.sql.types import BinaryType, DoubleType
 
 from .batches import with_columns
 from .learning import fit_logistic, held_out, labelled_sample, logistic, row_weights
 
-#: Labelled documents that are learned from, at most, and lines taken of each for the field.
+#: Labelled documents that are learned from, at most; all their lines are.
 SAMPLE = {0: 1000, 1: 1500}
-LINES = 64
+#: Lines of a chain in training. A longer document is cut into several chains: all lines keep their labels and their
+#: true neighbours' features, and the transition at a cut alone is not counted.
+WINDOW = 512
 THRESHOLD = 0.7
 ROUNDS, RATE, PENALTY = 120, 0.1, 1e-3
 
@@ -163,6 +165,11 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, rounds: int = ROUNDS)
     return w[:-4], w[-4:].reshape(2, 2)
 
 
+def windows(counts: np.ndarray, most: int = WINDOW) -> np.ndarray:
+    """Lines of the chains that documents of so many lines are cut into."""
+    return np.concatenate([np.r_[np.full((n - 1) // most, most), (n - 1) % most + 1] for n in counts]).astype(np.int64)
+
+
 def learn(documents: DataFrame, labels: DataFrame) -> Field:
     """A field from a bounded sample: line features come to the driver, never texts."""
     sample, totals = labelled_sample(documents, labels, "quality", SAMPLE, "quality-sample")
@@ -171,30 +178,31 @@ def learn(documents: DataFrame, labels: DataFrame) -> Field:
         def work(texts):
             own, counts, sizes = own_features(texts)
             ends = np.cumsum(counts)
-            return [[np.c_[own[a:b], sizes[a:b]][:: max(1, -(-(b - a) // LINES))].ravel().tolist() for a, b in zip(ends - counts, ends, strict=True)]]
+            return [[np.c_[own[a:b], sizes[a:b]].astype("<f4").tobytes() for a, b in zip(ends - counts, ends, strict=True)]]
 
         return work
 
-    rows = with_columns(sample.select("y", "text"), "text", make, ["f"], [ArrayType(FloatType())]).select("y", "f").collect()
-    rows.sort(key=lambda r: (r["y"], r["f"]))  # the sample's order is not fixed, sums should be
+    rows = with_columns(sample.select("y", "text"), "text", make, ["f"], [BinaryType()]).select("y", "f").collect()
+    rows.sort(key=lambda r: (r["y"], bytes(r["f"])))  # the sample's order is not fixed, sums should be
     labels_of = np.array([float(r["y"]) for r in rows])
     if not len(rows) or labels_of.min() == labels_of.max():
         field = Field(np.zeros(3 * OWN + 1), np.zeros((2, 2)), np.zeros(OWN), np.ones(OWN))
         field.curve = fit_logistic(np.zeros((len(rows), 1)), labels_of)
         return field
-    cells = [np.array(r["f"]).reshape(-1, OWN + 1) for r in rows]
+    cells = [np.frombuffer(bytes(r["f"]), dtype="<f4").astype(np.float64).reshape(-1, OWN + 1) for r in rows]
     counts = np.array([len(c) for c in cells])
     every = np.concatenate(cells)
     own, sizes = every[:, :OWN], every[:, OWN]
     mean, spread = own.mean(axis=0), own.std(axis=0) + 1e-3
     x = with_neighbours((own - mean) / spread, counts)
     y = np.repeat(labels_of, counts)
-    theta, change = fit(x, counts, y)
-    good = marginals(x @ theta, counts, change)[0]
+    chains = windows(counts)
+    theta, change = fit(x, chains, y)
+    good = marginals(x @ theta, chains, change)[0]
     starts = np.cumsum(counts) - counts
     worst = good == np.repeat(np.minimum.reduceat(good, starts), counts)
     y = np.where((y == 0) & (good > 0.8) & ~worst, 1.0, y)
-    field = Field(*fit(x, counts, y), mean, spread)
+    field = Field(*fit(x, chains, y), mean, spread)
     share = weighted(field.lines(own, counts), counts, sizes)
     field.curve = fit_logistic(share[:, None], labels_of, weights=row_weights(labels_of, totals))
     return field

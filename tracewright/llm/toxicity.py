@@ -8,6 +8,10 @@ that a caller names; a hit inside an exception doesn't count. The weights found,
 words, give the score by a logistic curve fitted on the sample, whose classes are weighted to their frequency
 among all training labels.
 
+Bounds, all parameters of learning alone: TOXIC_SAMPLE and CLEAN_SAMPLE documents, of near copies one (MINIMA,
+ALIKE); entries of SHORTEST to LONGEST letters, ENTRIES of them; PER_DOCUMENT occurrences of a beginning in one
+document. Scoring reads whole texts and counts every hit.
+
 Cases. Null and empty texts score as texts without a hit; without usable labels the score is one
 constant; null ids are scored and in the bucket of the empty text; repeated rows score alike; an
 empty table gives no rows; other columns are ignored.
@@ -16,7 +20,9 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -108,7 +114,12 @@ def hits(automaton, folded: str) -> dict[int, float]:
         else:
             at = end - n + 1
             best[at] = max(best.get(at, 0.0), weight)
-    return {at: w for at, w in best.items() if not any(a <= at < b for a, b in covered)} if covered else best
+    if not covered:
+        return best
+    covered.sort()
+    starts = [a for a, _ in covered]
+    reach = list(accumulate((b for _, b in covered), max))  # how far the spans up to each go
+    return {at: w for at, w in best.items() if not (k := bisect_right(starts, at)) or reach[k - 1] <= at}
 
 
 def measures(automaton, text: str | None) -> tuple[float, float, float]:
@@ -123,8 +134,10 @@ def measures(automaton, text: str | None) -> tuple[float, float, float]:
     return float(np.log1p(1000 * total / max(1, len((text or "").split())))), float(np.log1p(total)), 1.0
 
 
-#: Of one document, a beginning counts so often at most.
+#: In learning, one document counts so often at most for a beginning: a text that repeats a word speaks for itself alone.
 PER_DOCUMENT = 10
+#: Of labelled documents whose shingles' least values agree in so many of so many, one is learned from.
+MINIMA, ALIKE = 16, 12
 
 
 def _counted(sample: DataFrame, only=None) -> tuple[dict[str, tuple[int, int]], int]:
@@ -152,11 +165,17 @@ def _counted(sample: DataFrame, only=None) -> tuple[dict[str, tuple[int, int]],
     return out, out.pop("", (0, 0))[1]
 
 
-def _signature(text: str, n: int = 4) -> list[int]:
-    """Least hashes of the text's five-word shingles under n seeds; near copies agree in some."""
+def _signature(text: str) -> list[int]:
+    """Least values of the hashes of the text's five-word shingles under MINIMA mixings."""
     w = text.lower().split()
     grams = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-    return [min(xxhash.xxh32_intdigest(g, seed) for g in grams) for seed in range(n)]
+    hashes = np.array([xxhash.xxh64_intdigest(g) for g in grams], dtype=np.uint64)
+    odd = np.arange(MINIMA, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(0x9E3779B97F4A7C15)
+    out = []
+    for k in odd:
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * k
+        out.append(int((mixed ^ (mixed >> np.uint64(32))).min() >> np.uint64(1)))
+    return out
 
 
 def _without_copies(sample: DataFrame) -> list[int]:
@@ -167,13 +186,16 @@ def _without_copies(sample: DataFrame) -> list[int]:
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_signature(t) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "s"])
 
-    seen: set[tuple[int, int]] = set()
+    having: dict[tuple[int, int], list[int]] = {}
     kept = []
     for r in sorted(sample.select("doc_id", "text").mapInArrow(sign, "doc_id long, s array<long>").collect()):
-        keys = set(enumerate(r["s"]))
-        if not keys & seen:
-            kept.append(r["doc_id"])
-        seen |= keys
+        keys = list(enumerate(r["s"]))
+        agree = Counter(k for key in keys for k in having.get(key, ()))
+        if agree and max(agree.values()) >= ALIKE:
+            continue
+        kept.append(r["doc_id"])
+        for key in keys:
+            having.setdefault(key, []).append(r["doc_id"])
     return kept
 
 
