@@ -3,9 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet in the
 shared folder and hands it on, read again. All but the last return the columns of documents.
 
-Cases. Null texts count as empty; null ids are kept by the filters and come first in the records;
-repeated rows are near copies of each other, except that rows with equal ids stay together; an empty
-table passes through all stages.
+Cases. Null texts count as empty; null ids are kept by the filters (of near copies, rows with an id stay
+first) and come first in the records; repeated rows are near copies of each other; an empty table passes
+through all stages.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import decontamination, mixing, quality, simhash, token_records
 from tracewright.llm.batches import free_name
-from tracewright.llm.common import stage, words_of
+from tracewright.llm.common import made, release, stage, words_of
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least doc_id."""
+    """One document of each group of near copies: the one with the least doc_id, a null one last."""
     return simhash.one_of_each(docs)
 
 
@@ -59,6 +59,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    earlier = set(made())
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        # the stage is written: what it staged, and what it read, have served
+        release(spark, [p for p in made() if p not in earlier][:-1])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -171,7 +171,7 @@ def test_simhash_cases(spark):
     got = sorted((str(r["doc_id"]), r["component_id"]) for r in simhash.near_duplicates(docs.withColumn("print0", F.lit(1))).collect())
     assert got == [("3", 3), ("4", 4), ("5", 3), ("5", 3), ("7", 7), ("8", 7), ("9", 4), ("None", 7)]
     kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "7", "None"]
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "7"]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -230,6 +230,41 @@ def test_copies_are_decided_at_the_threshold(spark):
     assert got == want and 0 < len(want) < len(texts)
 
 
+def test_planted_pairs_are_found(spark):
+    """Recall at the stated threshold and above, for long and short texts, of pairs that share so many of their shingles."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"p{rng.randrange(10**7)}" for _ in range(n)]
+    texts, pairs = [], {}
+    for share in (0.80, 0.85, 0.90):
+        for n in (16, 60, 300):
+            for _ in range(25):
+                own = round(n * (1 - share) / (2 * share))  # shingles of each side alone
+                own = own - (n / (n + 2 * own) < share)
+                shared = fresh(n + 4)
+                pairs.setdefault(share, []).append((len(texts), len(texts) + 1))
+                texts += [" ".join(shared + fresh(own)), " ".join(shared + fresh(own))]
+    kept = {r["doc_id"] for r in simhash.one_of_each(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    for share, some in pairs.items():
+        assert all(a in kept for a, _ in some)
+        assert sum(b not in kept for _, b in some) / len(some) >= 0.99
+
+
+def test_a_large_group_makes_no_square(spark, monkeypatch):
+    """Near copies of one text: each is verified a few times, not with every other."""
+    rng = random.Random(23)
+    base = [f"g{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for k in rng.sample(range(400), 3):
+            w[k] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", "s"))
+    made, similar = [], simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda pairs, sets: made.append(pairs.count()) or similar(pairs, sets))
+    assert [r["doc_id"] for r in simhash.one_of_each(documents(spark, rows)).collect()] == [0]
+    assert sum(made) <= 3 * len(rows)
+
+
 # --- leaks ----------------------------------------------------------------------------------
 
 

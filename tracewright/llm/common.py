@@ -13,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _OWN_DIR: list[str] = []
 _MADE: list[str] = []
+#: Staged tables (kept, so that an id stays theirs) and their folders.
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,12 +36,21 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return _MADE[-1]
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the folders that this driver made in the shared one. For the end of a job: results that still read them are lost."""
+def made() -> list[str]:
+    """The folders that this driver made in the shared one and that are still there."""
+    return list(_MADE)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete the folders that this driver made in the shared one (or these of them). For the end of a job, or of a
+    part of it whose result is written: results that still read them are lost."""
     gone = 0
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in made() if paths is None else paths:
+        _MADE.remove(path)
+        gone += _delete(spark, path)
+    for key, (_, path) in list(_PATHS.items()):
+        if path not in _MADE:
+            del _PATHS[key]
     return gone
 
 
@@ -52,7 +63,22 @@ def stage(df: DataFrame, name: str, codec: str = "zstd", **options) -> DataFrame
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.options(compression=codec, **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(staged)] = staged, path
+    return staged
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete what stage() wrote for these, once nothing that is still to be computed reads it."""
+    for df in staged:
+        _, path = _PATHS.pop(id(df))
+        _MADE.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

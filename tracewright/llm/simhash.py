@@ -15,8 +15,9 @@ comparisons do throughout.
 The pipeline's copies (one_of_each) are texts whose sets of five words have a Jaccard similarity of 0.8 or more.
 Candidates are found by the same comparison, over fingerprints of 256 bits within a radius that pairs at 0.8 hardly
 ever pass (unequal sets of fewer than four shingles can't be similar enough, and sizes must be), and verified on
-the whole sets (as 64-bit hashes). First every set is verified against its nearest candidate; then all candidates
-that these links leave apart, less those whose bitmaps prove them too different. So what is verified grows with
+the whole sets (as 64-bit hashes). In two rounds every set is verified against two candidates it isn't linked with,
+the nearest and the least; then all candidates that these links leave apart, less those whose bitmaps prove them too
+different. So what is verified grows with
 the rows, but for groups of sets that are close and yet not similar enough: of these all pairs are verified.
 
 Cases. Null text is empty: fingerprint zero, linked like any other; rows with a null id belong to
@@ -27,6 +28,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import free_name, record_batch, slices
-from .common import stage
+from .common import stage, unstage
 
 SHINGLE = 4
 SEED = 42
@@ -209,19 +211,21 @@ def similar_sizes(n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (n[p] * OF >= n[q] * NEAR) & (n[q] * OF >= n[p] * NEAR)
 
 
-def nearest(prints: np.ndarray, second: np.ndarray | None, radius: int, first_radius: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each index that has one within the radius (and near in size n): it, its nearest, and the distance."""
+def guides(prints: np.ndarray, second: np.ndarray | None, radius: int, first_radius: int, n: np.ndarray, node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each index with candidates of other labels (near in size n): it, its nearest with the distance, and the one of the least node."""
     best, where = np.full(len(n), 1 << 20, dtype=np.int64), np.full(len(n), -1, dtype=np.int64)
-    for p, q, far in near_pairs(prints, second, radius, first_radius, lambda p, q: similar_sizes(n, p, q)):
+    least = np.full(len(n), np.iinfo(np.int64).max)
+    for p, q, far in near_pairs(prints, second, radius, first_radius, lambda p, q: (label[p] != label[q]) & similar_sizes(n, p, q)):
         one, two, far = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([far, far])
-        order = np.lexsort((two, far, one))
+        np.minimum.at(least, one, node[two])
+        order = np.lexsort((node[two], far, one))
         one, two, far = one[order], two[order], far[order]
         head = np.flatnonzero(np.r_[True, one[1:] != one[:-1]])
         one, two, far = one[head], two[head], far[head]
         less = far < best[one]
         best[one[less]], where[one[less]] = far[less], two[less]
     found = np.flatnonzero(where >= 0)
-    return found, where[found], best[found]
+    return found, where[found], best[found], least[found]
 
 
 def unlinked(prints: np.ndarray, second: np.ndarray | None, radius: int, first_radius: int, n: np.ndarray, label: np.ndarray, maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +286,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tiles: int = TILES) -> DataFr
 
 
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
-    """node and root (the least node that it reaches) for the nodes of edges (a, b).
+    """node and root (the least node that it reaches) for the nodes of edges (a, b), in the shared folder.
 
     Rounds of two star contractions: every node's larger neighbours, then its smaller ones, are
     linked to the least node around it. Each round is written to the shared folder.
@@ -296,12 +300,15 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = stage(small, name)
+        before, now = now, stage(small, name)
+        unstage(before)
         mark = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
         if tuple(mark) == last:
             break
         last = tuple(mark)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = stage(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), name)
+    unstage(now)
+    return roots
 
 
 def near_duplicates(documents: DataFrame, size: int = SHINGLE, radius: int = RADIUS, tiles: int = TILES) -> DataFrame:
@@ -361,16 +368,18 @@ def sketches(rows: DataFrame, size: int = COPY) -> DataFrame:
     return rows.select("row", "text").mapInArrow(build, "row long, " + ", ".join(f"{c} long" for c in names))
 
 
-def nearest_of(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b: each node with the nearest of its candidates, if it has one."""
+def guides_of(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b: each node with the nearest of its candidates with other labels, and with the least of them."""
 
     def work(cells, second, columns):
-        one, two, far = nearest(cells, second, WIDE, WIDE_FIRST, columns["n"])
-        return pd.DataFrame({"x": columns["node"][one], "y": columns["node"][two], "far": far}, dtype="int64")
+        one, two, far, least = guides(cells, second, WIDE, WIDE_FIRST, columns["n"], columns["node"], columns["label"])
+        return pd.DataFrame({"x": columns["node"][one], "y": columns["node"][two], "far": far, "least": least}, dtype="int64")
 
-    found = tiled(nodes, WIDE_FIRST, work, "x long, y long, far long", ("n",), banded=True)
-    best = found.groupBy("x").agg(F.min_by("y", F.struct("far", "y")).alias("y"))
-    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    narrow = nodes.select("node", "n", "label", *[f"print{k}" for k in range(PARTS)])
+    found = tiled(narrow, WIDE_FIRST, work, "x long, y long, far long, least long", ("n", "label"), banded=True)
+    best = found.groupBy("x").agg(F.min_by("y", F.struct("far", "y")).alias("y"), F.min("least").alias("least"))
+    ends = best.select("x", F.explode(F.array("y", "least")).alias("y"))
+    return ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def unlinked_of(nodes: DataFrame) -> DataFrame:
@@ -417,39 +426,55 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 near.append(both * OF >= (len(p) + len(q) - both) * NEAR)
             yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
 
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("held").alias("p")), "a").join(sets.select(F.col("row").alias("b"), F.col("held").alias("q")), "b")
+    # only sets that the pairs need are exchanged
+    left = sets.select(F.col("row").alias("a"), F.col("held").alias("p")).join(pairs.select("a").distinct(), "a", "left_semi")
+    right = sets.select(F.col("row").alias("b"), F.col("held").alias("q")).join(pairs.select("b").distinct(), "b", "left_semi")
+    both = pairs.join(left, "a").join(right, "b")
     return stage(both.select("a", "b", "p", "q").mapInArrow(check, "a long, b long"), "copy-pairs")
 
 
+#: Rounds in which every node is verified against two candidates, before all that is left apart is.
+ROUNDS = 2
+
+
 def copies(rows: DataFrame, size: int = COPY) -> DataFrame:
-    """row and class, the same for rows that verified pairs connect. rows: texts with a number `row` of their own.
+    """row and class, the same for rows that verified pairs connect; in the shared folder.
 
-    Equal sets are one node (the least row), so only different sets are paired.
+    rows: texts with a number `row` of their own. Equal sets are one node (the least row), so only different sets are paired.
     """
     found = stage(sketches(rows, size), "copy-sketches")
     equal = stage(found.groupBy("sum0", "sum1").agg(F.min("row").alias("node")), "copy-nodes")
-    nodes = found.filter(F.col("n") >= LEAST).join(equal.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    first = stage(nearest_of(nodes.select("node", "n", *[f"print{k}" for k in range(PARTS)])), "copy-nearest")
-    used = stage(first.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "copy-used")
-    sets = sets_of(rows, used, size)
-    near = similar(first, sets)
-    roots = components(near, "copy-links")
-    # a node without a candidate needs no second look
-    rest = nodes.join(used.withColumnRenamed("row", "node"), "node").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    more = similar(stage(unlinked_of(rest.drop("root", "row", "sum0", "sum1")), "copy-unlinked"), sets)
-    roots = components(near.unionByName(more), "copy-links")
+    every = found.filter(F.col("n") >= LEAST).drop("sum0", "sum1").join(equal.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    nodes = every.withColumn("label", F.col("node"))
+    verified, used, sets, roots = [], None, None, None
+    for k in range(ROUNDS + 1):
+        pairs = stage(guides_of(nodes) if k < ROUNDS else unlinked_of(nodes), "copy-candidates")
+        if used is None:  # a node without a candidate needs no second look
+            used = stage(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "copy-used")
+            sets = sets_of(rows, used, size)
+        verified.append(similar(pairs, sets))
+        unstage(pairs)
+        if roots is None or not verified[-1].isEmpty():
+            older, roots = roots, components(reduce(DataFrame.unionByName, verified), "copy-links")
+            if older is not None:
+                unstage(older)
+        nodes = every.join(used.withColumnRenamed("row", "node"), "node").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     classes = equal.join(roots, "node", "left").select("sum0", "sum1", F.coalesce("root", "node").alias("class"))
-    return found.select("row", "sum0", "sum1").join(classes, ["sum0", "sum1"]).select("row", "class")
+    done = stage(found.select("row", "sum0", "sum1").join(classes, ["sum0", "sum1"]).select("row", "class"), "copy-classes")
+    unstage(found, equal, used, sets, roots, *verified)
+    return done
 
 
 def one_of_each(documents: DataFrame, size: int = COPY) -> DataFrame:
-    """documents without near copies: of each class the rows with its least doc_id stay, and rows without an id."""
+    """documents without near copies: of each class one row stays, that with the least doc_id (a null one comes last)."""
     number = free_name(documents, "row")
     rows = stage(documents.withColumn(number, F.monotonically_increasing_id()), "copy-rows")
-    plain = rows.filter("doc_id IS NOT NULL").select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stage(copies(plain, size).join(plain.select("row", "doc_id"), "row"), "copy-classes")
-    least = found.groupBy("class").agg(F.min("doc_id").alias("least"))
-    gone = found.join(least, "class").filter("doc_id <> least").select(F.col("row").alias("_gone"))
+    plain = rows.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    classes = copies(plain, size)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
+    kept = classes.join(plain.select("row", "doc_id"), "row").groupBy("class").agg(first.alias("row"))
+    gone = stage(classes.join(kept, "row", "left_anti").select(F.col("row").alias("_gone")), "copy-gone")
+    unstage(classes)
     return rows.join(gone, F.col(number) == F.col("_gone"), "left_anti").select(*documents.columns)
 
 
