@@ -91,28 +91,69 @@ def test_math_equal(spark, a, b, same):
     assert spark.createDataFrame([(a, b)], "a string, b string").select(grading.math_equal(F.col("a"), F.col("b"))).first()[0] is same
 
 
-def test_boxes_differ():
-    assert grading.boxed_next("\\boxed{a{b}c} \\boxed {d}") == "d"
-    assert grading.boxed_next("\\boxed x {d}") is None
-    assert grading.boxed_later("\\boxed x {d}") == "d"
-    assert grading.boxed_next("\\boxed{open") is None
+@pytest.mark.parametrize("a,b,same", [("1;2", "12", False), ("a\\;b", "ab", True), ("\n$5$\n", "5", True), ("\\left( 3 \\right)", "(3)", True), ("\\$7", "7", True)])
+def test_math_equal_at_line_ends_and_spacing(spark, a, b, same):
+    assert spark.createDataFrame([(a, b)], "a string, b string").select(grading.math_equal(F.col("a"), F.col("b"))).first()[0] is same
+
+
+def test_answers_on_lines_of_their_own(spark):
+    tries = ["<answer>\n$3 + 4$\n</answer>", "<answer>\r\n\t3 + 4 = 7 =\n</answer>", "so \\boxed{\n 3+4 \n}"]
+    df = spark.createDataFrame([(t, 7, [3, 4]) for t in tries], "c string, t int, n array<int>")
+    assert all(tuple(r[0])[:2] == (True, True) for r in df.select(grading.grade_equation(F.col("c"), F.col("t"), F.col("n"))).collect())
+    assert values(column(spark, ["first\nsecond\n\t\n \n"]).select(text.final_answer(F.col("x")))) == ["second"]
+    assert values(column(spark, ["<answer>a</answer>\n\n", "plain\n\n\t"]).select(text.response_target(F.col("x")))) == ["<answer>a</answer>", "plain"]
+
+
+def balanced(t, at):
+    depth = 0
+    for k in range(at, len(t)):
+        depth += {"{": 1, "}": -1}.get(t[k], 0)
+        if not depth:
+            return t[at + 1 : k].strip()
+    return None
+
+
+def test_boxes_differ(spark):
+    import random
+
+    rng = random.Random(4)
+    tries = ["\\boxed{a{b}c} \\boxed {d}", "\\boxed x {d}", "\\boxed{open", "\\boxed{}", "none {x}", "\\boxed", "\\boxed}{a}", "\\boxed\n{ é{ü} }z"]
+    tries += ["".join(rng.choice(["\\boxed", "{", "}", "a", " ", "{b}", "\n"]) for _ in range(12)) for _ in range(300)]
+    got = column(spark, tries).select("x", grading.extract_boxed(F.col("x")).alias("next"), grading.extract_boxed_later(F.col("x")).alias("later")).collect()
+    for r in got:
+        _, box, behind = r["x"].rpartition("\\boxed")
+        brace = behind.find("{") if box else -1
+        later = balanced(behind, brace) if brace >= 0 else None
+        assert r["later"] == later and r["next"] == (later if brace >= 0 and not behind[:brace].strip() else None)
+
+
+OPTIONS = ["red", "green", "blue", "light green"]
 
 
 @pytest.mark.parametrize(
     "pred,gold,options,same",
     [
-        ("**Answer:** (F) brown", "F", None, True),
-        ("(B) tanh", "D", ["x", "y", "z", "tanh"], False),
-        ("Freya (B) did it", "B", ["Ann", "Freya"], True),
-        ("it was freya", "B", ["Ann", "Freya"], True),
-        ("ann or freya", "B", ["Ann", "Freya"], False),
+        ("**Answer:** (B) as shown", "B", None, True),
+        ("- > The final answer: **the option** C.", "C", None, True),
+        ("(A) green", "B", OPTIONS, False),
+        ("surely the second (B) wins", "B", OPTIONS, True),
+        ("either (A) or (B)", "B", OPTIONS, False),
+        ("it was green", "B", OPTIONS, True),
+        ("red or green", "B", OPTIONS, False),
+        ("light green", "D", OPTIONS, True),
+        ("light green", "B", OPTIONS, False),
         ("I think C", "C", None, False),
         ("", "C", None, False),
-        ("The final answer is 42.", "42", None, True),
+        (None, "C", OPTIONS, False),
+        ("\\boxed{\\text{1,000}}", "1000.", None, True),
+        ("Final answer: 42.\n", "42", None, True),
+        ("yellow", "E", OPTIONS, False),
+        ("B", None, OPTIONS, False),
     ],
 )
-def test_answers_agree(pred, gold, options, same):
-    assert grading.answers_agree(pred, gold, options) is same
+def test_answers_agree(spark, pred, gold, options, same):
+    df = spark.createDataFrame([(pred, gold, options)], "p string, g string, o array<string>")
+    assert df.select(grading.is_correct(F.col("p"), F.col("g"), F.col("o"))).first()[0] is same
 
 
 @pytest.mark.parametrize("body,verdict", [("true", "true"), ("_half true_", "half-true"), ("False", "false"), ("true, not false", None), ("", None)])

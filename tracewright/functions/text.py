@@ -21,6 +21,17 @@ DENSITY_MARKERS = r"\b(wait|hmm|but|however|actually|oh|let'?s|no,|alternatively
 MIN_SEGMENT_CHARS = 40
 MIN_SEGMENTS = 3
 _CUT = "\u0001"
+#: The characters that count as blank at the ends of a text: spaces, tabs, line ends and their Unicode kin.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def stripped(text: Column) -> Column:
+    """The text without blanks at its ends, line ends among them (trim alone takes spaces)."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def right_stripped(text: Column) -> Column:
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def segments(text: Column, cues: str = SHIFT_CUES, min_chars: int = MIN_SEGMENT_CHARS, boundary: str = r"\b") -> Column:
@@ -69,13 +80,13 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 def final_answer(text: Column) -> Column:
     """the last flat boxed payload, else the last line that isn't blank, else empty."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda v: F.trim(v)), lambda x: F.length(x) > 0)
-    return F.coalesce(F.trim(last_match(text, r"\\boxed\{([^{}]*)\}")), F.try_element_at(lines, F.lit(-1)), F.lit(""))
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda v: stripped(v)), lambda x: F.length(x) > 0)
+    return F.coalesce(stripped(last_match(text, r"\\boxed\{([^{}]*)\}")), F.try_element_at(lines, F.lit(-1)), F.lit(""))
 
 
 def without_code_fences(text: Column) -> Column:
     """F27"""
-    return F.trim(F.regexp_replace(text, r"(?m)^```[A-Za-z]*\s*$", ""))
+    return stripped(F.regexp_replace(text, r"(?m)^```[A-Za-z]*\s*$", ""))
 
 
 # Fixed value: terminal colours in logs.
@@ -136,42 +147,45 @@ def choices(options: Column) -> Column:
     return F.array_join(lettered, "\n")
 
 
+# What frames the voices of a dialogue, and the containers of its outcome.
+_FRAMES = r"(?is)<!--.*?-->|<cast_of_characters>.*?</cast_of_characters>|<persona\d+>.*?</persona\d+>|</?conversation>|</?think\d+>"
+_OUTCOME = r"(?i)<(?:group_solution|group_consensus|answer)>"
+
+
 def one_think_block(trace: Column) -> Column:
     """a dialogue of personas as one reasoning block, the answer container left behind it."""
-    t = trace
-    for pattern in (r"(?s)<!--.*?-->", r"(?is)<cast_of_characters>.*?</cast_of_characters>", r"(?is)<persona\d+>.*?</persona\d+>", r"(?i)</?conversation>", r"(?i)</?think\d+>"):
-        t = F.regexp_replace(t, pattern, " ")
-    at = F.regexp_instr(t, F.lit(r"(?i)<(group_solution|group_consensus|answer)>"))
-    reasoning = F.when(at > 0, F.substring(t, F.lit(1), at - 1)).otherwise(t)
-    tail = F.when(at > 0, F.substr(t, at)).otherwise(F.lit(""))
-    squeezed = F.trim(F.regexp_replace(reasoning, r"(?U)\s+", " "))
-    return F.rtrim(F.concat(F.lit("<think> "), squeezed, F.lit(" </think>\n"), F.trim(tail)))
+    voices = F.regexp_replace(trace, _FRAMES, " ")
+    # the outcome begins where the text in front of its first container ends
+    reasoning = F.split(voices, _OUTCOME, 2)[0]
+    outcome = F.substring(voices, F.length(reasoning) + 1, F.length(voices))
+    block = F.array_join(F.array(F.lit("<think>"), stripped(F.regexp_replace(reasoning, r"(?U)\s+", " ")), F.lit("</think>")), " ")
+    return right_stripped(F.concat(block, F.lit("\n"), stripped(outcome)))
 
 
 def with_answer_container(text: Column) -> Column:
     """a group container is repeated as an answer at the end, unless there is an answer."""
     group = r"(?is)(<group_(?:consensus|solution)>.*?</group_(?:consensus|solution)>)"
-    inner = F.trim(F.regexp_replace(F.regexp_extract(text, group, 1), r"(?i)</?group_(?:consensus|solution)>", ""))
+    inner = stripped(F.regexp_replace(F.regexp_extract(text, group, 1), r"(?i)</?group_(?:consensus|solution)>", ""))
     add = ~F.regexp_like(text, F.lit(r"(?is)<answer>.*?</answer>")) & F.regexp_like(text, F.lit(group))
     return F.when(add, F.concat(text, F.lit("\n<answer>"), inner, F.lit("</answer>"))).otherwise(text)
 
 
 def response_target(trace: Column) -> Column:
     """a gradable training target: container normalised, nothing behind the last closing answer tag."""
-    norm = with_answer_container(F.trim(trace))
-    return F.rtrim(F.coalesce(first_match(norm, r"(?is)^(.*</answer>)"), norm))
+    norm = with_answer_container(stripped(trace))
+    return right_stripped(F.coalesce(first_match(norm, r"(?is)^(.*</answer>)"), norm))
 
 
 def dialogue_answer(text: Column) -> Column:
     """F16: the first group solution."""
-    return F.trim(first_match(text, r"(?is)<group_(?:consensus|solution)>(.*?)</group_(?:consensus|solution)>"))
+    return stripped(first_match(text, r"(?is)<group_(?:consensus|solution)>(.*?)</group_(?:consensus|solution)>"))
 
 
 def monologue_answer(text: Column) -> Column:
     """F16: the first line behind the first reasoning block, without its prefix."""
-    tail = F.trim(F.regexp_extract(text, r"(?is)<think>.*?</think>\s*(.*)$", 1))
+    tail = stripped(F.regexp_extract(text, r"(?is)<think>.*?</think>\s*(.*)$", 1))
     bare = F.regexp_replace(tail, r"(?i)^(the\s+)?(final\s+)?answer\s*(is)?\s*[:\-]?\s*", "")
-    line = F.trim(F.element_at(F.split(bare, "\n"), 1))
+    line = stripped(F.element_at(F.split(bare, "\n"), 1))
     return F.when(F.regexp_like(text, F.lit(r"(?is)<think>.*?</think>")) & (F.length(line) > 0), line)
 
 

@@ -7,7 +7,7 @@ same problems (customers). Cue words are parameters: the tables' prose is invent
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grading, rewards, text
@@ -603,6 +603,50 @@ def countdown_grade(spark, d):
     return g.select("l_orderkey", "l_linenumber", "equation.correct", "equation.parsed")
 
 
+@query(
+    """SELECT l_orderkey, l_linenumber, l_orderkey % 3 < 2 AS correct, true AS parsed FROM lineitem"""
+)
+def countdown_lines(spark, d):
+    """Answers on lines of their own: right in a tag and in a box, wrong with a number too many."""
+    rows = table(spark, d, "lineitem")
+    q, n, k = F.col("l_quantity").cast("bigint"), F.col("l_linenumber").cast("bigint"), F.col("l_orderkey") % 3
+    right = F.concat(F.lit("$"), q.cast("string"), F.lit(" + "), n.cast("string"), F.lit(" + 7"))
+    said = (
+        F.when(k == 0, F.concat(F.lit("<answer>\n"), right, F.lit("$\n</answer>")))
+        .when(k == 1, F.concat(F.lit("thus \\boxed{\n\t"), right, F.lit("$ \n}")))
+        .otherwise(F.concat(F.lit("<answer>\r\n"), right, F.lit(" + 1$\n</answer>")))
+    )
+    rows = rows.select("l_orderkey", "l_linenumber", said.alias("said"), (q + n + 7).alias("target"), F.array(q, n, F.lit(7).cast("bigint")).alias("nums"))
+    return grading.with_equation(rows, F.col("said"), F.col("target"), F.col("nums")).select("l_orderkey", "l_linenumber", "equation.correct", "equation.parsed")
+
+
+def _case(key: Column, values: list[Column | str]) -> Column:
+    out = F.lit(None)
+    for k, v in enumerate(values):
+        out = F.when(key == k, v if isinstance(v, Column) else F.lit(v)).otherwise(out)
+    return out
+
+
+@query("SELECT p_partkey, p_partkey % 8 NOT IN (2, 6) AS correct FROM part")
+def math_grade(spark, d):
+    """Boxed answers against their gold, with spacing, line ends, units and signs that only look alike."""
+    k, n = F.col("p_partkey") % 8, F.col("p_size").cast("string")
+    frac = F.concat(F.lit("{"), n, F.lit("}{7}"))
+    said = [F.concat(F.lit("thus \\boxed{\\dfrac"), frac, F.lit("}")), F.concat(n, F.lit("\\;b")), F.concat(n, F.lit(";2")), F.concat(F.lit("$\n"), n, F.lit(" x\t$")), F.concat(F.lit("\\boxed {"), n, F.lit("^\\circ}")), "\\text{red}.", "0.5", F.concat(F.lit("\n$"), n, F.lit("$\n"))]
+    gold = [F.concat(F.lit("\\frac"), frac), F.concat(n, F.lit("b")), F.concat(n, F.lit("2")), F.concat(n, F.lit("x")), n, "red", "\\frac{1}{2}", n]
+    return table(spark, d, "part").select("p_partkey", grading.math_equal(grading.unboxed(_case(k, said)), _case(k, gold)).alias("correct"))
+
+
+@query("SELECT p_partkey, p_partkey % 8 IN (0, 2, 4, 6) AS correct FROM part")
+def answer_grade(spark, d):
+    """Answers in words against a letter, with the options they may name."""
+    k, n = F.col("p_partkey") % 8, F.col("p_size").cast("string")
+    word = F.concat(F.lit("w"), n)
+    said = [F.concat(F.lit("**Answer:** (B) "), word), F.concat(F.lit("(A) "), word), F.concat(F.lit("it was "), word), F.concat(F.lit("amber or "), word), "in the end (B) wins", "I think B", F.concat(F.lit("\\boxed{\\text{"), word, F.lit("}}")), ""]
+    options = F.array(F.lit("amber"), word, F.lit("violet"))
+    return table(spark, d, "part").select("p_partkey", grading.is_correct(_case(k, said), F.lit("B"), options).alias("correct"))
+
+
 @query(
     f"""WITH {COUNTDOWN}, r AS (SELECT *, k IN (0, 1, 5) OR (k = 4 AND q * n - 7 = q + n + 7) AS ok FROM c)
     SELECT l_orderkey, l_linenumber, CAST(ok AS DOUBLE) * 0.9 + CAST(0.1 AS DOUBLE) * CAST(k IN (0, 4) AS INT) AS attempt, CAST(ok AS DOUBLE) * 0.9 + CAST(0.1 AS DOUBLE) * CAST(k IN (0, 2, 4) AS INT) AS paper,
