@@ -15,7 +15,7 @@ comparisons do throughout.
 The pipeline's copies (one_of_each) are texts whose sets of five words have a Jaccard similarity of 0.8 or more.
 Candidates are found by the same comparison, over fingerprints of 256 bits within a radius that pairs at 0.8 hardly
 ever pass (unequal sets of fewer than four shingles can't be similar enough, and sizes must be), and verified on
-the whole sets (as 64-bit hashes). In two rounds every set is verified against two candidates it isn't linked with,
+the whole sets (as 64-bit hashes). In some rounds every set is verified against two candidates it isn't linked with,
 the nearest and the least; then all candidates that these links leave apart, less those whose bitmaps prove them too
 different. So what is verified grows with
 the rows, but for groups of sets that are close and yet not similar enough: of these all pairs are verified.
@@ -433,8 +433,9 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stage(both.select("a", "b", "p", "q").mapInArrow(check, "a long, b long"), "copy-pairs")
 
 
-#: Rounds in which every node is verified against two candidates, before all that is left apart is.
-ROUNDS = 2
+#: Rounds, at most, in which every node is verified against two candidates, before all that is left apart is. A round
+#: that links nothing is the last.
+ROUNDS = 4
 
 
 def copies(rows: DataFrame, size: int = COPY) -> DataFrame:
@@ -447,8 +448,11 @@ def copies(rows: DataFrame, size: int = COPY) -> DataFrame:
     every = found.filter(F.col("n") >= LEAST).drop("sum0", "sum1").join(equal.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
     nodes = every.withColumn("label", F.col("node"))
     verified, used, sets, roots = [], None, None, None
-    for k in range(ROUNDS + 1):
-        pairs = stage(guides_of(nodes) if k < ROUNDS else unlinked_of(nodes), "copy-candidates")
+    k, last = 0, False
+    while not last:
+        last = k == ROUNDS or k > 0 and verified[-1].isEmpty()
+        pairs = stage(unlinked_of(nodes) if last else guides_of(nodes), "copy-candidates")
+        k += 1
         if used is None:  # a node without a candidate needs no second look
             used = stage(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "copy-used")
             sets = sets_of(rows, used, size)
