@@ -273,3 +273,24 @@ def test_metric_stream_restarts(spark, tmp_path):
     assert run() == [1]
     (tmp_path / "logs" / "2.log").write_text("step:1 - a:3\nstep:2 - a:4\n")
     assert run() == [1, 2]
+
+
+def test_half_written_cache_is_written_anew(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "in").mkdir()
+    with gzip.open(tmp_path / "in" / "a.jsonl.gz", "wt") as f:
+        f.write('{"index": 1}\n{"index": 2}\n')
+    keep = tmp_path / "kept"
+    (keep / "_temporary").mkdir(parents=True)
+    for _ in range(2):
+        assert readers.shards(spark, str(tmp_path / "in"), "index int", keep=str(keep)).count() == 2
+    assert (keep / "_SUCCESS").exists() and [p.name for p in tmp_path.iterdir() if p.name.endswith(".tmp")] == []
+
+
+def test_records_keep_their_order_in_their_file(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"x": "{name}{k}"}}\n' for k in range(500)))
+    rows = readers.in_file_order(spark, str(tmp_path), "x string").orderBy("file", "line").collect()
+    assert [r["x"] for r in rows] == [f"{n}{k}" for n in "ab" for k in range(500)]
+    assert [r["line"] for r in rows] == [*range(500)] * 2

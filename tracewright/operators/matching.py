@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import positions
 from .stats import Z
 
 
@@ -115,12 +116,10 @@ def cosine_to_anchor(features: DataFrame, key: str, vector: str, anchor) -> Data
 def ranked_features(scored: DataFrame, key: str, anchor) -> DataFrame:
     """`place` by falling score, whether in the lower half, and whether matched to the anchor in firing
     rate and size. scored: description, max_act, frac_nonzero, score."""
-    from pyspark.sql import Window
-
     usable = scored.filter((F.length("description") > 0) & (F.col("max_act") >= 1) & (F.col("frac_nonzero") > 0))
     a = F.broadcast(usable.filter(F.col(key) == anchor).select(F.col("max_act").alias("_act"), F.col("frac_nonzero").alias("_frac")).limit(1))
     n = F.broadcast(usable.agg(F.count("*").alias("_n")))
-    placed = usable.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+    placed = positions(usable.withColumn("_fall", -F.col("score")), "_fall", "place", ties=(key,)).withColumn("place", (F.col("place") + 1).cast("int")).drop("_fall")
     ratio = F.col("max_act") / F.col("_act")
     matched = (F.abs(F.log10("frac_nonzero") - F.log10("_frac")) < 0.5) & (ratio >= 0.6) & (ratio <= 1.7)
     return placed.crossJoin(a).crossJoin(n).withColumn("lower_half", F.col("place") > F.expr("_n div 2")).withColumn("matched", matched).drop("_act", "_frac", "_n")

@@ -3,7 +3,7 @@ any engine draws the same."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import positions
@@ -14,13 +14,17 @@ def slot_index(seed, b: Column, i: Column, n: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n
 
 
+def _slots(spark: SparkSession, reps: int, n: int) -> DataFrame:
+    """b, i, n for every slot of every replicate; generated in parallel, no row holds a replicate."""
+    at = spark.range(reps * n)
+    return at.select(F.expr(f"id div {max(1, n)}").alias("b"), (F.col("id") % max(1, n)).alias("i"), F.lit(n).cast("bigint").alias("n"))
+
+
 def _replicates(units: DataFrame, value: str, key: str, reps: int, seed) -> DataFrame:
-    """b, mean: the means of `reps` resamples of the units. Units number at most what a replicate can hold; the
-    draws are spread over replicates and partially averaged before any shuffle."""
-    spark = units.sparkSession
+    """b, mean: the means of `reps` resamples of the units. The draws are spread over all tasks and partially averaged
+    before any shuffle."""
     placed = positions(units.select(key, F.col(value).cast("double").alias("_v")), key).select("pos", "_v")
-    n = F.broadcast(placed.agg(F.count("*").alias("n")))
-    slots = spark.range(reps).withColumnRenamed("id", "b").crossJoin(n).filter("n > 0").select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
+    slots = _slots(units.sparkSession, reps, placed.count())
     drawn = slots.withColumn("pos", slot_index(seed, F.col("b"), F.col("i"), F.col("n")))
     return drawn.join(placed, "pos").groupBy("b").agg(F.avg("_v").alias("mean"))
 
@@ -63,9 +67,8 @@ def mediation_bootstrap(rows: DataFrame, flag: str, value: str, key: str, reps:
     """Difference of value between the classes with rows resampled; replicates of one class are left out. Null for
     fewer than `least` rows or one class."""
     placed = positions(rows.select(key, F.col(flag).alias("_f"), F.col(value).cast("double").alias("_v")), key)
-    n = F.broadcast(placed.agg(F.count("*").alias("n"), F.countDistinct("_f").alias("classes")))
-    slots = rows.sparkSession.range(reps).withColumnRenamed("id", "b").crossJoin(n).filter((F.col("n") >= least) & (F.col("classes") == 2))
-    slots = slots.select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
+    have = placed.agg(F.count("*").alias("n"), F.countDistinct("_f").alias("classes")).first()
+    slots = _slots(rows.sparkSession, reps, have["n"] if have["n"] >= least and have["classes"] == 2 else 0)
     drawn = slots.withColumn("pos", slot_index(seed, F.col("b"), F.col("i"), F.col("n"))).join(placed.select("pos", "_f", "_v"), "pos")
     gap = F.avg(F.when(F.col("_f"), F.col("_v"))) - F.avg(F.when(~F.col("_f"), F.col("_v")))
     reps_ = drawn.groupBy("b").agg(gap.alias("mean")).filter("mean IS NOT NULL")

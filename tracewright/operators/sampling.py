@@ -27,9 +27,11 @@ def ranked(df: DataFrame, by: list[str], order: list, name: str = "rn") -> DataF
 
 
 def quota_sample(df: DataFrame, group: str, key: str, quotas: DataFrame, seed=0) -> DataFrame:
-    """Of every group as many rows as the quota table (group, quota) says."""
-    met = df.join(quotas, group).withColumn("_draw", draw(seed, key))
-    return ranked(met, [group], ["_draw", key]).filter(F.col("rn") <= F.col("quota")).drop("_draw", "rn")
+    """Of every group as many rows as the quota table (group, quota) says. The largest quota is a literal, so that
+    each task hands on that many rows of a group at most."""
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+    met = ranked(df.join(quotas, group).withColumn("_draw", draw(seed, key)), [group], ["_draw", key])
+    return met.filter(F.col("rn") <= F.lit(int(most))).filter(F.col("rn") <= F.col("quota")).drop("_draw", "rn")
 
 
 def balanced_sample(df: DataFrame, label: str, key: str, n: int, seed=0) -> DataFrame:
@@ -52,14 +54,14 @@ def key_ranges(df: DataFrame, key: str) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key)))
 
 
-def positions(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
+def positions(df: DataFrame, key: str, name: str = "pos", ties: tuple[str, ...] = ()) -> DataFrame:
     """0-based places in key order (null first). Ranges of the key are numbered apart and joined by their sizes, so no single
-    task sorts the table. Rows with equal keys are in one range, in any order."""
+    task sorts the table. Rows with equal keys are in one range, in the order of `ties`."""
     dealt = df.withColumn("_range", key_ranges(df, key))
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_range").orderBy(key)
+    inside = Window.partitionBy("_range").orderBy(key, *ties)
     return dealt.join(F.broadcast(offsets), "_range").withColumn(name, F.row_number().over(inside) - 1 + F.col("_off")).drop("_range", "_off")
 
 

@@ -125,7 +125,7 @@ def paired_bootstrap(spark, d):
 
 
 @query(
-    f"""WITH {TRACES}, p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, correct AS f, CAST(words AS DOUBLE) AS v FROM t WHERE lang = 'de'),
+    f"""WITH {TRACES}, p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, correct AS f, CAST(words AS DOUBLE) AS v FROM t),
     s AS (SELECT b, CAST('0x' || substr(md5('11|' || b || '|' || i), 1, 8) AS BIGINT) % n AS pos
       FROM (SELECT unnest(range(100)) AS b), (SELECT count(*) AS n FROM p), range((SELECT count(*) FROM p)) r(i) WHERE n >= 30),
     g AS (SELECT b, avg(v) FILTER (f) - avg(v) FILTER (NOT f) AS mean FROM s JOIN p USING (pos) GROUP BY b)
@@ -133,7 +133,7 @@ def paired_bootstrap(spark, d):
       (SELECT quantile_cont(mean, 0.975) FROM g WHERE mean IS NOT NULL) AS ci95_high"""
 )
 def mediation_bootstrap(spark, d):
-    return resample.mediation_bootstrap(traces(spark, d).filter("lang = 'de'"), "correct", "words", "doc_id", reps=100, seed=11)
+    return resample.mediation_bootstrap(traces(spark, d), "correct", "words", "doc_id", reps=100, seed=11)
 
 
 @query()
@@ -148,12 +148,12 @@ STAND_IN = {"article": r"[ \n](the|an)[ ,.]", "joint": r"[ \n](and|or|for)[ ,.]"
 @query(
     """WITH m AS (SELECT source = 'src0' AS s, m.k AS marker, m.n FROM (SELECT source, unnest([
       {'k': 'article', 'n': len(regexp_extract_all(text, '(?i)[ \n](the|an)[ ,.]'))}, {'k': 'joint', 'n': len(regexp_extract_all(text, '(?i)[ \n](and|or|for)[ ,.]'))},
-      {'k': 'stop', 'n': len(regexp_extract_all(text, '\\.'))}]) AS m FROM documents WHERE lang = 'en'))
+      {'k': 'stop', 'n': len(regexp_extract_all(text, '\\.'))}]) AS m FROM documents))
     SELECT marker, avg(n) FILTER (NOT s) AS baseline, avg(n) FILTER (s) AS steered,
       CASE WHEN avg(n) FILTER (s) > avg(n) FILTER (NOT s) THEN 'up' WHEN avg(n) FILTER (s) < avg(n) FILTER (NOT s) THEN 'down' ELSE 'flat' END AS direction FROM m GROUP BY 1"""
 )
 def marker_means(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'").select("source", text.marker_counts(F.col("text"), STAND_IN).alias("markers"))
+    docs = table(spark, d, "documents").select("source", text.marker_counts(F.col("text"), STAND_IN).alias("markers"))
     return corpus.marker_means(docs, "markers", F.col("source") == "src0")
 
 
@@ -177,21 +177,21 @@ def word_counts(spark, d):
 
 
 @query(
-    """SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(the|of)\\b')) / greatest(len(regexp_extract_all(text, '\\S+')), 1) AS rate FROM documents WHERE lang = 'en'"""
+    """SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(the|of)\\b')) / greatest(len(regexp_extract_all(text, '\\S+')), 1) AS rate FROM documents"""
 )
 def marker_rate(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", text.marker_rate(F.col("text"), r"\b(the|of)\b").alias("rate"))
+    return table(spark, d, "documents").select("doc_id", text.marker_rate(F.col("text"), r"\b(the|of)\b").alias("rate"))
 
 
 LEXICON = ["the", "of", "her", "and", "that", "this"]
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z\\-'']+')) AS w FROM documents WHERE lang = 'en')
+    f"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z\\-'']+')) AS w FROM documents)
     SELECT doc_id, len(list_intersect(w, {LEXICON})) / sqrt(greatest(len(w), 1)) AS score FROM w"""
 )
 def lexicon_score(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", text.lexicon_score(F.col("text"), LEXICON).alias("score"))
+    return table(spark, d, "documents").select("doc_id", text.lexicon_score(F.col("text"), LEXICON).alias("score"))
 
 
 @query(
@@ -347,10 +347,10 @@ def matched_controls(spark, d):
 
 @query(
     """SELECT p.p_partkey AS index, e.d AS description FROM part p LEFT JOIN (SELECT l_partkey, arg_max(l_returnflag || l_linestatus, l_orderkey * 10 + l_linenumber) AS d
-    FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1) e ON e.l_partkey = p.p_partkey"""
+    FROM lineitem GROUP BY 1) e ON e.l_partkey = p.p_partkey"""
 )
 def features_with_explanations(spark, d):
-    ex = table(spark, d, "lineitem").filter("l_partkey % 3 = 0").select(
+    ex = table(spark, d, "lineitem").select(
         F.col("l_partkey").alias("index"), F.concat("l_returnflag", "l_linestatus").alias("description"), F.lit(None).cast("array<float>").alias("embedding"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at")
     )
     return corpus.features_with_explanations(table(spark, d, "part").select(F.col("p_partkey").alias("index")), ex, "at").select("index", "description")
@@ -440,12 +440,12 @@ def dedupe_first(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n, text FROM documents WHERE lang = 'en'), w AS (SELECT *, CASE WHEN n < 400 THEN n // 3 ELSE 200 END AS k FROM r),
+    """WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n, text FROM documents), w AS (SELECT *, CASE WHEN n < 400 THEN n // 3 ELSE 200 END AS k FROM r),
     b AS (SELECT CASE WHEN pos < k THEN 'early' WHEN pos >= n - k THEN 'late' END AS bin, len(regexp_extract_all(text, '(?i)\\b(the|of)\\b')) / greatest(len(regexp_extract_all(text, '\\S+')), 1) AS rate, len(text) >= 1000 AS kept FROM w)
     SELECT bin, count(*) AS rows, avg(rate) AS rate, count(*) FILTER (kept) AS kept FROM b WHERE bin IS NOT NULL GROUP BY 1"""
 )
 def early_late_bins(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return corpus.early_late(docs, "doc_id", 200, text.marker_rate(F.col("text"), r"\b(the|of)\b"), F.length("text") >= 1000)
 
 
@@ -692,9 +692,9 @@ def label_recode(spark, d):
     return table(spark, d, "events").select("event_id", grading.recode_label((F.col("user_id") % 6).cast("int")).alias("verdict"))
 
 
-@query("SELECT doc_id, '[' || doc_id || ', ' || n_chars || ']' AS numbers, length(text) AS target FROM documents WHERE lang = 'es'")
+@query("SELECT doc_id, '[' || doc_id || ', ' || n_chars || ']' AS numbers, length(text) AS target FROM documents")
 def prompt_numbers(spark, d):
-    rows = table(spark, d, "documents").filter("lang = 'es'").select("doc_id", "n_chars", F.length("text").cast("bigint").alias("n"))
+    rows = table(spark, d, "documents").select("doc_id", "n_chars", F.length("text").cast("bigint").alias("n"))
     filled = text.prompt(text.COUNTDOWN_PROMPT, numbers=text.number_list(F.array("doc_id", "n_chars")), target=F.col("n"))
     at = lambda p: F.regexp_extract(filled, p, 1)
     return rows.select("doc_id", at(r"numbers (\[.*?\]),").alias("numbers"), at(r"equals (\d+)\.").cast("bigint").alias("target"))
@@ -776,10 +776,10 @@ def argmax_by_type(spark, d):
     return corpus.argmax(table(spark, d, "part"), ["p_type"], "p_partkey", "p_retailprice")
 
 
-@query("SELECT c_custkey AS pid, r_regionkey AS feature, CAST(i AS INT) AS sample FROM customer, region, range(3) s(i) WHERE c_custkey < 50")
+@query("SELECT c_custkey AS pid, r_regionkey AS feature, CAST(i AS INT) AS sample FROM customer, region, range(3) s(i)")
 def condition_grid(spark, d):
     """J16"""
-    problems = table(spark, d, "customer").filter("c_custkey < 50").select(F.col("c_custkey").alias("pid"))
+    problems = table(spark, d, "customer").select(F.col("c_custkey").alias("pid"))
     return corpus.grid(problems, 3, table(spark, d, "region").select(F.col("r_regionkey").alias("feature"))).select("pid", "feature", "sample")
 
 
@@ -871,13 +871,13 @@ def shuffled_choices(spark, d):
 
 
 @query(
-    """SELECT source, count(*) AS n, avg(CAST(gradable AS INT)) AS gradable FROM (SELECT 'claims' AS source, true AS gradable FROM documents WHERE lang = 'en' UNION ALL SELECT 'pages', false FROM pages) GROUP BY 1"""
+    """SELECT source, count(*) AS n, avg(CAST(gradable AS INT)) AS gradable FROM (SELECT 'claims' AS source, true AS gradable FROM documents UNION ALL SELECT 'pages', false FROM pages) GROUP BY 1"""
 )
 def pool_composition(spark, d):
     """S8, U1, A20"""
     from ..sources import readers
 
-    docs = table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("pid"), "text", "source")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text", "source")
     pages = table(spark, d, "pages").select(F.col("page_id").alias("pid"), "html")
     whole = readers.pool([readers.pool_rows(docs, "claims", F.col("text"), F.col("source")), readers.pool_rows(pages, "pages", F.col("html"), F.lit(None).cast("string"), gradable=False)])
     return whole.groupBy("source").agg(F.count("*").alias("n"), stats.rate(F.col("gradable")).alias("gradable"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -42,15 +43,20 @@ def _struct(ddl: str) -> str:
 
 def shards(spark: SparkSession, folder: str, schema: str, keep: str | None = None) -> DataFrame:
     """Gzipped line shards below a folder, and nothing else there. Gzip can't be split: keep names a Parquet folder
-    that is written once and read from then on."""
+    that is written once and, once it is whole, read from then on."""
     read = spark.read.schema(schema).option("pathGlobFilter", "*.jsonl.gz").option("recursiveFileLookup", True)
     if keep is None:
         return read.json(folder)
-    try:
-        return spark.read.schema(schema).parquet(keep)
-    except AnalysisException:
-        read.json(folder).write.mode("ignore").parquet(keep)
-        return spark.read.schema(schema).parquet(keep)
+    made = spark._jvm.org.apache.hadoop.fs.Path
+    system = made(keep).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(made(f"{keep}/_SUCCESS")):
+        # absent, or left half-written: written anew under another name and moved when whole
+        fresh = f"{keep.rstrip('/')}.{uuid.uuid4().hex}.tmp"
+        read.json(folder).write.parquet(fresh)
+        system.delete(made(keep), True)
+        if not system.rename(made(fresh), made(keep)):
+            raise OSError(f"{fresh} can't be moved to {keep}")
+    return spark.read.schema(schema).parquet(keep)
 
 
 def with_fallback(first: Callable[[], DataFrame], second: Callable[[], DataFrame]) -> DataFrame:
@@ -64,9 +70,12 @@ def with_fallback(first: Callable[[], DataFrame], second: Callable[[], DataFrame
 
 
 def in_file_order(spark: SparkSession, path, schema: str) -> DataFrame:
-    """Several files of records with `file` and `line`, to order by."""
+    """Several files of records with `file` and `line` (0-based, blank lines not counted), to order by. The lines of
+    one file are numbered in one task, that gets the records as they are: a file is a shard of a bounded size."""
     rows = spark.read.schema(schema).json(path)
-    return rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    placed = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    inside = Window.partitionBy("file").orderBy("_block", "_at")
+    return placed.withColumn("line", F.row_number().over(inside) - 1).drop("_block", "_at")
 
 
 def run_summaries(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
