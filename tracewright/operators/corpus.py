@@ -84,14 +84,14 @@ def marker_means(df: DataFrame, markers: str, steered: Column) -> DataFrame:
     return out.withColumn("direction", way)
 
 
-def early_late(df: DataFrame, order: str, size: int, value: Column, kept: Column) -> DataFrame:
+def early_late(df: DataFrame, order: str, size: int, value: Column, kept: Column, measures: dict[str, Column] | None = None) -> DataFrame:
     """The first and last `size` rows (a third of the rows, if they are fewer than twice that): means of value
     over all of them, and of kept rows' measures."""
     n = F.broadcast(df.agg(F.count("*").alias("_n")))
     width = F.when(F.col("_n") < 2 * size, F.expr("_n div 3")).otherwise(F.lit(size))
     placed = sampling.positions(df, order).crossJoin(n)
     bin_ = F.when(F.col("pos") < width, "early").when(F.col("pos") >= F.col("_n") - width, "late")
-    return placed.withColumn("bin", bin_).filter("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("rows"), F.avg(value).alias("rate"), F.count(F.when(kept, 1)).alias("kept"))
+    return placed.withColumn("bin", bin_).filter("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("rows"), F.avg(value).alias("rate"), F.count(F.when(kept, 1)).alias("kept"), *[F.avg(F.when(kept, m)).alias(name) for name, m in (measures or {}).items()])
 
 
 def activation_summary(df: DataFrame, index: str, value: str) -> DataFrame:

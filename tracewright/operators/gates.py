@@ -87,6 +87,21 @@ def report(left: DataFrame, right: DataFrame, keys: list[str], arms: DataFrame,
     return same.unionByName(rates)
 
 
+def rates(arms: DataFrame, arm: str, flags: dict[str, Column], least: float = 0.95) -> DataFrame:
+    """G2 as rows: of every arm each flag's rate (a null flag is a failure) and whether it suffices."""
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.coalesce(f.cast("int"), F.lit(0)).alias("v")) for n, f in flags.items()]))
+    share = arms.select(F.col(arm).alias("_arm"), cells.alias("c")).groupBy("_arm", "c.n").agg(F.avg("c.v").alias("value"))
+    return share.select(F.concat_ws(":", F.col("n"), F.col("_arm")).alias("gate"), (F.col("value") >= least).alias("passed"), "value")
+
+
+def disjoint(left: DataFrame, right: DataFrame, keys: list[str]) -> int:
+    """Two slices share no key; returns how many keys they have together."""
+    r = key_differences(left, right, keys).first()
+    if r["shared"]:
+        raise GateError(f"{r['shared']} keys are in both slices")
+    return r["left_only"] + r["right_only"]
+
+
 # --- training configuration (F43) -----------------------------------------------------------
 
 LEAST_PROMPTS, LEAST_GENERATIONS = 2, 2

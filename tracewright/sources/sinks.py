@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import gates
 
@@ -50,3 +53,19 @@ def append_new(df: DataFrame, path: str, key: list[str], schema) -> None:
     except AnalysisException:
         done = None
     (df if done is None else corpus.not_done(df, done, key)).write.mode("append").parquet(path)
+
+
+def commit_chunks(plan: DataFrame, path: str, work: Callable[[DataFrame], DataFrame], chunk: str = "chunk") -> list[int]:
+    """K7, T-5: works a plan's chunks off one after the other, each into a folder of its own that counts once its
+    _SUCCESS is there; a run that broke off goes on with what isn't whole. The plan stays the same over restarts. Returns
+    the chunks of this run; only their numbers reach the driver."""
+    spark = plan.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    system = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = []
+    for (i,) in plan.select(chunk).distinct().orderBy(chunk).collect():
+        folder = f"{path}/{chunk}={i}"
+        if not system.exists(place(f"{folder}/_SUCCESS")):
+            work(plan.filter(F.col(chunk) == i)).drop(chunk).write.mode("overwrite").parquet(folder)
+            done.append(i)
+    return done
