@@ -5,6 +5,7 @@ from __future__ import annotations
 from .audio import op9_audio
 from .context_tree import op5_context_tree
 from .decontamination import op4_decontamination
+from .filter_audit import OP13_SQL, op13_filter_audit
 from .mixing import OP7_SQL, op7_mixing
 from .quality import op6_quality
 from .sharding import op3_hilbert
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_token_records": op8_token_records,
         "op9_audio": op9_audio,
         "op10_warc": op10_warc,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL, "op10_warc": OP10_SQL}
+    return {"op7_mixing": OP7_SQL, "op10_warc": OP10_SQL, "op13_filter_audit": OP13_SQL}
