@@ -75,7 +75,7 @@ def edges(rows: DataFrame, fails: dict[str, Column], lost: list[str]) -> DataFra
         survivors.unpersist()
 
     walk(0, whole)
-    return spark.read.schema("part string, n long, edge int, removed long, " + ", ".join(f"{c} long" for c in lost)).parquet(path)
+    return spark.read.schema(", ".join(["part string", "n long", "edge int", "removed long", *[f"{c} long" for c in lost]])).parquet(path)
 
 
 def audit(rows: DataFrame, fails: dict[str, Column], lost: list[str]) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .audio import op9_audio
 from .context_tree import op5_context_tree
 from .decontamination import op4_decontamination
 from .filter_audit import OP13_SQL, op13_filter_audit
+from .jaccard import op11_jaccard
 from .mixing import OP7_SQL, op7_mixing
 from .quality import op6_quality
 from .sharding import op3_hilbert
@@ -27,6 +29,8 @@ def queries() -> dict:
         "op8_token_records": op8_token_records,
         "op9_audio": op9_audio,
         "op10_warc": op10_warc,
+        "op11_jaccard": op11_jaccard,
+        "op12_alignment": op12_alignment,
         "op13_filter_audit": op13_filter_audit,
     }
 
