@@ -31,7 +31,7 @@ from .common import stage
 from .token_records import Encoder, default_tokenizer, spread
 
 #: Text in a block and rows in it, at most; text aligned at once.
-BLOCK, BLOCK_ROWS, PIECE = 8 << 20, 1 << 15, 4 << 20
+BLOCK, BLOCK_ROWS, PIECE = 3 << 20, 1 << 15, 2 << 20
 #: Tasks over which the blocks' counts of one pair are dealt.
 SALTS = 32
 #: What stands for a space in pieces.
@@ -120,7 +120,7 @@ class Aligner:
     def __init__(self, first: str, second: str):
         self.sides = ByteEncoder(first), PieceEncoder(second)
         self.bytes = [pa.array(s.tokens, pa.binary()) for s in self.sides]
-        self.lengths = [np.array([len(t) for t in s.tokens], dtype=np.int64) for s in self.sides]
+        self.lengths = [np.array([len(t) for t in s.tokens], dtype=np.int32) for s in self.sides]
         #: The digits of every id with what may follow them: a comma, a bar, a semicolon.
         self.digits = pa.array([f"{i}{mark}" for i in range(max(map(len, self.lengths))) for mark in ",|;"], pa.binary())
 
@@ -142,19 +142,22 @@ class Aligner:
     def align(self, texts: list[bytes]) -> dict:
         """Of each text the numbers of tokens, groups and links and its groups as text; of all (text, pair, links) ascending."""
         (a, n_a), (b, n_b) = self.tokens(texts)
-        end_a, end_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
+        end_a, end_b = np.cumsum(self.lengths[0][a], dtype=np.int32), np.cumsum(self.lengths[1][b], dtype=np.int32)
         start_a, start_b = end_a - self.lengths[0][a], end_b - self.lengths[1][b]
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
-        of_a = np.repeat(np.arange(len(texts)), n_a)
+        of_a = np.repeat(np.arange(len(texts), dtype=np.int32), n_a)
         text_end = np.concatenate([[0], end_a])[np.cumsum(n_a)]
         n_groups = np.diff(np.concatenate([[0], np.searchsorted(cuts, text_end, side="right")]))
         # links: the tokens b that end behind a's start and start before its end
         low, high = np.searchsorted(end_b, start_a, side="right"), np.searchsorted(start_b, end_a)
         many = high - low
-        link_a, link_b = np.repeat(np.arange(len(a)), many), spread(low, many)
+        link_a, link_b = np.repeat(np.arange(len(a), dtype=np.int32), many), spread(low, many)
         # text, first and second id in 63 bits: a block has less than 2^15 texts
-        keys = np.sort(of_a[link_a] << 2 * ID_BITS | a[link_a].astype(np.int64) << ID_BITS | b[link_b].astype(np.int64))
+        keys = of_a[link_a].astype(np.int64) << 2 * ID_BITS
+        keys |= a[link_a].astype(np.int64) << ID_BITS
+        keys |= b[link_b]
+        keys.sort()
         head = np.flatnonzero(np.r_[len(keys) > 0, keys[1:] != keys[:-1]])
         rows, pairs = keys[head] >> 2 * ID_BITS, keys[head] & ((1 << 2 * ID_BITS) - 1)
         # the groups as text: tokens by group, a before b, with what follows each
