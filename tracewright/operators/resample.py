@@ -1,12 +1,22 @@
-"""Bootstrap by joins (A15-A19). The index of slot i in replicate b is eight hex digits of md5(seed | b | i) modulo n, so
-any engine draws the same."""
+"""Bootstrap of units (A15-A19). The index of slot i in replicate b is eight hex digits of md5(seed | b | i) modulo n, so
+any engine draws the same.
+
+The units' values are held in arrays of HELD at most (a table of more is cut into as many), in key order. Draws are numbers of
+a range, generated and partially averaged in the tasks, which look values up in the broadcast array: no draw is shuffled
+or joined, only one partial sum a task and replicate. More than HELD units take one pass over the draws for every array."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sampling import positions
+from ..sources import scratch
+from . import sampling
+
+#: Units whose values are broadcast in one array.
+HELD = 2_000_000
 
 
 def slot_index(seed, b: Column, i: Column, n: Column) -> Column:
@@ -20,13 +30,35 @@ def _slots(spark: SparkSession, reps: int, n: int) -> DataFrame:
     return at.select(F.expr(f"id div {max(1, n)}").alias("b"), (F.col("id") % max(1, n)).alias("i"), F.lit(n).cast("bigint").alias("n"))
 
 
-def _replicates(units: DataFrame, value: str, key: str, reps: int, seed) -> DataFrame:
-    """b, mean: the means of `reps` resamples of the units. The draws are spread over all tasks and partially averaged
-    before any shuffle."""
-    placed = positions(units.select(key, F.col(value).cast("double").alias("_v")), key).select("pos", "_v")
-    slots = _slots(units.sparkSession, reps, placed.count())
-    drawn = slots.withColumn("pos", slot_index(seed, F.col("b"), F.col("i"), F.col("n")))
-    return drawn.join(placed, "pos").groupBy("b").agg(F.avg("_v").alias("mean"))
+def _held(units: DataFrame, key: str, values: list[str], n: int, held: int) -> list[tuple[int, DataFrame]]:
+    """(first place, one row with an array `a` of structs of the values) for each run of `held` units in key order."""
+    if n <= held:
+        # a bounded number of rows
+        row = units.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), *values))), lambda s: F.struct(*[s[v].alias(v) for v in values])).alias("a"))
+        return [(0, row)]
+    placed = scratch.stage(sampling.positions(units, key).select("pos", *values), "units")
+    run = lambda s: placed.filter((F.col("pos") >= s) & (F.col("pos") < s + held))
+    sort = lambda s: run(s).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", *values))), lambda x: F.struct(*[x[v].alias(v) for v in values])).alias("a"))
+    return [(s, sort(s)) for s in range(0, n, held)]
+
+
+def _drawn(units: DataFrame, key: str, values: list[str], reps: int, seed, n: int, sums: list[Column], held: int) -> DataFrame:
+    """b and the sums of every replicate, over all arrays of units; sums are of `u`, the drawn unit."""
+    slots = _slots(units.sparkSession, reps, n).withColumn("pos", slot_index(seed, F.col("b"), F.col("i"), F.col("n")))
+    parts = []
+    for start, row in _held(units, key, values, n, held):
+        mine = slots if n <= held else slots.filter((F.col("pos") >= start) & (F.col("pos") < start + held))
+        # broadcast: one row, of HELD values at most
+        found = mine.crossJoin(F.broadcast(row)).select("b", F.element_at("a", (F.col("pos") - start + 1).cast("int")).alias("u"))
+        parts.append(found.groupBy("b").agg(*sums))
+    return parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts)
+
+
+def _replicates(units: DataFrame, value: str, key: str, reps: int, seed, held: int = HELD) -> DataFrame:
+    """b, mean: the means of `reps` resamples of the units (null values leave the means)."""
+    rows = units.select(key, F.col(value).cast("double").alias("v"))
+    parts = _drawn(rows, key, ["v"], reps, seed, rows.count(), [F.sum("u.v").alias("s"), F.count("u.v").alias("c")], held)
+    return parts.groupBy("b").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("mean"))
 
 
 def _interval(replicates: DataFrame) -> DataFrame:
@@ -63,15 +95,16 @@ def did_over_features(cells: DataFrame, reps: int = 200, seed=0) -> DataFrame:
     return out.withColumn("verdict", F.when(F.col("ci95_low") > 0, "specific").when(F.col("ci95_high") < 0, "reversed").otherwise("not separated"))
 
 
-def mediation_bootstrap(rows: DataFrame, flag: str, value: str, key: str, reps: int = 4000, least: int = 30, seed=0) -> DataFrame:
+def mediation_bootstrap(rows: DataFrame, flag: str, value: str, key: str, reps: int = 4000, least: int = 30, seed=0, held: int = HELD) -> DataFrame:
     """Difference of value between the classes with rows resampled; replicates of one class are left out. Null for
     fewer than `least` rows or one class."""
-    placed = positions(rows.select(key, F.col(flag).alias("_f"), F.col(value).cast("double").alias("_v")), key)
-    have = placed.agg(F.count("*").alias("n"), F.countDistinct("_f").alias("classes")).first()
-    slots = _slots(rows.sparkSession, reps, have["n"] if have["n"] >= least and have["classes"] == 2 else 0)
-    drawn = slots.withColumn("pos", slot_index(seed, F.col("b"), F.col("i"), F.col("n"))).join(placed.select("pos", "_f", "_v"), "pos")
-    gap = F.avg(F.when(F.col("_f"), F.col("_v"))) - F.avg(F.when(~F.col("_f"), F.col("_v")))
-    reps_ = drawn.groupBy("b").agg(gap.alias("mean")).filter("mean IS NOT NULL")
+    named = rows.select(key, F.col(flag).alias("f"), F.col(value).cast("double").alias("v"))
+    have = named.agg(F.count("*").alias("n"), F.countDistinct("f").alias("classes")).first()
+    n = have["n"] if have["n"] >= least and have["classes"] == 2 else 0
+    side = lambda f, name: (F.sum(F.when(F.col("u.f") == f, F.col("u.v"))).alias(f"s{name}"), F.count(F.when(F.col("u.f") == f, F.col("u.v"))).alias(f"c{name}"))
+    parts = _drawn(named, key, ["f", "v"], reps, seed, n, [*side(True, "t"), *side(False, "f")], held)
+    gap = F.try_divide(F.sum("st"), F.sum("ct")) - F.try_divide(F.sum("sf"), F.sum("cf"))
+    reps_ = parts.groupBy("b").agg(gap.alias("mean")).filter("mean IS NOT NULL")
     enough = (F.count("*") >= least) & (F.countDistinct(flag) == 2)
     point = rows.agg(F.when(enough, F.avg(F.when(F.col(flag), F.col(value))) - F.avg(F.when(~F.col(flag), F.col(value)))).alias("difference"))
     return point.crossJoin(_interval(reps_))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 
 def draw(seed, *keys) -> Column:
     """The sort key of a seeded shuffle."""
@@ -39,30 +41,33 @@ def balanced_sample(df: DataFrame, label: str, key: str, n: int, seed=0) -> Data
     return ranked(df.withColumn("_draw", draw(seed, key)), [label], ["_draw", key]).filter(F.col("rn") <= n).drop("_draw", "rn")
 
 
-#: Ranges that a table is numbered in, at most, and sampled keys for each.
-RANGES, SAMPLED = 512, 8
+_INDEX = (1 << 33) - 1
+
+
+def ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """df in as many ranges of the order as a shuffle has partitions, staged, with `_range` and `_at`, the place inside."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return scratch.stage(dealt, "ranges").withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit(_INDEX)))
 
 
-def key_ranges(df: DataFrame, key: str) -> Column:
-    """Number of the range that a row's key is in: ranges of about equal size, in key order, as a function of the key alone
-    (so that every evaluation puts a row in the same one). The cuts come from a bounded sample, drawn by hash."""
-    width = min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sample = df.select(key).filter(F.col(key).isNotNull()).orderBy(draw("cuts", key)).limit(SAMPLED * width).collect()
-    cuts = sorted({r[0] for r in sample})[SAMPLED::SAMPLED]
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key)))
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """df with each row's 0-based place in its group (null is a group, too), in the order. Groups, and equal rows, may span any
+    number of ranges; what is shuffled once they are sorted are the groups' sizes in each range."""
+    placed = ranges(df, [*by, *order])
+    keys = [f"_g{i}" for i in range(len(by))]
+    pieces = placed.groupBy("_range", *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of a group, as many rows as ranges
+    offsets = pieces.select(F.col("_range").alias("_r"), *keys, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    same = F.col("_range") == F.col("_r")
+    for c, k in zip(by, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return placed.join(offsets if by else F.broadcast(offsets), same).withColumn(name, F.col("_at") + F.col("_off")).select(*df.columns, name)
 
 
 def positions(df: DataFrame, key: str, name: str = "pos", ties: tuple[str, ...] = ()) -> DataFrame:
-    """0-based places in key order (null first). Ranges of the key are numbered apart and joined by their sizes, so no single
-    task sorts the table. Rows with equal keys are in one range, in the order of `ties`."""
-    dealt = df.withColumn("_range", key_ranges(df, key))
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
-    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_range").orderBy(key, *ties)
-    return dealt.join(F.broadcast(offsets), "_range").withColumn(name, F.row_number().over(inside) - 1 + F.col("_off")).drop("_range", "_off")
+    """0-based places in key order (null first); equal keys in the order of `ties`."""
+    return numbered(df, [], [key, *ties], name)
 
 
 def stride_shard(df: DataFrame, key: str, shards: int) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+from . import order_stats
+
 Z = 1.96
 
 
@@ -74,8 +77,7 @@ def within_group_paired(df: DataFrame, group: str, flag: str, value: str, least:
 def quantile_strata(df: DataFrame, length: str, bins: int = 8) -> DataFrame:
     """Df with the number of its bin between exact quantiles of `length` (lo <= x < hi, the last open). Repeated
     edges leave empty bins."""
-    at = F.array(*[F.lit(i / bins) for i in range(bins)])
-    edges = df.agg(F.percentile(F.col(length).cast("double"), at).alias("_edges"))  # one row
+    edges = order_stats.quantiles(df, [], length, [i / bins for i in range(bins)]).withColumnRenamed("quantiles", "_edges")  # one row
     bin_of = F.greatest(F.size(F.filter("_edges", lambda e: e <= F.col(length))) - 1, F.lit(0))
     return df.crossJoin(F.broadcast(edges)).withColumn("bin", bin_of).drop("_edges")
 
@@ -117,25 +119,34 @@ def sign_stability(runs: DataFrame, handling: str = "zero") -> DataFrame:
 
 
 def upper_median(value: Column) -> Column:
-    """The middle of the sorted values, the upper of two. (Collects a group's values; for groups of bounded size.)"""
+    """A24 as an aggregate, for groups of bounded size, which it collects; order_stats.upper_medians is for any."""
     values = F.array_sort(F.collect_list(value))
     return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
-def length_stats(text: Column) -> list[Column]:
-    """Count, medians (cut to integers) of characters and words, and the longest."""
+def length_stats(df: DataFrame, by: list[str], text: str) -> DataFrame:
+    """Of each group count, medians (cut to integers) of characters and words, the longest, and the upper median of words.
+    Texts are read once."""
     from ..functions.text import word_count
 
-    return [
-        F.count("*").alias("n"), F.percentile(F.length(text), 0.5).cast("int").alias("median_chars"),
-        F.percentile(word_count(text), 0.5).cast("int").alias("median_words"), F.max(F.length(text)).alias("max_chars"),
-    ]
-
-
-def population_summary(value: str) -> list[Column]:
-    """Mean, population deviation and three percentiles."""
-    tail = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), tail[0].alias("p05"), tail[1].alias("p50"), tail[2].alias("p95")]
+    sizes = scratch.stage(df.select(*by, F.length(text).alias("chars"), word_count(F.col(text)).cast("int").alias("words")), "lengths")
+    out = sizes.groupBy(*by).agg(F.count("*").alias("n"), F.max("chars").alias("max_chars"))
+    each = sizes.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).alias("v")) for c in ("chars", "words")])).alias("x")).select(*by, "x.m", "x.v")
+    # both ends of the middle: the upper one is the upper median
+    middle = lambda n: F.array(F.floor((n - 1) / 2), F.floor(n / 2))
+    ends = order_stats.order_statistics(each, [*by, "m"], "v", middle)
+    pick = lambda m, r: F.max(F.when((F.col("m") == m) & (F.col("rank") == r), F.col("value")))  # noqa: E731  one row each
+    half = lambda m: ((pick(m, 0) + pick(m, 1)) / 2).cast("int").alias(f"median_{m}")
+    found = ends.groupBy(*by).agg(half("chars"), half("words"), pick("words", 1).alias("upper_median_words"))
+    return order_stats._beside(out, found, by).select(*by, "n", "median_chars", "median_words", "max_chars", "upper_median_words")
+
+
+def population_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Mean, population deviation and three percentiles of each group."""
+    out = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    tail = F.col("quantiles")
+    found = order_stats.quantiles(df, by, value, [0.05, 0.5, 0.95])
+    return order_stats._beside(out, found, by).select(*by, "mean", "std", tail[0].alias("p05"), tail[1].alias("p50"), tail[2].alias("p95"))
 
 
 def percentile_position(population: Column, anchor: Column) -> Column:

@@ -516,7 +516,7 @@ def finished_only_accuracy(spark, d):
 )
 def length_stats(spark, d):
     docs = table(spark, d, "documents").select("lang", "text")
-    return docs.groupBy("lang").agg(*stats.length_stats(F.col("text")), stats.upper_median(text.word_count(F.col("text"))).cast("int").alias("upper_median_words"))
+    return stats.length_stats(docs, ["lang"], "text")
 
 
 @query("SELECT coalesce(source, '(all)') AS source, count(*) AS n, avg(CAST(quality AS DOUBLE)) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (source)")
@@ -741,7 +741,7 @@ def effect_verdict(spark, d):
 @query("SELECT l_returnflag, avg(l_quantity) AS mean, stddev_pop(l_quantity) AS std, quantile_cont(l_quantity, 0.05) AS p05, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.95) AS p95 FROM lineitem GROUP BY 1")
 def population_summary(spark, d):
     """A29"""
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*stats.population_summary("l_quantity"))
+    return stats.population_summary(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity")
 
 
 @query("SELECT event_type, avg(CAST(abs(value - 10) <= 0.5 OR abs(value - 20) <= 0.5 AS INT)) AS share FROM events GROUP BY 1")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import grading, text
 from ..operators import corpus, gates, matching, reports, sampling
 from ..sources import readers, scratch, sinks
-from ..streaming import metrics
+from ..streaming import metrics, tail, tracker
 from .catalogue import COSINE, ESTIMATE, INTERVAL, TRACES, WELCH, accuracy_by_condition, query, table, traces
 
 # --- full summaries (A3, A4, A8, A13, A25, A30, K8, O1) ----------------------------------------
@@ -415,3 +415,109 @@ def metric_stream_rows(spark, d):
     table(spark, d, "events").select(F.explode(F.array(line, line)).alias("value")).write.text(logs)
     metrics.write_metrics(metrics.metric_stream(spark, logs), out, state).awaitTermination()
     return readers.jsonl(spark, out, "step bigint, metrics map<string,double>").select("step", F.col("metrics").getItem("critic/kl").alias("kl"))
+
+
+def _log_files(lines: DataFrame, folder: str, files: int, cut: int | None = None) -> None:
+    """Writes (id, line) as log files in the order of id, as far as `cut` if there is one, each with the beginning of its next line behind."""
+
+    def write(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        system, top = tail.file_system(folder)
+        system.create_dir(top, recursive=True)
+        with system.open_output_stream(f"{top}/log-{TaskContext.get().partitionId()}.txt") as out:
+            whole = True
+            for batch in batches:
+                for i, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if whole:
+                        whole = cut is None or i < cut
+                        out.write(line.encode() + b"\n" if whole else line.encode()[:7])
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["n"])
+
+    lines.repartition(files, F.xxhash64("step")).sortWithinPartitions("id").select("id", "line").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+
+
+def _metric_lines(spark, d, more: int) -> DataFrame:
+    """id, step and line of a log that has every event as a step, and a second time, behind all others, with a value that is larger by `more`."""
+    e = table(spark, d, "events").select("event_id", "value")
+    both = e.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    line = F.concat(F.lit("step:"), F.col("event_id").cast("string"), F.lit(" - critic/kl:"), (F.col("value") + more * F.col("again")).cast("string"))
+    return both.select((F.col("event_id") + F.col("again") * 1_000_000_000_000).alias("id"), F.col("event_id").alias("step"), line.alias("line"))
+
+
+def _streamed(spark: SparkSession, logs: str, split: int | None = None, all_records: bool = False):
+    """Runs a metric stream over the logs as they are, time and again; the last call reads what all runs wrote."""
+    out, state = scratch.folder(spark, "stream-out"), scratch.folder(spark, "stream-state")
+
+    def run():
+        lines = metrics.tailed(spark, logs, split)
+        rows = metrics.points(lines, "file", "at")
+        metrics.write_metrics(rows if all_records else metrics.first_in_stream(rows), out, state).awaitTermination()
+        return readers.jsonl(spark, out, "step bigint, metrics map<string,double>").select("step", F.col("metrics").getItem("critic/kl").alias("kl"))
+
+    return run
+
+
+@query("SELECT event_id AS step, value AS kl FROM events UNION ALL SELECT event_id, value FROM events")
+def followed_log_rows(spark, d):
+    """T-1: the logs grow between two runs, each time in the middle of lines; every line is read once, by ranges of 64 kB."""
+    logs, lines = scratch.folder(spark, "growing"), _metric_lines(spark, d, 0)
+    run = _streamed(spark, logs, 1 << 16, all_records=True)
+    half = table(spark, d, "events").agg(F.max("event_id")).first()[0] // 2
+    for cut in (half, 1_000_000_000_000 + half, None):
+        _log_files(lines, logs, 4, cut)
+        rows = run()
+    return rows
+
+
+@query("SELECT event_id AS step, value AS kl FROM events")
+def first_of_differing_records(spark, d):
+    """T-2: every step is logged again with another value, in the same run or in a later one; the first record stays."""
+    logs, lines = scratch.folder(spark, "repeated"), _metric_lines(spark, d, 5)
+    run = _streamed(spark, logs)
+    half = table(spark, d, "events").agg(F.max("event_id")).first()[0] // 2
+    for cut in (1_000_000_000_000 + half, None):
+        _log_files(lines, logs, 4, cut)
+        rows = run()
+    return rows
+
+
+class _Counting:
+    """A tracker of a kind, that keeps nothing."""
+
+    def __init__(self, kind: str):
+        if kind == "hanging":
+            import time
+
+            time.sleep(3600)
+        if kind == "absent":
+            raise OSError("no tracker")
+        self.kind = kind
+
+    def log(self, point, step):
+        if self.kind == "refusing":
+            raise ValueError(step)
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS n FROM events) SELECT t.tracker, n AS written, CASE t.tracker WHEN 'working' THEN n ELSE 0 END AS sent, CASE t.tracker WHEN 'refusing' THEN n ELSE 0 END AS failed,
+      CASE WHEN t.tracker IN ('hanging', 'absent') THEN n ELSE 0 END AS dropped FROM n, (SELECT unnest(['working', 'refusing', 'hanging', 'absent']) AS tracker) t"""
+)
+def tracker_accounts(spark, d):
+    """T-4: what was written beside each kind of tracker, and what became of its points. The queue has room for all, so that only
+    the tracker decides."""
+    logs = scratch.folder(spark, "tracked")
+    lines = _metric_lines(spark, d, 0).filter("id = step")
+    _log_files(lines, logs, 4)
+    out = None
+    for kind in ("working", "refusing", "hanging", "absent"):
+        path, state = scratch.folder(spark, "tracked-out"), scratch.folder(spark, "tracked-state")
+        beside = tracker.Tracker(lambda kind=kind: _Counting(kind), start_seconds=5.0, capacity=1 << 22)
+        tracker.write_tracked(metrics.metric_stream(spark, logs), path, state, beside).awaitTermination()
+        beside.finish(0.5 if kind == "hanging" else 600.0)
+        c = beside.counts()
+        rows = spark.read.schema(tracker.POINT).json(path).agg(F.count("step").alias("written"))
+        one = rows.select(F.lit(kind).alias("tracker"), "written", *[F.lit(c[k]).cast("long").alias(k) for k in ("sent", "failed", "dropped")])
+        out = one if out is None else out.unionByName(one)
+    return out

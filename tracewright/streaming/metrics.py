@@ -1,15 +1,15 @@
-"""Training logs as metric streams (T-1..T-7).
-
-The file source finds new files, it doesn't follow one as it grows: logs are rotated into a folder.
-"""
+"""Training logs as metric streams (T-1..T-7). Logs are followed as they grow (see tail); a tracker stands beside the sink
+(see tracker)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import metric_line
+from .tail import LogTail
 
 
 def ensure_folder(spark: SparkSession, path: str) -> None:
@@ -18,17 +18,45 @@ def ensure_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
 
 
-def points(lines: DataFrame) -> DataFrame:
-    """step and metrics of the lines that have any."""
-    return lines.select(metric_line(F.col("value")).alias("m")).filter("m IS NOT NULL").select("m.*")
+def points(lines: DataFrame, *keep: str) -> DataFrame:
+    """step and metrics of the lines that have any, with what else is to be kept of the lines."""
+    return lines.select(*keep, metric_line(F.col("value")).alias("m")).filter("m IS NOT NULL").select(*keep, "m.*")
+
+
+def tailed(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
+    """T-1, T-3: the lines (file, at, value) of logs that grow, and of those that come; split: bytes of a task's range."""
+    spark.dataSource.register(LogTail)
+    reader = spark.readStream.format("log_tail").option("path", path)
+    return (reader if split is None else reader.option("split", split)).load()
 
 
 def metric_stream(spark: SparkSession, folder: str, first_only: bool = True) -> DataFrame:
     """T-1, T-2: the first record of each step, also across restarts (state: the steps seen). With first_only=False all
     records pass, for a merge of their maps."""
     ensure_folder(spark, folder)
-    rows = points(spark.readStream.schema("value string").text(folder))
-    return rows.dropDuplicates(["step"]) if first_only else rows
+    rows = points(tailed(spark, folder), "file", "at")
+    return first_in_stream(rows) if first_only else rows.select("step", "metrics")
+
+
+def first_in_stream(rows: DataFrame) -> DataFrame:
+    """T-2 on a stream of file, at, step and metrics: of a step's records in one micro-batch the first by (file, at), and none in later
+    ones. A step's state is that it was seen; states are never dropped, as a step may be logged again at any time."""
+
+    def first(key, frames, state: GroupState):
+        best = None
+        for frame in frames:  # all are read, whether needed or not
+            if not state.exists:
+                r = min(zip(frame["file"], frame["at"], frame["packed"], strict=True))
+                best = r if best is None else min(best, r)
+        if best is not None:
+            state.update((True,))
+            import pandas as pd
+
+            yield pd.DataFrame({"step": [key[0]], "packed": [best[2]]})
+
+    packed = rows.select("step", "file", "at", F.to_json("metrics").alias("packed"))
+    found = packed.groupBy("step").applyInPandasWithState(first, "step bigint, packed string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    return found.select("step", F.from_json("packed", "map<string,double>").alias("metrics"))
 
 
 def write_metrics(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True):
@@ -43,9 +71,9 @@ def first_by_step(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.groupBy("step").agg(F.min_by("metrics", F.struct(*order)).alias("metrics"))
 
 
-def merged_by_step(rows: DataFrame) -> DataFrame:
-    """All metrics that any record of a step has; the first seen counts (a variant that loses nothing)."""
-    cells = rows.select("step", F.explode("metrics").alias("k", "v")).groupBy("step", "k").agg(F.first("v").alias("v"))
+def merged_by_step(rows: DataFrame, order: list[str]) -> DataFrame:
+    """All metrics that any record of a step has; the first in the order counts (a variant that loses nothing)."""
+    cells = rows.select("step", F.struct(*order).alias("o"), F.explode("metrics").alias("k", "v")).groupBy("step", "k").agg(F.min_by("v", "o").alias("v"))
     return cells.groupBy("step").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("metrics"))
 
 
@@ -57,7 +85,7 @@ def periodic_eval(rows: DataFrame, every: int) -> DataFrame:
 
 
 class ProgressMonitor(StreamingQueryListener):
-    """T-4, T-6: keeps the latest progress of queries aside from their sinks and tells stalled ones. It never blocks: of a
+    """T-6: keeps the latest progress of queries aside from their sinks and tells stalled ones. It never blocks: of a
     full list the oldest entries go."""
 
     def __init__(self, stall_seconds: float = 5400, keep: int = 1000):
