@@ -93,20 +93,31 @@ def without_code_fences(text: Column) -> Column:
 _COLOUR = r"\x1b\[[0-9;]*m"
 
 
+# How a log writes a metric and its step.
+_METRIC = r"([A-Za-z_][\w/.\-]*):(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)\b"
+_STEP = r"\bstep:(\d+)\b"
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def metric_line(line: Column) -> Column:
     """struct<step, metrics map> of a training-log line; null if it names no step or no metric.
     Of a metric that a line names twice the last counts."""
+    name = lambda t: F.substring_index(t, ":", 1)
+
+    def point(tokens: Column, keys: Column, step: Column) -> Column:
+        # last ones first: of a name the first place counts
+        some = F.filter(tokens, lambda t, i: (F.array_position(keys, name(t)) == i + 1) & (name(t) != "step"))
+        return bound(some, lambda s: F.when(step.isNotNull() & (F.size(s) > 0), F.struct(
+            step.alias("step"), F.map_from_arrays(F.transform(s, name), F.transform(s, lambda t: F.substring_index(t, ":", -1).cast("double"))).alias("metrics"),
+        )))
+
     clean = F.regexp_replace(F.regexp_replace(line, _COLOUR, ""), "\r", "")
-    step = first_match(clean, r"\bstep:(\d+)\b").cast("bigint")
-    pattern = r"([A-Za-z_][\w/.\-]*):(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)\b"
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(clean, F.lit(pattern), 1).alias("key"), F.regexp_extract_all(clean, F.lit(pattern), 2).alias("value")
-    )
-    pairs = F.filter(pairs, lambda p: p["key"] != "step")
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    value_of = lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].cast("double")
-    metrics = F.map_from_arrays(keys, F.transform(keys, value_of))
-    return F.when(step.isNotNull() & (F.size(keys) > 0), F.struct(step.alias("step"), metrics.alias("metrics")))
+    found = lambda c: F.reverse(F.regexp_extract_all(c, F.lit(_METRIC), F.lit(0)))
+    return bound(clean, lambda c: bound(found(c), lambda tokens: point(tokens, F.transform(tokens, name), first_match(c, _STEP).cast("bigint"))))
 
 
 def log_traces(log: Column) -> Column:

@@ -94,6 +94,41 @@ def rates(arms: DataFrame, arm: str, flags: dict[str, Column], least: float = 0.
     return share.select(F.concat_ws(":", F.col("n"), F.col("_arm")).alias("gate"), (F.col("value") >= least).alias("passed"), "value")
 
 
+def _gate(counted: DataFrame, name: str, passed: Column, value: Column) -> DataFrame:
+    """One row (gate, passed, value) of a table of one row."""
+    return counted.select(F.lit(name).alias("gate"), F.coalesce(passed, F.lit(False)).alias("passed"), value.cast("double").alias("value"))
+
+
+def solved_row(df: DataFrame, correct: Column, most_bad: float = 0.05, name: str = "solved") -> DataFrame:
+    """G4 as a row: the share of examples that don't solve their problem (a null is one); none at all don't pass."""
+    bad = df.agg(F.avg(1 - F.coalesce(correct.cast("int"), F.lit(0))).alias("v"))
+    return _gate(bad, name, F.col("v") <= most_bad, F.col("v"))
+
+
+def curves_row(curves: DataFrame, runs: DataFrame, key: str, name: str = "curves_have_runs") -> DataFrame:
+    """G5 as a row: how many curves have no run with a checkpoint."""
+    n = curves.join(runs.filter("has_checkpoint"), key, "left_anti").select(key).distinct().agg(F.count("*").alias("v"))
+    return _gate(n, name, F.col("v") == 0, F.col("v"))
+
+
+def enough_row(df: DataFrame, least: int = 1, name: str = "enough") -> DataFrame:
+    """G8, G11 as a row: how many rows there are."""
+    return _gate(df.agg(F.count("*").alias("v")), name, F.col("v") >= least, F.col("v"))
+
+
+def total_row(df: DataFrame, total: int, allow_short: bool = False, name: str = "pool_total") -> DataFrame:
+    """G9 as a row: how many rows the pool has."""
+    n = df.agg(F.count("*").alias("v"))
+    return _gate(n, name, (F.col("v") == total) | (F.lit(allow_short) & (F.col("v") < total)), F.col("v"))
+
+
+def failing(gate_rows: DataFrame, most: int = 20) -> None:
+    """Raises with the gates of a report that didn't pass."""
+    bad = gate_rows.filter(~F.col("passed")).orderBy("gate").limit(most).collect()
+    if bad:
+        raise GateError("; ".join(f"{r['gate']}: {r['value']}" for r in bad))
+
+
 def disjoint(left: DataFrame, right: DataFrame, keys: list[str]) -> int:
     """Two slices share no key; returns how many keys they have together."""
     r = key_differences(left, right, keys).first()
@@ -126,3 +161,14 @@ def training_config(batch_size: int, grad_accum: int, num_generations: int, lr:
     if lr is not None and not 1e-8 < lr < 1e-2:
         raise ValueError(f"learning rate {lr} is not between 1e-8 and 1e-2")
     return n
+
+
+def config_findings(batch_size: Column, grad_accum: Column, num_generations: Column, lr: Column | None = None) -> Column:
+    """F43 on a table of configurations: prompts of a step, and what is wrong (null: nothing), the first of training_config's rules that
+    a configuration breaks. A null number is out of range."""
+    n, total = F.coalesce(num_generations, F.lit(0)).cast("long"), F.coalesce(batch_size * grad_accum, F.lit(0)).cast("long")
+    prompts = F.when(n > 0, F.floor(total / n)).cast("long")
+    wrong = F.when(n < LEAST_GENERATIONS, "num_generations is too small").when(total % F.greatest(n, F.lit(1)) != 0, "no multiple of num_generations").when(prompts < LEAST_PROMPTS, "too few prompts a step")
+    if lr is not None:
+        wrong = wrong.when(~F.coalesce((lr > 1e-8) & (lr < 1e-2), F.lit(False)), "learning rate out of range")
+    return F.struct(prompts.alias("prompts"), wrong.alias("wrong"))

@@ -92,12 +92,13 @@ def intervals(bounds: Column) -> Column:
 
 def report_lines(df: DataFrame, fields: list[tuple[str, int, str | None]]) -> DataFrame:
     """K8: rows as lines of a table of fixed width. A field is (column, width, number format): with a format it stands on
-    the right, without on the left; null is a dash; what is wider is cut."""
+    the right, without on the left; null is a dash; what is wider widens its line, so that no number loses digits."""
 
     def cell(name: str, width: int, form: str | None) -> Column:
         body = F.col(name).cast("string") if form is None else F.when(F.col(name).isNotNull(), F.format_string(form, F.col(name)))
         body = F.coalesce(body, F.lit("-"))
-        return F.rpad(body, width, " ") if form is None else F.lpad(body, width, " ")
+        wide = F.greatest(F.lit(width), F.length(body))
+        return F.rpad(body, wide, F.lit(" ")) if form is None else F.lpad(body, wide, F.lit(" "))
 
     return df.select(F.concat(*[cell(*f) for f in fields]).alias("line"))
 

@@ -172,3 +172,12 @@ def explained_variance(x: str, approx: str, mean: str) -> Column:
 def near_reference_share(value: Column, reference: list[float], within: float = 0.005) -> Column:
     """Share of points within a distance of any reference value."""
     return F.avg(F.exists(F.array(*[F.lit(float(r)) for r in reference]), lambda r: F.abs(r - value) <= within).cast("int"))
+
+
+def curve_windows(df: DataFrame, step: Column, windows: dict[str, tuple[int, int]], curve: str, value: str, first, second) -> DataFrame:
+    """The means of two curves in each window of steps (both ends in it) and their gap. A window without points of either has
+    no row; windows that overlap count a point in each."""
+    parts = F.array(*[F.when(step.between(a, b), F.lit(n)) for n, (a, b) in windows.items()])
+    side = lambda c: F.avg(F.when(F.col(curve) == c, F.col(value)))
+    some = df.filter(F.col(curve).isin(first, second)).select(curve, value, F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("part"))
+    return some.groupBy("part").agg(side(first).alias("first"), side(second).alias("second"), (side(first) - side(second)).alias("gap"))

@@ -263,14 +263,30 @@ def within_group_paired(spark, d):
     return stats.within_group_paired(rows, "pid", "f", "value")
 
 
-@query()
+def matched_sql(scope: str, group: str, flag: str, caliper: float, least: int, where: str = "true") -> str:
+    """J9 by its rule, a treated row at a time."""
+    return f"""WITH RECURSIVE {TRACES}, r AS (SELECT {group} AS g, doc_id AS k, {flag} AS f, CAST(words AS DOUBLE) AS l, CAST(n_chars AS DOUBLE) AS v FROM t WHERE {where}),
+    tr AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY l, k) AS i FROM r WHERE f), co AS (SELECT * FROM r WHERE NOT f),
+    m AS (SELECT g, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS control FROM r GROUP BY g UNION ALL
+      SELECT g, i, CASE WHEN best[1] <= reach THEN list_append(used, CAST(best[3] AS BIGINT)) ELSE used END, CASE WHEN best[1] <= reach THEN CAST(best[3] AS BIGINT) END FROM (
+        SELECT m.g, tr.i, any_value(m.used) AS used, any_value({caliper} * greatest(tr.l, 1.0)) AS reach, min([abs(co.l - tr.l), co.l, CAST(co.k AS DOUBLE)]) FILTER (co.k IS NOT NULL) AS best
+        FROM m JOIN tr ON tr.g = m.g AND tr.i = m.i + 1 LEFT JOIN co ON co.g = m.g AND NOT list_contains(m.used, co.k) GROUP BY m.g, tr.i)),
+    p AS (SELECT m.g, tr.l AS tl, co.l AS cl, tr.v - co.v AS d FROM m JOIN tr ON tr.g = m.g AND tr.i = m.i JOIN co ON co.g = m.g AND co.k = m.control),
+    e AS (SELECT g, count(*) AS n, avg(d) AS d, 1.96 * stddev_samp(d) / sqrt(count(*)) AS h, avg(tl) AS tl, avg(cl) AS cl, max(abs(tl - cl)) AS gap, max(abs(tl - cl) / greatest(tl, 1.0)) AS pair_gap FROM p GROUP BY g)
+    SELECT g AS {scope}, n AS n_pairs, CASE WHEN n >= {least} THEN d END AS difference, CASE WHEN n >= {least} THEN d - h END AS ci95_low, CASE WHEN n >= {least} THEN d + h END AS ci95_high,
+      tl AS mean_words_treated, cl AS mean_words_control, gap / greatest(tl, 1.0) AS max_relative_length_gap, pair_gap AS max_pair_gap, CASE WHEN n < {least} THEN 'too few pairs' END AS note FROM e"""
+
+
+@query(matched_sql("scope", "'all'", "correct", 0.05, 30))
 def matched_length(spark, d):
+    """J9"""
     pairs = matching.matched_pairs(traces(spark, d), "doc_id", "correct", "words", "n_chars", caliper=0.05)
     return matching.matched_estimate(pairs, "scope")
 
 
-@query()
+@query(matched_sql("lang", "lang", "correct", 0.05, 5))
 def matched_length_by_domain(spark, d):
+    """J11"""
     pairs = matching.matched_pairs(traces(spark, d), "doc_id", "correct", "words", "n_chars", caliper=0.05, by="lang")
     return matching.matched_estimate(pairs, "lang", least=5)
 
@@ -278,8 +294,28 @@ def matched_length_by_domain(spark, d):
 # --- segments and features (F33-F35, J1, J13, J14, P9, W3, W4) --------------------------------
 
 
-@query()
+@query(
+    """WITH RECURSIVE x AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings),
+    u AS (SELECT label, i, list_transform(e, lambda v: v / sqrt(list_dot_product(e, e))) AS e FROM x), c AS (SELECT label, count(*) AS n FROM u GROUP BY 1),
+    d AS (SELECT a.label, a.i AS a, b.i AS b, 1 - list_dot_product(a.e, b.e) AS h FROM u a JOIN u b ON a.label = b.label),
+    r AS (SELECT label, a, list(greatest(h, 0) ORDER BY b) AS row FROM d GROUP BY 1, 2),
+    grown AS (SELECT label, n, CAST(1 AS BIGINT) AS k, CAST(1 AS BIGINT) AS at, [1]::BIGINT[] AS seen, list_transform(range(1, n + 1), lambda i: CAST('inf' AS DOUBLE)) AS dist,
+        list_transform(range(1, n + 1), lambda i: CAST(1 AS BIGINT)) AS link, CAST(NULL AS DOUBLE[]) AS edge FROM c UNION ALL
+      SELECT label, n, k + 1, next, list_append(seen, next), dist, link, [dist[next], link[next], next] FROM (SELECT *, list_position(dist, list_min(dist)) AS next FROM (
+        SELECT g.label, g.n, g.k, g.seen, list_transform(range(1, g.n + 1), lambda i: CASE WHEN list_contains(g.seen, i) THEN CAST('inf' AS DOUBLE) ELSE least(g.dist[i], r.row[i]) END) AS dist,
+          list_transform(range(1, g.n + 1), lambda i: CASE WHEN r.row[i] < g.dist[i] THEN g.at ELSE g.link[i] END) AS link
+        FROM grown g JOIN r ON r.label = g.label AND r.a = g.at WHERE g.k < g.n))),
+    edges AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY edge) AS k, edge FROM grown WHERE edge IS NOT NULL),
+    merged AS (SELECT label, CAST(0 AS BIGINT) AS k, range(1, n + 1) AS part, CAST(0 AS DOUBLE) AS height, CAST(0 AS DOUBLE) AS hse FROM c UNION ALL
+      SELECT m.label, e.k, list_transform(part, lambda x: CASE WHEN x = part[CAST(edge[3] AS BIGINT)] THEN part[CAST(edge[2] AS BIGINT)] ELSE x END), edge[1],
+        hse + (edge[1] - height) * list_sum(list_transform(part, lambda x: -log2(len(list_filter(part, lambda y: y = x)) / len(part)) / len(part)))
+      FROM merged m JOIN edges e ON e.label = m.label AND e.k = m.k + 1),
+    s AS (SELECT label, max_by(hse, k) AS hse FROM merged GROUP BY 1), p AS (SELECT label, avg(h) FILTER (a <> b) AS mean_dist FROM d GROUP BY 1)
+    SELECT label, n AS n_segments, CASE WHEN n < 3 THEN 0 ELSE hse END AS hse, CASE WHEN n < 3 THEN 0 ELSE hse / log2(n) END AS hse_norm, CASE WHEN n < 3 THEN 0 ELSE greatest(mean_dist, 0) END AS mean_dist, n < 3 AS single_voice
+    FROM c JOIN s USING (label) LEFT JOIN p USING (label)"""
+)
 def hse_by_label(spark, d):
+    """F35"""
     return diversity.hse_by_trace(table(spark, d, "embeddings"), "label", "embedding")
 
 
@@ -565,11 +601,9 @@ def sign_stability(spark, d):
     SELECT part, avg(value) FILTER (event_type = 'click') AS first, avg(value) FILTER (event_type = 'signup') AS second, avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'signup') AS gap FROM w WHERE part IS NOT NULL GROUP BY 1"""
 )
 def curve_windows(spark, d):
-    e = table(spark, d, "events")
+    """A34"""
     step = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) * 10
-    part = F.when(step.between(10, 60), "early").when(step.between(70, 180), "mid").when(step.between(190, 250), "late")
-    side = lambda t: F.avg(F.when(F.col("event_type") == t, F.col("value")))
-    return e.withColumn("part", part).filter("part IS NOT NULL").groupBy("part").agg(side("click").alias("first"), side("signup").alias("second"), (side("click") - side("signup")).alias("gap"))
+    return stats.curve_windows(table(spark, d, "events"), step, {"early": (10, 60), "mid": (70, 180), "late": (190, 250)}, "event_type", "value", "click", "signup")
 
 
 # --- grading and rewards (F1-F21, F31, F36-F42) -----------------------------------------------
@@ -721,7 +755,7 @@ def dose_summary(spark, d):
     return rows.groupBy("alpha").agg(F.count("*").alias("n"), F.count(F.when(F.col("words") < 50, 1)).alias("single_voice"), F.avg("words").alias("words"), stats.rate(F.col("correct")).alias("accuracy"))
 
 
-@query()
+@query(matched_sql("scope", "'all'", "doc_id % 3 = 0", 0.1, 30, "doc_id % 3 IN (0, 1)"))
 def dose_matched(spark, d):
     """J10, P11"""
     rows = traces(spark, d).withColumn("alpha", F.col("doc_id") % 3 / 2.0)

@@ -179,34 +179,38 @@ def gate_rates(spark, d):
     return gates.rates(table(spark, d, "events"), "event_type", {"parse_rate": F.col("value") > 1, "format_rate": F.col("user_id") % 40 != 0})
 
 
-def _passes(gate) -> bool:
-    try:
-        gate()
-    except ValueError:
-        return False
-    return True
-
-
 @query(
-    """SELECT 'solved' AS gate, (SELECT avg(CAST(l_quantity <= 1 AS INT)) FROM lineitem) <= 0.05 AS passed UNION ALL
-    SELECT 'curves_have_runs', NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) UNION ALL
-    SELECT 'enough', count(*) >= 100 FROM labels UNION ALL SELECT 'pool_total', count(*) = 1000 FROM documents UNION ALL
-    SELECT 'pool_total_short', count(*) <= 1000 FROM documents UNION ALL SELECT 'config', true UNION ALL SELECT 'config_one_prompt', false"""
+    """SELECT 'solved' AS gate, avg(CAST(l_quantity <= 1 AS INT)) <= 0.05 AS passed, avg(CAST(l_quantity <= 1 AS INT)) AS value FROM lineitem UNION ALL
+    SELECT 'solved_at_half', avg(CAST(l_quantity <= 25 AS INT)) <= 0.05, avg(CAST(l_quantity <= 25 AS INT)) FROM lineitem UNION ALL
+    SELECT 'curves_have_runs', count(DISTINCT o_custkey) = 0, CAST(count(DISTINCT o_custkey) AS DOUBLE) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL
+    SELECT 'enough', count(*) >= 100, CAST(count(*) AS DOUBLE) FROM labels UNION ALL SELECT 'pool_total', count(*) = 1000, CAST(count(*) AS DOUBLE) FROM documents UNION ALL
+    SELECT 'pool_total_short', count(*) <= 1000, CAST(count(*) AS DOUBLE) FROM documents UNION ALL
+    SELECT 'pairing', count(*) >= 1, CAST(count(*) AS DOUBLE) FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderstatus = 'O' AND b.o_orderstatus = 'F' UNION ALL
+    SELECT 'val_split', count(*) >= 1, CAST(count(*) AS DOUBLE) FROM orders WHERE o_custkey % 6 = 0"""
 )
 def gate_outcomes(spark, d):
-    """Whether each gate lets the tables pass."""
-    docs = table(spark, d, "documents")
+    """Whether each gate lets the tables pass, and by what value. No order is in both arms, so the pairing is empty."""
+    docs, orders = table(spark, d, "documents"), table(spark, d, "orders")
     runs = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("has_checkpoint"))
-    checks = {
-        "solved": lambda: gates.solved(table(spark, d, "lineitem"), F.col("l_quantity") > 1),
-        "curves_have_runs": lambda: gates.curves_have_runs(table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), runs, "c_custkey"),
-        "enough": lambda: gates.enough(table(spark, d, "labels"), 100),
-        "pool_total": lambda: gates.pool_total(docs, 1000),
-        "pool_total_short": lambda: gates.pool_total(docs, 1000, allow_short=True),
-        "config": lambda: gates.training_config(8, 4, 8, 1e-5),
-        "config_one_prompt": lambda: gates.training_config(8, 1, 8),
-    }
-    return spark.createDataFrame([(name, _passes(gate)) for name, gate in checks.items()], "gate string, passed boolean")
+    arm = lambda s: orders.filter(F.col("o_orderstatus") == s).select("o_orderkey")
+    rows = [
+        gates.solved_row(table(spark, d, "lineitem"), F.col("l_quantity") > 1), gates.solved_row(table(spark, d, "lineitem"), F.col("l_quantity") > 25, name="solved_at_half"),
+        gates.curves_row(orders.withColumnRenamed("o_custkey", "c_custkey"), runs, "c_custkey"), gates.enough_row(table(spark, d, "labels"), 100), gates.total_row(docs, 1000),
+        gates.total_row(docs, 1000, allow_short=True, name="pool_total_short"), gates.enough_row(arm("O").join(arm("F"), "o_orderkey"), name="pairing"), gates.enough_row(orders.filter(F.col("o_custkey") % 6 == 0), name="val_split"),
+    ]
+    return readers.pool(rows)
+
+
+@query(
+    """WITH c AS (SELECT p_partkey, p_size AS batch_size, p_partkey % 4 AS grad_accum, p_partkey % 7 AS generations, p_retailprice / 100000.0 AS lr FROM part), t AS (SELECT *, batch_size * grad_accum AS total FROM c)
+    SELECT p_partkey, CASE WHEN generations > 0 THEN total // generations END AS prompts, CASE WHEN generations < 2 THEN 'num_generations is too small' WHEN total % generations <> 0 THEN 'no multiple of num_generations'
+      WHEN total // generations < 2 THEN 'too few prompts a step' WHEN NOT (lr > 1e-8 AND lr < 1e-2) THEN 'learning rate out of range' END AS wrong FROM t"""
+)
+def config_findings(spark, d):
+    """parts as training configurations."""
+    part = table(spark, d, "part")
+    found = gates.config_findings(F.col("p_size"), F.col("p_partkey") % 4, F.col("p_partkey") % 7, F.col("p_retailprice") / 100000.0)
+    return part.select("p_partkey", found.alias("f")).select("p_partkey", "f.prompts", "f.wrong")
 
 
 @query(
@@ -259,6 +263,20 @@ def gradable_math(spark, d):
     return readers.math_problems(rows).select("pid", "answer", F.col("meta.type").alias("kind"))
 
 
+@query("SELECT p_partkey, p_partkey % 8 NOT IN (3, 6) AS correct FROM part")
+def symbolic_grade(spark, d):
+    """answers that are equal by value, not as text; two that are neither."""
+    k, n = F.col("p_partkey") % 8, F.col("p_size").cast("string")
+    whole = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    said = [
+        whole("\\boxed{\\frac", "{", n, "}{2}}"), whole("\\boxed{x+", n, "}"), whole("\\boxed{", n, "(x+1)}"), whole("\\boxed{\\sqrt{", n, "}}"), whole("\\boxed{\\frac{", n, "}{\\sqrt{2}}}"),
+        whole("\\boxed{(", n, ",\\frac12)}"), whole("\\boxed{x^2+", n, "}"), whole("\\boxed{\\frac{x^2-", n, "^2}{x-", n, "}}"),
+    ]
+    gold = [whole((F.col("p_size") / 2).cast("string")), whole(n, "+x"), whole(n, "x+", n), whole("\\sqrt{", n, "}+1"), whole(n, "\\sqrt{2}/2"), whole("(", n, ", 0.5)"), whole("x^2-", n, "-1"), whole("x+", n)]
+    pick = lambda values: F.coalesce(*[F.when(k == i, v) for i, v in enumerate(values)])
+    return table(spark, d, "part").select("p_partkey", grading.grade("math_hard", pick(said), pick(gold), symbolic=True)["correct"].alias("correct"))
+
+
 # --- sources and sinks (S2-S5, S7, S9, S11-S13, K1-K7, T-1, T-3, T-5) ---------------------------
 
 CUSTOMER = "c_custkey bigint, c_name string, c_acctbal double"
@@ -341,10 +359,10 @@ def log_trace_rows(spark, d):
 def file_order_rows(spark, d):
     """The lines of each file come in the order that they were written in."""
     path = scratch.folder(spark, "ordered")
-    _customers(spark, d).repartitionByRange("c_custkey").sortWithinPartitions("c_custkey").write.json(path)
-    rows = readers.in_file_order(spark, path, CUSTOMER)
-    before = F.lag("c_custkey").over(readers.Window.partitionBy("file").orderBy("line"))
-    return rows.select("c_custkey", F.coalesce(before < F.col("c_custkey"), F.col("line") == 0).alias("in_order"))
+    dealt = _customers(spark, d).repartitionByRange("c_custkey").sortWithinPartitions("c_custkey")
+    # the writer's own count of lines goes into each record
+    dealt.withColumn("n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).write.json(path)
+    return readers.in_file_order(spark, path, f"{CUSTOMER}, n bigint").select("c_custkey", (F.col("line") == F.col("n")).alias("in_order"))
 
 
 @query("SELECT c_mktsegment AS name, count(*) AS n, 'acctbal' AS metric, max(c_acctbal) - min(c_acctbal) AS difference FROM customer GROUP BY 1")
@@ -397,13 +415,16 @@ def paired_file(spark, d):
 
 @query("SELECT c_custkey, upper(c_name) AS name, (row_number() OVER (ORDER BY c_custkey) - 1) // 1000 AS chunk FROM customer")
 def committed_chunks(spark, d):
-    """K7, T-5: the plan is staged, so that it stays the same over restarts; a second run finds nothing to do."""
-    plan, out = scratch.folder(spark, "plan"), scratch.folder(spark, "chunks")
-    sinks.parquet(sampling.chunk_plan(_customers(spark, d), None, "c_custkey", 1000), plan)
+    """K7, T-5: the plan is staged, so that it stays the same over restarts. The first run breaks off at a chunk; the second works
+    off what isn't there, in one job; a third finds nothing to do."""
+    path, out = scratch.folder(spark, "plan"), scratch.folder(spark, "chunks")
+    sinks.parquet(sampling.chunk_plan(_customers(spark, d), None, "c_custkey", 1000), path)
+    plan = spark.read.parquet(path)
     work = lambda rows: rows.select("c_custkey", F.upper("c_name").alias("name"), "chunk")
-    sinks.commit_chunks(spark.read.parquet(plan), out, work)
-    if sinks.commit_chunks(spark.read.parquet(plan), out, work):
-        raise AssertionError("whole chunks were written again")
+    sinks.write_chunks(plan.filter("chunk % 2 = 0"), out, work)
+    sinks.write_chunks(plan, out, work)
+    if not sinks.open_chunks(plan, out).isEmpty():
+        raise AssertionError("chunks are still open")
     return spark.read.schema("c_custkey bigint, name string, chunk bigint").parquet(out)
 
 
@@ -521,3 +542,73 @@ def tracker_accounts(spark, d):
         one = rows.select(F.lit(kind).alias("tracker"), "written", *[F.lit(c[k]).cast("long").alias(k) for k in ("sent", "failed", "dropped")])
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# --- problems and pools (S1, S6, S8) ------------------------------------------------------------
+
+
+@query(
+    """WITH o AS (SELECT CAST(p_partkey AS VARCHAR) AS pid, p_name, list_sort([md5(p_partkey || '|' || i) || ['r' || p_size, 'a' || p_size, 'b' || p_size, 'c' || p_size][i + 1] FOR i IN [0, 1, 2, 3]]) AS o, 'r' || p_size AS gold FROM part)
+    SELECT pid, substr('ABCD', CAST(list_position([x[33:] FOR x IN o], gold) AS INT), 1) AS answer, p_name || E'\n\n(A) ' || o[1][33:] || E'\n(B) ' || o[2][33:] || E'\n(C) ' || o[3][33:] || E'\n(D) ' || o[4][33:] ||
+      E'\n\nThink step by step inside <think> </think> tags, then give the letter of the correct option (A, B, C, or D) inside \\\\boxed{}.' AS prompt FROM o"""
+)
+def choice_problem_rows(spark, d):
+    """Multiple choice; the shown order depends on the problem alone."""
+    size = F.col("p_size").cast("string")
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("pid"), "p_name", *[F.concat(F.lit(x), size).alias(x) for x in "rabc"])
+    return readers.choice_problems(rows, "p_name", "r", ["a", "b", "c"]).select("pid", "answer", "prompt")
+
+
+@query(
+    """SELECT CAST(p_partkey AS VARCHAR) AS pid, (p_size + p_partkey) || '|' || p_size || ',' || p_partkey AS answer, 'Using the numbers [' || p_size || ', ' || p_partkey || '], create an equation that equals ' || (p_size + p_partkey) || '. You can use basic arithmetic operations ' ||
+      '(+, -, *, /) and each number can only be used once. Show your work in <think> </think> tags. And return the final answer in <answer> </answer> tags, for example <answer> (1 + 2) / 3 </answer>.' AS prompt, CAST(p_size + p_partkey AS INT) AS target FROM part"""
+)
+def countdown_problem_rows(spark, d):
+    """Number puzzles."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("pid"), F.array(F.col("p_size").cast("int"), F.col("p_partkey").cast("int")).alias("nums"), (F.col("p_size") + F.col("p_partkey")).alias("target"))
+    return readers.countdown_problems(rows).select("pid", "answer", "prompt", "meta.target")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS k, p_name AS q, p_type AS sub, p_size AS z FROM part),
+    g AS (SELECT *, list_sort([md5(sub || '|' || k || '|' || i) || ['r', 'a', 'b', 'c'][i + 1] || z FOR i IN [0, 1, 2, 3]]) AS o FROM p)
+    SELECT 'bbh/' || sub || '/' || k AS pid, 'bbh' AS source, sub AS subtask, q AS task, CAST(z AS VARCHAR) AS answer, true AS gradable, '' AS options FROM p UNION ALL
+    SELECT 'gpqa/' || sub || '/' || k, 'gpqa', sub, q || E'\n\n(A) ' || o[1][33:] || E'\n(B) ' || o[2][33:] || E'\n(C) ' || o[3][33:] || E'\n(D) ' || o[4][33:], substr('ABCD', CAST(list_position([x[33:] FOR x IN o], 'r' || z) AS INT), 1), true, o[1][33:] || '/' || o[2][33:] || '/' || o[3][33:] || '/' || o[4][33:] FROM g UNION ALL
+    SELECT 'math_hard/' || sub || '/' || k, 'math_hard', sub, q, CAST(z AS VARCHAR), true, '' FROM p WHERE z % 3 <> 0 UNION ALL
+    SELECT 'mmlu_pro/' || k, 'mmlu_pro', CASE WHEN z % 2 = 0 THEN sub ELSE 'mixed' END, q || E'\n\n(A) ' || z || E'\n(B) no', 'A', true, z || '/no' FROM p UNION ALL
+    SELECT 'musr/' || sub || '/' || k, 'musr', sub, sub || E'\n\n' || q || E'\n(A) yes\n(B) ' || z, substr('AB', CAST(z % 2 AS INT) + 1, 1), true, 'yes/' || z FROM p UNION ALL
+    SELECT 'ifeval/' || k, 'ifeval', 'instruction_following', q, '', false, '' FROM p"""
+)
+def six_pools(spark, d):
+    """Parts in the shapes of six benchmarks, as one pool."""
+    size = F.col("p_size").cast("string")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("pid"), F.col("p_type").alias("subtask"), F.col("p_name").alias("question"), size.alias("size"), "p_size")
+    padded = lambda x: F.concat(F.lit(" " + x), F.col("size"), F.lit("\n") if x == "r" else F.lit(""))
+    parts = [
+        readers.bbh_pool(p.select("pid", "subtask", F.col("question").alias("input"), F.col("p_size").alias("target"))),
+        readers.gpqa_pool(p.select("pid", "subtask", "question", F.concat(F.lit("r"), "size").alias("right"), *[padded(x).alias(f"wrong{i}") for i, x in enumerate("abc", 1)])),
+        readers.math_hard_pool(p.select("pid", "subtask", F.col("question").alias("problem"), F.when(F.col("p_size") % 3 == 0, "no box").otherwise(F.concat(F.lit("so \\boxed{"), "size", F.lit("}"))).alias("solution"))),
+        readers.mmlu_pro_pool(p.select("pid", F.when(F.col("p_size") % 2 == 0, F.col("subtask")).alias("category"), "question", F.array("size", F.lit("no")).alias("options"), F.lit(" A ").alias("answer"))),
+        readers.musr_pool(p.select("pid", "subtask", F.col("subtask").alias("narrative"), "question", F.array(F.lit("yes"), "size").alias("choices"), (F.col("p_size") % 2).alias("answer_index"))),
+        readers.ifeval_pool(p.select("pid", F.col("question").alias("prompt"))),
+    ]
+    return readers.pool(parts).withColumn("options", F.array_join("options", "/"))
+
+
+@query(
+    """WITH r AS (SELECT doc_id, quality, 'shard=' || doc_id % 64 AS shard FROM labels), n AS (SELECT shard, row_number() OVER (ORDER BY md5('6|' || shard)) AS i FROM (SELECT DISTINCT shard FROM r)),
+    w AS (SELECT doc_id, quality, CAST(floor(log2(i)) AS INT) AS wave FROM r JOIN n USING (shard)), s AS (SELECT unnest(range(7)) AS wave),
+    e AS (SELECT s.wave FROM s JOIN w ON w.wave <= s.wave GROUP BY 1 HAVING count(*) FILTER (quality = 0) >= 5 AND count(*) FILTER (quality = 1) >= 5), z AS (SELECT coalesce(min(wave), 6) AS wave FROM e),
+    q AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('6|' || doc_id), doc_id) AS rn FROM w, z WHERE w.wave <= z.wave)
+    SELECT doc_id, quality, (SELECT count(*) FROM n) AS shards, (SELECT least(count(*), CAST(2 ** (z.wave + 1) - 1 AS BIGINT)) FROM n, z GROUP BY z.wave) AS read FROM q WHERE rn <= 5"""
+)
+def early_stopped_sample(spark, d):
+    """Five rows of each class from as few of 64 shards as have them, and how many shards were read."""
+    path = scratch.folder(spark, "corpus")
+    table(spark, d, "labels").withColumn("shard", F.col("doc_id") % 64).write.partitionBy("shard").json(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    found = place(path).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place(path))
+    shards = {f.getPath().getName(): f.getPath().toString() for f in found if f.getPath().getName().startswith("shard=")}
+    read = lambda paths: spark.read.schema("doc_id bigint, quality int, toxic int").json(paths)
+    rows, done = readers.balanced_scan(read, shards, "quality", [0, 1], "doc_id", 5, seed=6)
+    return rows.select("doc_id", "quality", F.lit(done["shards"]).cast("long").alias("shards"), F.lit(done["read"]).cast("long").alias("read"))

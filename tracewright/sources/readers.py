@@ -53,9 +53,12 @@ def shards(spark: SparkSession, folder: str, schema: str, keep: str | None = Non
         # absent, or left half-written: written anew under another name and moved when whole
         fresh = f"{keep.rstrip('/')}.{uuid.uuid4().hex}.tmp"
         read.json(folder).write.parquet(fresh)
-        system.delete(made(keep), True)
-        if not system.rename(made(fresh), made(keep)):
-            raise OSError(f"{fresh} can't be moved to {keep}")
+        if not system.exists(made(f"{keep}/_SUCCESS")):
+            # of two that write at once, the later one finds the cache whole and leaves it
+            system.delete(made(keep), True)
+            if not system.rename(made(fresh), made(keep)) and not system.exists(made(f"{keep}/_SUCCESS")):
+                raise OSError(f"{fresh} can't be moved to {keep}")
+        system.delete(made(fresh), True)
     return spark.read.schema(schema).parquet(keep)
 
 
@@ -70,12 +73,18 @@ def with_fallback(first: Callable[[], DataFrame], second: Callable[[], DataFrame
 
 
 def in_file_order(spark: SparkSession, path, schema: str) -> DataFrame:
-    """Several files of records with `file` and `line` (0-based, blank lines not counted), to order by. The lines of
-    one file are numbered in one task, that gets the records as they are: a file is a shard of a bounded size."""
+    """Several files of records with `file` and `line` (0-based, blank lines not counted), to order by.
+
+    A file may be read in many splits, by as many tasks. Records are counted by split where they are read, and sums over a
+    file's splits say where each begins; only these counts (a row a split) are shuffled.
+    """
     rows = spark.read.schema(schema).json(path)
+    # a task reads a split from its beginning to its end, so numbers rise inside it, without gaps
     placed = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    inside = Window.partitionBy("file").orderBy("_block", "_at")
-    return placed.withColumn("line", F.row_number().over(inside) - 1).drop("_block", "_at")
+    splits = placed.groupBy(F.col("file").alias("_f"), F.col("_block").alias("_b")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a file's splits
+    starts = splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop("_n", "_first")
+    return placed.join(starts, (F.col("file") == F.col("_f")) & (F.col("_block") == F.col("_b"))).withColumn("line", F.col("_at") + F.col("_off")).drop("_block", "_at", "_f", "_b", "_off")
 
 
 def run_summaries(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
@@ -103,6 +112,29 @@ def balanced_corpus(df: DataFrame, label: str, key: str, per_class: int, seed=0,
     return sampling.balanced_sample(df, label, key, per_class, seed)
 
 
+def balanced_scan(read: Callable[[list[str]], DataFrame], shards: dict[str, str], label: str, classes: list, key: str, per_class: int, seed=0, most_rows: int | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """S6 with an early stop: as many rows of each of the classes from as few shards as that takes, and how many were read.
+
+    shards: name to path. They are read in a seeded order of their names, in waves of 1, 2, 4, ... shards; after a wave the
+    rows of each class are counted, and the scan stops once every class has enough (or `most_rows` were read). The sample is drawn from all
+    shards of these waves by the key's draw, so it depends on names, seed and quota alone. A class with too few rows has all
+    that there are; rows with a null label are of no class.
+    """
+    import hashlib
+
+    order = sorted(shards, key=lambda n: hashlib.md5(f"{seed}|{n}".encode()).hexdigest())
+    have, scanned, taken, wave = dict.fromkeys(classes, 0), 0, 0, 1
+    while taken < len(order) and min(have.values()) < per_class and (most_rows is None or scanned < most_rows):
+        some = order[taken : taken + wave]
+        for r in read([shards[n] for n in some]).groupBy(label).count().collect():  # a row a class
+            scanned += r["count"]
+            if r[label] in have:
+                have[r[label]] += r["count"]
+        taken, wave = taken + len(some), wave * 2
+    rows = read([shards[n] for n in order[:taken]]).filter(F.col(label).isin(classes))
+    return sampling.balanced_sample(rows, label, key, per_class, seed), {"shards": len(order), "read": taken, "rows": scanned}
+
+
 # --- problems and pools ----------------------------------------------------------------------
 
 # Prompts of the tasks.
@@ -145,6 +177,51 @@ def pool_rows(df: DataFrame, source: str, task: Column, answer: Column, subtask:
     )
 
 
+def _placed(df: DataFrame, source: str, subtask: str) -> DataFrame:
+    """pid becomes subtask/pid; in the pool it stands behind the source."""
+    return df.withColumn("pid", F.concat_ws("/", F.col(subtask), F.col("pid").cast("string")))
+
+
+def bbh_pool(df: DataFrame) -> DataFrame:
+    """Pid, subtask, input, target: an answer in words."""
+    return pool_rows(_placed(df, "bbh", "subtask"), "bbh", F.col("input"), F.col("target").cast("string"), F.col("subtask"))
+
+
+def gpqa_pool(df: DataFrame, right: str = "right", wrong: tuple[str, ...] = ("wrong1", "wrong2", "wrong3")) -> DataFrame:
+    """Pid, subtask, question, the right answer and three wrong ones: shown in an order that subtask and pid decide, the gold
+    is the right one's letter."""
+    tidy = [F.btrim(F.col(c).cast("string")) for c in (right, *wrong)]
+    shown = sampling.shuffled_options(F.array(*tidy), F.col("subtask"), F.col("pid"))
+    rows = df.withColumn("_o", shown).withColumn("_a", F.char(F.array_position("_o", tidy[0]).cast("int") + 64))
+    return pool_rows(_placed(rows, "gpqa", "subtask"), "gpqa", _with_choices(F.btrim("question"), F.col("_o")), F.col("_a"), F.col("subtask"), options=F.col("_o"))
+
+
+def math_hard_pool(df: DataFrame) -> DataFrame:
+    """Pid, subtask, problem, solution: the gold is the solution's last box; without one a row goes."""
+    rows = df.withColumn("_a", grading.extract_boxed(F.col("solution"))).filter("_a IS NOT NULL")
+    return pool_rows(_placed(rows, "math_hard", "subtask"), "math_hard", F.col("problem"), F.col("_a"), F.col("subtask"))
+
+
+def mmlu_pro_pool(df: DataFrame) -> DataFrame:
+    """Pid, category ("mixed" if null), question, options, answer (a letter)."""
+    return pool_rows(df, "mmlu_pro", _with_choices(F.col("question"), F.col("options")), F.btrim(F.col("answer").cast("string")), F.coalesce("category", F.lit("mixed")), options=F.col("options"))
+
+
+def musr_pool(df: DataFrame) -> DataFrame:
+    """Pid, subtask, narrative, question, choices, answer_index (from 0)."""
+    task = F.concat(F.col("narrative"), F.lit("\n\n"), F.col("question"), F.lit("\n"), text.choices(F.col("choices")))
+    return pool_rows(_placed(df, "musr", "subtask"), "musr", task, F.char(F.col("answer_index").cast("int") + 65), F.col("subtask"), options=F.col("choices"))
+
+
+def ifeval_pool(df: DataFrame) -> DataFrame:
+    """Pid, prompt: in the pool, but nothing to grade by."""
+    return pool_rows(df, "ifeval", F.col("prompt"), F.lit(""), F.lit("instruction_following"), gradable=False)
+
+
+def _with_choices(question: Column, options: Column) -> Column:
+    return F.concat(question, F.lit("\n\n"), text.choices(options))
+
+
 def pool(parts: list[DataFrame]) -> DataFrame:
     """U1"""
     out = parts[0]

@@ -55,8 +55,33 @@ def append_new(df: DataFrame, path: str, key: list[str], schema) -> None:
     (df if done is None else corpus.not_done(df, done, key)).write.mode("append").parquet(path)
 
 
+def open_chunks(plan: DataFrame, path: str, chunk: str = "chunk") -> DataFrame:
+    """T-5: the plan's rows of chunks that have no file yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        whole = plan.sparkSession.read.schema(f"{chunk} long").parquet(path).select(chunk).distinct()
+        whole.schema
+    except AnalysisException:
+        return plan
+    return plan.join(whole, chunk, "left_anti")
+
+
+def write_chunks(plan: DataFrame, path: str, work: Callable[[DataFrame], DataFrame], chunk: str = "chunk", tasks: int | None = None) -> None:
+    """K7, T-5: works all open chunks off in one job, a folder for each.
+
+    A chunk is one task's (which may have several), before the work and so in its file, and a task's files are moved to their place
+    when it ends (Hadoop's committer of version 2), not when the job does: a chunk is whole if it has a file. After a run that
+    broke off, the chunks of the tasks that had ended are there, and the next run works off the rest. work() maps rows (a shuffle in
+    it would part a chunk). A chunk that yields no row has no file, and is worked off again by each run.
+    """
+    width = tasks or int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = work(open_chunks(plan, path, chunk).repartition(width, chunk))
+    made.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(chunk).parquet(path)
+
+
 def commit_chunks(plan: DataFrame, path: str, work: Callable[[DataFrame], DataFrame], chunk: str = "chunk") -> list[int]:
-    """K7, T-5: works a plan's chunks off one after the other, each into a folder of its own that counts once its
+    """K7, T-5 for work that must see one chunk alone (write_chunks has one job for all): works a plan's chunks off one after the other, each into a folder of its own that counts once its
     _SUCCESS is there; a run that broke off goes on with what isn't whole. The plan stays the same over restarts. Returns
     the chunks of this run; only their numbers reach the driver."""
     spark = plan.sparkSession
