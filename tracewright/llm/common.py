@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _OWN_DIR: list[str] = []
 _MADE: list[str] = []
+#: The folders of the run that is under way, if one is (each thread has its own).
+_RUN: ContextVar[list[str] | None] = ContextVar("run", default=None)
 #: Staged tables (kept, so that an id stays theirs) and their folders.
 _PATHS: dict[int, tuple[DataFrame, str]] = {}
 
@@ -32,8 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call has."""
-    _MADE.append(f"{shared_dir(spark)}/tracewright-{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    path = f"{shared_dir(spark)}/tracewright-{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    if _RUN.get() is not None:
+        _RUN.get().append(path)
+    return path
+
+
+@contextmanager
+def run_folders():
+    """The list of the folders that are made in this thread until the end of the block, by this run alone; runs may be nested."""
+    own: list[str] = []
+    outer = _RUN.set(own)
+    try:
+        yield own
+    finally:
+        _RUN.reset(outer)
+        if _RUN.get() is not None:
+            _RUN.get().extend(own)
 
 
 def made() -> list[str]:
@@ -45,9 +65,10 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> int:
     """Delete the folders that this driver made in the shared one (or these of them). For the end of a job, or of a
     part of it whose result is written: results that still read them are lost."""
     gone = 0
-    for path in made() if paths is None else paths:
-        _MADE.remove(path)
-        gone += _delete(spark, path)
+    for path in made() if paths is None else list(paths):
+        if path in _MADE:  # what a step has unstaged itself is gone already
+            _MADE.remove(path)
+            gone += _delete(spark, path)
     for key, (_, path) in list(_PATHS.items()):
         if path not in _MADE:
             del _PATHS[key]

@@ -14,7 +14,7 @@ of items, their average and greatest length, the words' document frequencies) is
 the passes find what one index would.
 
 Cases. Null and empty texts and items match nothing, and so do items of fewer than five words, which are no
-evidence; items with a null id are ignored; equal items
+evidence (unsearchable() names them); items with a null id are ignored; equal items
 are found each by its id; repeated rows of documents are found each; empty tables give no rows;
 other columns are ignored (or passed through where rows are annotated).
 """
@@ -283,6 +283,13 @@ def annotate(documents: DataFrame, benchmark: DataFrame, name: str, threshold: f
     return found
 
 
+def unsearchable(benchmark: DataFrame) -> DataFrame:
+    """item_id, text and words of the items that annotate() can't find: those with an id and a text of fewer than SHINGLE words."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL")
+    counted = with_columns(items, "text", lambda: (lambda texts: [[len(words(t)) for t in texts]]), ["words"], [LongType()])
+    return counted.filter(F.col("words") < SHINGLE)
+
+
 def _profiled(texts: list[str | None]) -> list[list]:
     """How many words each text has, and which."""
     split = [words(t) for t in texts]

@@ -20,7 +20,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     """doc_id, text and y of at most per_class[y] labelled training documents of each class, and how many of each
     class there are in all.
 
-    Which ones depends on a hash of the id alone; labels that contradict each other count as 1.
+    Which ones depends on a hash of the id alone; labels that contradict each other count as 1. An id counts once: of rows that
+    repeat it, the one with the least checksum of its text is taken.
     """
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -34,8 +35,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
         chosen = some if chosen is None else chosen.unionByName(some)
     # broadcast: sum(per_class) rows at most
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    every = texts.select("doc_id").join(known, "doc_id").groupBy("y").count().collect()
-    return stage(texts.join(F.broadcast(chosen), "doc_id"), name), {r["y"]: r["count"] for r in every}
+    every = known.join(texts.select("doc_id"), "doc_id", "left_semi").groupBy("y").count().collect()
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    return stage(one.select("doc_id", "text", "y"), name), {r["y"]: r["count"] for r in every}
 
 
 def row_weights(y: np.ndarray, every: dict[int, int]) -> np.ndarray:

@@ -5,7 +5,7 @@ exceeds that are clamped there and the excess goes to the others by weight, unti
 A source then takes whole repetitions of all its documents, and for the fraction left the first
 documents in a seeded order until their words reach it.
 
-Cases. A null text has size 0; a null source is a source of its own, the last; null ids sort
+Cases. A source at its cap takes no fraction, so no row, be it without words, is taken more than `max_epochs` times; a null text has size 0; a null source is a source of its own, the last; null ids sort
 first; repeated rows are documents of their own; an empty table or one without words gives
 targets of 0; other columns pass through.
 """
@@ -78,7 +78,7 @@ def mix(documents: DataFrame, size, weights=WEIGHTS, max_epochs: int = MAX_EPOCH
         .withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
         .withColumn(
             "copies",
-            F.col("_whole") + F.when(F.col("before") + F.col("size") / F.lit(2.0) <= F.col("_rest"), 1).otherwise(0),
+            F.col("_whole") + F.when((F.col("_whole") < max_epochs) & (F.col("before") + F.col("size") / F.lit(2.0) <= F.col("_rest")), 1).otherwise(0),
         )
         .select("doc_id", "source_key", "size", "source_size", "target", "copies", *ties)
     )

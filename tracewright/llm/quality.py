@@ -17,15 +17,17 @@ from __future__ import annotations
 from operator import eq
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
 from .batches import with_columns
 from .learning import fit_logistic, held_out, labelled_sample, logistic, row_weights
 
-#: Labelled documents that are learned from, at most; all their lines are.
+#: Labelled documents that are learned from, at most; all their lines are. Documents of more than LINES // 50 lines are not, and
+#: of the others no more than LINES lines in all, in the order of the ids' hashes.
 SAMPLE = {0: 1000, 1: 1500}
+LINES = 400_000
 #: Lines of a chain in training. A longer document is cut into several chains: all lines keep their labels and their
 #: true neighbours' features, and the transition at a cut alone is not counted.
 WINDOW = 512
@@ -170,9 +172,17 @@ def windows(counts: np.ndarray, most: int = WINDOW) -> np.ndarray:
     return np.concatenate([np.r_[np.full((n - 1) // most, most), (n - 1) % most + 1] for n in counts]).astype(np.int64)
 
 
+def within_lines(sample: DataFrame, lines: int = LINES) -> DataFrame:
+    """The sample's documents (a bounded number) whose lines are within the bound, each class on its own half of it."""
+    counted = sample.withColumn("_n", F.regexp_count("text", F.lit("\n")) + 1).filter(F.col("_n") <= lines // 50)
+    order = Window.partitionBy("y").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumn("_n", F.sum("_n").over(order)).filter(F.col("_n") <= lines // 2).drop("_n")
+
+
 def learn(documents: DataFrame, labels: DataFrame) -> Field:
-    """A field from a bounded sample: line features come to the driver, never texts."""
+    """A field from a bounded sample: line features (of a bounded number of lines) come to the driver, never texts."""
     sample, totals = labelled_sample(documents, labels, "quality", SAMPLE, "quality-sample")
+    sample = within_lines(sample)
 
     def make():
         def work(texts):
@@ -209,8 +219,8 @@ def learn(documents: DataFrame, labels: DataFrame) -> Field:
 
 
 def scored(documents: DataFrame, field: Field, name: str = "score") -> DataFrame:
-    """documents with the column `name`: how likely each is of good quality."""
-    return with_columns(documents, "text", lambda: (lambda texts: [field.score(texts)]), [name], [DoubleType()])
+    """documents with the column `name` (in place of one of that name): how likely each is of good quality."""
+    return with_columns(documents.drop(name), "text", lambda: (lambda texts: [field.score(texts)]), [name], [DoubleType()])
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

@@ -277,14 +277,14 @@ def _measured(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def scored(documents: DataFrame, lexicon: Lexicon, name: str = "score") -> DataFrame:
-    """documents with the column `name`: how likely each is toxic."""
+    """documents with the column `name` (in place of one of that name): how likely each is toxic."""
     curve = np.array(lexicon.curve)
 
     def make():
         automaton = lexicon.automaton()
         return lambda texts: [logistic(np.array([measures(automaton, t) for t in texts]).reshape(-1, 3), curve)]
 
-    return with_columns(documents, "text", make, [name], [DoubleType()])
+    return with_columns(documents.drop(name), "text", make, [name], [DoubleType()])
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
