@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import decontamination, mixing, quality, simhash, token_records
 from tracewright.llm.batches import free_name
-from tracewright.llm.common import made, release, stage, words_of
+from tracewright.llm.common import release, run_folders, stage, words_of
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    earlier = set(made())
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with run_folders() as own:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
         # the stage is written: what it staged, and what it read, have served
-        release(spark, [p for p in made() if p not in earlier][:-1])
+        release(spark, before + own[:-1])
+        before = own[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
