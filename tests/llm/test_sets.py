@@ -265,9 +265,72 @@ def test_a_large_group_makes_no_square(spark, monkeypatch):
     assert sum(made) <= 3 * len(rows)
 
 
+def test_only_nodes_and_trees_leave_the_tiles(spark):
+    """Of 300 texts that are all similar: rows with candidates as nodes and tile pairs, links as nodes, however many pairs there are."""
+    rng = random.Random(29)
+    base = [f"g{k}" for k in range(200)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(200)] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    texts = spark.createDataFrame(rows, "row long, text string")
+    nodes = simhash.sketches(texts).withColumnRenamed("row", "node")
+    met = simhash.with_candidates(nodes)
+    tiles = met.select("a", "b").distinct().count()
+    assert 300 <= met.count() <= 300 * 2 * tiles and met.select("node").distinct().count() == 300
+    sets = simhash.sets_of(texts, texts.select("row")).withColumnRenamed("row", "node")
+    links = simhash.verified_links(met.join(sets, "node"))
+    assert 299 <= links.count() <= met.count() and simhash.components(links).select("root").distinct().count() == 1
+    assert {r["class"] for r in simhash.copies(texts).collect()} == {0}
+
+
+def test_texts_that_are_close_and_not_similar_stay_apart(spark):
+    """A chain of texts, each near enough to the next, and a group whose fingerprints are close and whose sets are just below 0.8."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"q{rng.randrange(10**7)}" for _ in range(n)]
+    texts, w = [], fresh(300)
+    for k in range(12):
+        texts.append(" ".join(w))
+        w = w[8:] + fresh(8)
+    head = fresh(90)
+    texts += [" ".join(head + fresh(14)) for _ in range(30)]
+    want = similar_by_hand(texts)
+    got = {r["doc_id"] for r in simhash.one_of_each(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert got == want and 0 in got and len(got & set(range(12))) == 1 and len(got) > 25
+
+
+def test_no_row_is_repeated_beyond_the_cap(spark):
+    rows = [(i, "" if i % 2 else "a", "en", "small") for i in range(10)] + [(100 + i, "w " * 500, "en", "z") for i in range(20)]
+    mixed = mixing.mix(documents(spark, rows), words_of(F.col("text")))
+    small = mixed.filter("source_key = '0small'").collect()
+    assert {r["copies"] for r in small} == {3} and all(r["target"] == 3 * r["source_size"] for r in small)
+
+
+def test_what_another_query_staged_stays(spark, tmp_path):
+    import corpus_pipeline
+    from tracewright.llm.common import run_folders, stage
+
+    with run_folders() as outer:
+        other = stage(spark.range(5), "other")
+        with run_folders() as own:
+            stage(spark.range(3), "inner")
+        assert len(own) == 1
+    assert outer[1:] == own
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(60).write.parquet(str(tmp_path / f"{name}.parquet"))
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert other.count() == 5
+
+
 # --- leaks ----------------------------------------------------------------------------------
 
 
+def test_items_too_short_to_be_found_are_named(spark):
+    items = spark.createDataFrame([(1, "the cat sat"), (2, "one two three four five"), (3, None), (None, "x")], "item_id long, text string")
+    assert sorted((r["item_id"], r["words"]) for r in decontamination.unsearchable(items).collect()) == [(1, 3), (3, 0)]
+
+
 def test_leaks_equal_brute_force(spark):
     got = {(r["doc_id"], r["item_id"]) for r in queries.queries()["op4_decontamination"](spark, SF).collect()}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

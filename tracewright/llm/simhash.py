@@ -14,11 +14,11 @@ comparisons do throughout.
 
 The pipeline's copies (one_of_each) are texts whose sets of five words have a Jaccard similarity of 0.8 or more.
 Candidates are found by the same comparison, over fingerprints of 256 bits within a radius that pairs at 0.8 hardly
-ever pass (unequal sets of fewer than four shingles can't be similar enough, and sizes must be), and verified on
-the whole sets (as 64-bit hashes). In some rounds every set is verified against two candidates it isn't linked with,
-the nearest and the least; then all candidates that these links leave apart, less those whose bitmaps prove them too
-different. So what is verified grows with
-the rows, but for groups of sets that are close and yet not similar enough: of these all pairs are verified.
+ever pass (unequal sets of fewer than four shingles can't be similar enough, and sizes must be). What leaves a pair of tiles
+are the nodes that have a candidate in it, not the pairs; the sets of these (as sorted 64-bit hashes) are sent to the pair of tiles, where candidates are found
+again and intersected exactly, as far as no link found before connects them; a spanning forest of the links leaves
+it. So rows grow with the nodes, however large a group of similar texts is. A tile of large sets holds fewer of
+them, so that a task holds TILE_SHINGLES a side at most (or one larger set).
 
 Cases. Null text is empty: fingerprint zero, linked like any other; rows with a null id belong to
 classes but never name them (a class without ids has a null name); repeated rows share their class;
@@ -28,7 +28,6 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -98,18 +97,20 @@ def fingerprints(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     return texts.mapInArrow(build, "doc_id long, print0 long")
 
 
-def tiles_for(counts: dict[tuple[int, int], int], radius: int, tiles: int = TILES) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]]]:
+def tiles_for(counts: dict[tuple[int, int], int], radius: int, tiles: int = TILES, most=None) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]]]:
     """(band, population count, first tile, tiles) of a plan, and the spans (tile, low, high) of tiles that each meets.
 
     counts: fingerprints by (band, population count). Tiles are numbered by band, then by population count, so those
     within reach of one (itself and later ones of its band, and some of the next band) are neighbours by number.
+    most: how many a tile of a band may hold, if less than that.
     """
-    size = min(TILE, max(1, -(-sum(counts.values()) // tiles)))
+    whole = min(TILE, max(1, -(-sum(counts.values()) // tiles)))
     plan: list[tuple[int, int, int, int]] = []
     bands: dict[int, tuple[int, list[int], list[int]]] = {}  # band: its first tile, the least and the greatest count of each
     number, room = -1, 0
     for band, bits in sorted(counts):
         n = counts[band, bits]
+        size = whole if most is None else max(1, min(whole, most(band)))
         if band not in bands:
             bands[band], room = (number + 1, [], []), 0
         _, low, top = bands[band]
@@ -211,47 +212,25 @@ def similar_sizes(n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (n[p] * OF >= n[q] * NEAR) & (n[q] * OF >= n[p] * NEAR)
 
 
-def guides(prints: np.ndarray, second: np.ndarray | None, radius: int, first_radius: int, n: np.ndarray, node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each index with candidates of other labels (near in size n): it, its nearest with the distance, and the one of the least node."""
-    best, where = np.full(len(n), 1 << 20, dtype=np.int64), np.full(len(n), -1, dtype=np.int64)
-    least = np.full(len(n), np.iinfo(np.int64).max)
-    for p, q, far in near_pairs(prints, second, radius, first_radius, lambda p, q: (label[p] != label[q]) & similar_sizes(n, p, q)):
-        one, two, far = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([far, far])
-        np.minimum.at(least, one, node[two])
-        order = np.lexsort((node[two], far, one))
-        one, two, far = one[order], two[order], far[order]
-        head = np.flatnonzero(np.r_[True, one[1:] != one[:-1]])
-        one, two, far = one[head], two[head], far[head]
-        less = far < best[one]
-        best[one[less]], where[one[less]] = far[less], two[less]
-    found = np.flatnonzero(where >= 0)
-    return found, where[found], best[found], least[found]
-
-
-def unlinked(prints: np.ndarray, second: np.ndarray | None, radius: int, first_radius: int, n: np.ndarray, label: np.ndarray, maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within the radius with different labels that sizes and bitmaps don't prove too different."""
-    found = [(np.zeros(0, dtype=np.int64),) * 2]
-    for p, q, _ in near_pairs(prints, second, radius, first_radius, lambda p, q: (label[p] != label[q]) & similar_sizes(n, p, q)):
-        both = n[p] + n[q]
-        apart = np.bitwise_count(maps[p] ^ maps[q]).sum(axis=1, dtype=np.int64)
-        fits = apart * (NEAR + OF) <= both * (OF - NEAR)
-        found.append((p[fits], q[fits]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
 def tiled(prints: DataFrame, radius: int, work, ddl: str, carried: tuple[str, ...] = (), tiles: int = TILES, banded: bool = False) -> DataFrame:
     """What work() makes of every pair of tiles that may hold fingerprints within the radius by their first words.
 
     prints: distinct fingerprints print0, ..., a number `node`, and what is carried; banded: only those whose sizes n
-    may make a similarity of NEAR / OF meet. work(cells, second, node, carried) gets the fingerprints of one tile and
-    of the other (None: one tile with itself) and arrays of both.
+    may make a similarity of NEAR / OF meet. work(cells, second, columns, key) gets the fingerprints of one tile and
+    of the other (None: one tile with itself), arrays of both and the tiles' numbers.
     """
+    return at_tile_pairs(by_tile_pair(prints, radius, carried, tiles, banded), carried, work, ddl)
+
+
+def by_tile_pair(prints: DataFrame, radius: int, carried: tuple[str, ...] = (), tiles: int = TILES, banded: bool = False) -> DataFrame:
+    """The fingerprints at every pair of tiles (a, b) that theirs is in: side 0 as a, side 1 as b."""
     spark = prints.sparkSession
     words = [c for c in prints.columns if c.startswith("print")]
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(OF / NEAR))).cast("int") if banded else F.lit(0)
     prints = prints.withColumn("band", band).withColumn("bits", F.bit_count("print0"))
     counted = prints.groupBy("band", "bits").count().collect()  # 65 rows a band at most, and 4 bands as a size doubles
-    plan, spans = tiles_for({(r["band"], r["bits"]): r["count"] for r in counted}, radius, tiles)
+    most = (lambda k: int(TILE_SHINGLES / (OF / NEAR) ** (k + 1))) if banded else None
+    plan, spans = tiles_for({(r["band"], r["bits"]): r["count"] for r in counted}, radius, tiles, most)
     table = spark.createDataFrame(plan or [(0, 0, 0, 1)], "band int, bits int, first int, cut int")
     reach = spark.createDataFrame(spans or [(0, 0, 0)], "tile int, low int, high int")
     dealt = prints.join(F.broadcast(table), ["band", "bits"]).withColumn("tile", F.col("first") + F.pmod(F.xxhash64(*words), F.col("cut")).cast("int"))
@@ -262,6 +241,13 @@ def tiled(prints: DataFrame, radius: int, work, ddl: str, carried: tuple[str, ..
     met = F.filter("spans", lambda s: (s["tile"] != F.col("tile")) & (s["low"] <= F.col("tile")) & (s["high"] >= F.col("tile")))["tile"]
     tails = dealt.crossJoin(F.broadcast(every)).select(F.explode(met).alias("a"), F.col("tile").alias("b"), *own, F.lit(1).alias("side"))
 
+    return heads.unionByName(tails)
+
+
+def at_tile_pairs(paired: DataFrame, carried: tuple[str, ...], work, ddl: str) -> DataFrame:
+    """What work() makes of each pair of tiles."""
+    words = [c for c in paired.columns if c.startswith("print")]
+
     def match(key, group):
         side = group["side"].to_numpy()
         order = np.concatenate([np.flatnonzero(side == 0), np.flatnonzero(side == 1)])
@@ -269,16 +255,16 @@ def tiled(prints: DataFrame, radius: int, work, ddl: str, carried: tuple[str, ..
         cells = np.ascontiguousarray(group[words].to_numpy()[order]).view(np.uint64)
         n, alone = int((side == 0).sum()), key[0] == key[1]
         if not n or not (alone or n < len(cells)):
-            return work(cells[:0], None, {c: v[:0] for c, v in columns.items()})
-        return work(cells[:n], None if alone else cells[n:], columns)
+            return work(cells[:0], None, {c: v[:0] for c, v in columns.items()}, key)
+        return work(cells[:n], None if alone else cells[n:], columns, key)
 
-    return heads.unionByName(tails).groupBy("a", "b").applyInPandas(match, ddl)
+    return paired.groupBy("a", "b").applyInPandas(match, ddl)
 
 
 def links(prints: DataFrame, radius: int = RADIUS, tiles: int = TILES) -> DataFrame:
     """Pairs of nodes (a, b) within the radius whose components are those of all such pairs. prints: distinct, with a number `node`."""
 
-    def work(cells, second, columns):
+    def work(cells, second, columns, key):
         found, node = compare(cells, second, radius, radius), columns["node"]
         return pd.DataFrame({"a": node[[i for i, _ in found]], "b": node[[j for _, j in found]]}, dtype="int64")
 
@@ -330,11 +316,13 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, radius: int = RAD
 COPY, NEAR, OF = 5, 4, 5
 #: Sets with fewer shingles are similar enough to equal ones alone.
 LEAST = NEAR
-#: Words of 64 bits in a fingerprint and in a set's bitmap. At a similarity of 0.8 fingerprints differ in some 39 of 256
+#: Words of 64 bits in a fingerprint. At a similarity of 0.8 fingerprints differ in some 39 of 256
 #: bits (standard deviation 6), in 48 at worst (four shingles of five); the first words in 10 to 12 of 64.
-PARTS, BITMAP = 4, 16
+PARTS = 4
 WIDE, WIDE_FIRST = 72, 22
 SLOTS = 1 << 24
+#: Shingles of the sets of a tile; members of sets that are looked up at once.
+TILE_SHINGLES, GATHER = 2_500_000, 2_000_000
 #: Tasks over which rows with one fingerprint are dealt.
 SALTS = 8
 
@@ -345,20 +333,14 @@ def shingle_set(text: str | None, size: int = COPY) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, size: int = COPY) -> DataFrame:
-    """For each row its set's 128-bit checksum (sum0, sum1), its size n, its fingerprint and a bitmap (bits0, ...).
-
-    A bitmap's bit is the parity of the shingles that fall on it, so bitmaps differ in no more bits than their
-    sets in shingles.
-    """
-    names = ["sum0", "sum1", "n", *[f"print{k}" for k in range(PARTS)], *[f"bits{k}" for k in range(BITMAP)]]
+    """For each row its set's 128-bit checksum (sum0, sum1), its size n and its fingerprint."""
+    names = ["sum0", "sum1", "n", *[f"print{k}" for k in range(PARTS)]]
     schema = pa.schema([("row", pa.int64()), *[(c, pa.int64()) for c in names]])
 
     def sketch(text):
         found = shingle_set(text, size)
-        parity = (np.bincount((found % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)
         digest = xxhash.xxh3_128_intdigest(found.tobytes())
-        words = np.array([digest >> 64, digest & (1 << 64) - 1, len(found), *majority(found, PARTS)], dtype=np.uint64)
-        return np.concatenate([words.view(np.int64), np.packbits(parity).view(np.int64)])
+        return np.array([digest >> 64, digest & (1 << 64) - 1, len(found), *majority(found, PARTS)], dtype=np.uint64).view(np.int64)
 
     def build(batches):
         for batch in batches:
@@ -368,31 +350,70 @@ def sketches(rows: DataFrame, size: int = COPY) -> DataFrame:
     return rows.select("row", "text").mapInArrow(build, "row long, " + ", ".join(f"{c} long" for c in names))
 
 
-def guides_of(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b: each node with the nearest of its candidates with other labels, and with the least of them."""
-
-    def work(cells, second, columns):
-        one, two, far, least = guides(cells, second, WIDE, WIDE_FIRST, columns["n"], columns["node"], columns["label"])
-        return pd.DataFrame({"x": columns["node"][one], "y": columns["node"][two], "far": far, "least": least}, dtype="int64")
-
-    narrow = nodes.select("node", "n", "label", *[f"print{k}" for k in range(PARTS)])
-    found = tiled(narrow, WIDE_FIRST, work, "x long, y long, far long, least long", ("n", "label"), banded=True)
-    best = found.groupBy("x").agg(F.min_by("y", F.struct("far", "y")).alias("y"), F.min("least").alias("least"))
-    ends = best.select("x", F.explode(F.array("y", "least")).alias("y"))
-    return ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def unlinked_of(nodes: DataFrame) -> DataFrame:
-    """All pairs (a, b), a < b, of candidates with different labels. nodes: node, n, label, fingerprint and bitmap."""
-    bits = tuple(f"bits{k}" for k in range(BITMAP))
-
-    def work(cells, second, columns):
-        maps = np.stack([columns[c] for c in bits], axis=1).view(np.uint64)
-        p, q = unlinked(cells, second, WIDE, WIDE_FIRST, columns["n"], columns["label"], maps)
-        x, y = columns["node"][p], columns["node"][q]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}, dtype="int64")
-
-    return tiled(nodes, WIDE_FIRST, work, "a long, b long", ("n", "label", *bits), banded=True)
+def with_candidates(nodes: DataFrame) -> DataFrame:
+    """Of the nodes at every pair of tiles those that have a candidate there, with their fingerprints."""
+    words = [f"print{k}" for k in range(PARTS)]
+
+    def work(cells, second, columns, key):
+        marked = np.zeros(len(columns["node"]), dtype=bool)
+        for p, q, _ in near_pairs(cells, second, WIDE, WIDE_FIRST, lambda p, q: similar_sizes(columns["n"], p, q)):
+            marked[p] = marked[q] = True
+        every = cells if second is None else np.concatenate([cells, second])
+        prints = every.view(np.int64)[marked]
+        side = (np.arange(len(every)) >= len(cells))[marked].astype(np.int32)
+        out = {"a": key[0], "b": key[1], "side": side, "node": columns["node"][marked], "n": columns["n"][marked]}
+        return pd.DataFrame(out | {c: prints[:, k] for k, c in enumerate(words)})
+
+    narrow = nodes.select("node", "n", *words)
+    return tiled(narrow, WIDE_FIRST, work, "a int, b int, side int, node long, n long, " + ", ".join(f"{c} long" for c in words), ("n",), banded=True)
+
+
+class Overlaps:
+    """Sizes of the intersections of one set with others, from the ranks of all their members."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(x) for x in sets], dtype=np.int64)
+        self.starts = np.cumsum(self.n) - self.n
+        distinct, ranks = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), return_inverse=True)
+        self.ranks, self.mark = ranks.astype(np.int32), np.zeros(len(distinct), dtype=np.uint8)
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that are similar enough to set i; GATHER members are looked up at once."""
+        own = self.ranks[self.starts[i] : self.starts[i] + self.n[i]]
+        self.mark[own] = 1
+        found, room = [], np.cumsum(self.n[others])
+        cuts = np.unique(np.r_[0, np.searchsorted(room, np.arange(GATHER, room[-1] + GATHER, GATHER), side="right"), len(others)])
+        for c, d in zip(cuts[:-1], cuts[1:], strict=True):
+            some = others[c:d]
+            ends = np.cumsum(self.n[some])
+            at = np.repeat(self.starts[some] - ends + self.n[some], self.n[some]) + np.arange(ends[-1])
+            both = np.add.reduceat(self.mark[self.ranks[at]], ends - self.n[some], dtype=np.int64)
+            found.append(some[both * OF >= (self.n[i] + self.n[some] - both) * NEAR])
+        self.mark[own] = 0
+        return np.concatenate(found)
+
+
+def verified_links(met: DataFrame) -> DataFrame:
+    """Links (a, b) that span what the candidates at each pair of tiles connect whose sets (held) are similar enough."""
+
+    def work(cells, second, columns, key):
+        node, out = columns["node"], []
+        sets = Overlaps([np.frombuffer(x, dtype=np.uint64) for x in columns["held"]])
+        labels = np.arange(len(node))
+        apart = lambda p, q: (labels[p] != labels[q]) & similar_sizes(columns["n"], p, q)
+        for p, q, _ in near_pairs(cells, second, WIDE, WIDE_FIRST, apart):
+            order = np.argsort(p, kind="stable")
+            p, q = p[order], q[order]
+            heads = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+            for a, b in zip(heads, np.append(heads[1:], len(p)), strict=True):
+                i, others = int(p[a]), q[a:b]
+                others = others[labels[others] != labels[i]]  # links of this block may connect them by now
+                if len(others):
+                    near = sets.similar(i, others)
+                    out += forest(labels, np.full(len(near), i), near)
+        return pd.DataFrame({"a": node[[i for i, _ in out]], "b": node[[j for _, j in out]]}, dtype="int64")
+
+    return at_tile_pairs(met, ("n", "held"), work, "a long, b long")
 
 
 def named_rows(rows: DataFrame, named: DataFrame) -> DataFrame:
@@ -415,7 +436,7 @@ def sets_of(rows: DataFrame, used: DataFrame, size: int = COPY) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b) whose sets are similar enough, for pairs that a caller names (each brings both its sets along)."""
 
     def check(batches):
         for batch in batches:
@@ -433,11 +454,6 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stage(both.select("a", "b", "p", "q").mapInArrow(check, "a long, b long"), "copy-pairs")
 
 
-#: Rounds, at most, in which every node is verified against two candidates, before all that is left apart is. A round
-#: that links nothing is the last.
-ROUNDS = 4
-
-
 def copies(rows: DataFrame, size: int = COPY) -> DataFrame:
     """row and class, the same for rows that verified pairs connect; in the shared folder.
 
@@ -445,27 +461,15 @@ def copies(rows: DataFrame, size: int = COPY) -> DataFrame:
     """
     found = stage(sketches(rows, size), "copy-sketches")
     equal = stage(found.groupBy("sum0", "sum1").agg(F.min("row").alias("node")), "copy-nodes")
-    every = found.filter(F.col("n") >= LEAST).drop("sum0", "sum1").join(equal.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    nodes = every.withColumn("label", F.col("node"))
-    verified, used, sets, roots = [], None, None, None
-    k, last = 0, False
-    while not last:
-        last = k == ROUNDS or k > 0 and verified[-1].isEmpty()
-        pairs = stage(unlinked_of(nodes) if last else guides_of(nodes), "copy-candidates")
-        k += 1
-        if used is None:  # a node without a candidate needs no second look
-            used = stage(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "copy-used")
-            sets = sets_of(rows, used, size)
-        verified.append(similar(pairs, sets))
-        unstage(pairs)
-        if roots is None or not verified[-1].isEmpty():
-            older, roots = roots, components(reduce(DataFrame.unionByName, verified), "copy-links")
-            if older is not None:
-                unstage(older)
-        nodes = every.join(used.withColumnRenamed("row", "node"), "node").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    nodes = found.filter(F.col("n") >= LEAST).drop("sum0", "sum1").join(equal.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    met = stage(with_candidates(nodes), "copy-candidates")
+    sets = sets_of(rows, met.select(F.col("node").alias("row")).distinct(), size)
+    links = stage(verified_links(met.join(sets.withColumnRenamed("row", "node"), "node")), "copy-links")
+    unstage(met, sets)
+    roots = components(links, "copy-roots")
     classes = equal.join(roots, "node", "left").select("sum0", "sum1", F.coalesce("root", "node").alias("class"))
     done = stage(found.select("row", "sum0", "sum1").join(classes, ["sum0", "sum1"]).select("row", "class"), "copy-classes")
-    unstage(found, equal, used, sets, roots, *verified)
+    unstage(found, equal, links, roots)
     return done
 
 
