@@ -313,3 +313,36 @@ def test_caps_keep_the_odds_of_good_documents(spark, monkeypatch):
     docs, labels = labelled_by_chance(spark, "quality", 300, 60)
     scores = [r["score"] for r in quality.scored(docs, quality.learn(docs, labels)).collect()]
     assert scores == pytest.approx([training_share(spark, labels, "quality")] * 360, abs=0.01)
+
+
+# --- bounds of learning ---------------------------------------------------------------------
+
+
+def test_an_id_counts_once_in_a_sample(spark):
+    from tracewright.llm.learning import labelled_sample
+
+    docs = spark.createDataFrame([(0, f"text {k}") for k in range(500)] + [(i, "b") for i in range(1, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)] + [(0, 0), (77, 1)], "doc_id long, y int")
+    sample, totals = labelled_sample(docs, labels, "y", {0: 100, 1: 100}, "once")
+    rows = sample.collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) == sum(totals.values()) <= 9
+    again, _ = labelled_sample(docs.repartition(5), labels, "y", {0: 100, 1: 100}, "once")
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again.collect()))
+
+
+def test_lines_that_are_learned_from_are_bounded(spark):
+    from tracewright.llm import quality
+
+    rows = [(i, i % 2, "x\n" * (k - 1) + "x") for i, k in enumerate([1, 2, 3, 500, 4, 5, 1, 1, 2000])]
+    kept = quality.within_lines(spark.createDataFrame(rows, "doc_id long, y int, text string"), lines=100).collect()
+    assert {r["doc_id"] for r in kept} <= {0, 1, 2, 6, 7} and kept
+    few = quality.within_lines(spark.createDataFrame([(i, 1, "x\nx") for i in range(60)], "doc_id long, y int, text string"), lines=100).collect()
+    assert len(few) == 25
+
+
+def test_scores_replace_a_column_of_their_name(spark):
+    from tracewright.llm import quality, toxicity
+
+    docs = spark.createDataFrame([(1, "a b", "old"), (2, None, "old")], "doc_id long, text string, score string")
+    for df in (toxicity.scored(docs, toxicity.Lexicon({}, [], [0.0, 0.0, 0.0, 0.0])), quality.scored(docs, quality.learn(docs, spark.createDataFrame([], "doc_id long, quality int")))):
+        assert df.columns.count("score") == 1 and all(0 <= r["score"] <= 1 for r in df.collect())

@@ -450,3 +450,68 @@ def test_release(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
     common.stage(spark.range(5), "x")
     assert len(list(tmp_path.iterdir())) == 1 and common.release(spark) == 1 and not list(tmp_path.iterdir())
+
+
+def pipeline_by_hand(spark, rows, labels, items):
+    """(doc_id, ids' checksum) of every record, a stage at a time on plain lists; rows: (doc_id, text, source)."""
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    from tracewright.llm import quality, token_records
+
+    docs = documents(spark, [(i, t, "en", s) for i, t, s in rows])
+    field = quality.learn(docs, labels)
+    rows = [r for r in rows if field.score([r[1]])[0] >= quality.THRESHOLD]
+    # of each group of near copies the least id, a null one last
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    rows = [rows[order[k]] for k in sorted(similar_by_hand([rows[k][1] or "" for k in order]))]
+    leaked = lambda t: any(len(decontamination.words(x)) >= 5 and all(decontamination.contained(p, decontamination.words(t)) >= 0.8 for p in decontamination.question_answer(x)) for x in items)
+    rows = [r for r in rows if not leaked(r[1])]
+    size = lambda t: len((t or "").encode().split())
+    sources = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    targets = water_fill([sum(size(t) for _, t, s in rows if s == name) for name in sources])
+    plain, out = Tokenizer.from_file(token_records.default_tokenizer()), []
+    for name, target in zip(sources, targets, strict=True):
+        own = [r for r in rows if r[2] == name]
+        own.sort(key=lambda r: (hashlib.md5(f"mix-17|{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] is not None, r[0] or 0, size(r[1])))
+        whole = sum(size(t) for _, t, _ in own)
+        times, before = int(target // whole) if whole else 0, 0
+        for i, t, _ in own:
+            copies = times + (times < 3 and before + size(t) / 2 <= target - times * whole)
+            before += size(t)
+            ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
+            out += [(str(i), zlib.crc32(ids.tobytes()))] * copies
+    return sorted(out)
+
+
+def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
+    """Hand-made rows beside real ones: nulls, repeats, exact and near copies, a leak, a very long text, columns of clashing names."""
+    import corpus_pipeline
+
+    real = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(70).collect()
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    longest = max(real, key=lambda r: len(r["text"]))["text"]
+    base = next(r["text"] for r in real if 400 < len(r["text"]) < 2000)
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in real]
+    rows += [(None, None, None), (900, None, "src1"), (901, "", "src1"), (901, "", "src1"), (902, base, "src2"), (None, base, "src2"), (903, base + " tail", None)]
+    rows += [(904, base[:200] + " " + items[0] + " " + base[200:], "src3"), (905, " ".join(w[::-1] for w in longest.split()[:3000]), "src4"), (906, longest * 40, "src5")]
+    docs = documents(spark, [(i, t, "en", s) for i, t, s in rows])
+    names = {"leaks": "x", "quality": 2, "row": 5, "_spot": 1, "copies": "y"}
+    docs.withColumns({k: F.lit(v) for k, v in names.items()}).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["ids_crc32"]) for r in got) == pipeline_by_hand(spark, rows, labels, items)
+    assert sorted(r["start"] for r in got)[0] == 0 and len(got) > 20
+    assert not {"904", "None"} <= {str(r["doc_id"]) for r in got}
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"{SF}/{name}.parquet")
+        (rows.limit(0) if name == "documents" else rows).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
