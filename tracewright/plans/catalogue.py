@@ -124,19 +124,21 @@ def paired_bootstrap(spark, d):
     return resample.paired_bootstrap(units.filter("condition = 'signup'"), units.filter("condition = 'view'"), "pid", "m", reps=200, seed=5)
 
 
-@query(
-    f"""WITH {TRACES}, p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, correct AS f, CAST(words AS DOUBLE) AS v FROM t),
+def mediation_sql(reps: int) -> str:
+    return f"""WITH {TRACES}, p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, correct AS f, CAST(words AS DOUBLE) AS v FROM t),
     s AS (SELECT b, CAST('0x' || substr(md5('11|' || b || '|' || i), 1, 8) AS BIGINT) % n AS pos
-      FROM (SELECT unnest(range(100)) AS b), (SELECT count(*) AS n FROM p), range((SELECT count(*) FROM p)) r(i) WHERE n >= 30),
+      FROM (SELECT unnest(range({reps})) AS b), (SELECT count(*) AS n FROM p), range((SELECT count(*) FROM p)) r(i) WHERE n >= 30),
     g AS (SELECT b, avg(v) FILTER (f) - avg(v) FILTER (NOT f) AS mean FROM s JOIN p USING (pos) GROUP BY b)
     SELECT (SELECT CASE WHEN count(*) >= 30 THEN avg(v) FILTER (f) - avg(v) FILTER (NOT f) END FROM p) AS difference, (SELECT quantile_cont(mean, 0.025) FROM g WHERE mean IS NOT NULL) AS ci95_low,
       (SELECT quantile_cont(mean, 0.975) FROM g WHERE mean IS NOT NULL) AS ci95_high"""
-)
+
+
+@query(mediation_sql(100))
 def mediation_bootstrap(spark, d):
     return resample.mediation_bootstrap(traces(spark, d), "correct", "words", "doc_id", reps=100, seed=11)
 
 
-@query()
+@query(mediation_sql(4000))
 def mediation_bootstrap_whole(spark, d):
     """All labelled documents and the operator's own number of replicates."""
     return resample.mediation_bootstrap(traces(spark, d), "correct", "words", "doc_id", seed=11)
