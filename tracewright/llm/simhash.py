@@ -416,12 +416,19 @@ def verified_links(met: DataFrame) -> DataFrame:
     return at_tile_pairs(met, ("n", "held"), work, "a long, b long")
 
 
+def sifted(rows: DataFrame, key: str, named: DataFrame, of: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among the keys `of` in named, and those whose key surely isn't, by a table of SLOTS bits that is broadcast."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    bits = named.withColumn("_slot", slot(of)).groupBy(F.expr("_slot DIV 64").alias("_at")).agg(F.expr("bit_or(shiftleft(1L, CAST(_slot % 64 AS INT)))").alias("_bits"))
+    met = rows.withColumn("_slot", slot(key)).withColumn("_at", F.expr("_slot DIV 64")).join(F.broadcast(bits), "_at", "left")
+    hit = F.coalesce(F.expr("shiftright(_bits, CAST(_slot % 64 AS INT)) % 2 <> 0"), F.lit(False))
+    return met.filter(hit).select(*rows.columns), met.filter(~hit).select(*rows.columns)
+
+
 def named_rows(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """The rows whose number `row` is in named, exchanging hardly more than these: a table of SLOTS bits sifts first."""
-    slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS))
-    bits = named.withColumn("_slot", slot).groupBy(F.expr("_slot DIV 64").alias("_at")).agg(F.expr("bit_or(shiftleft(1L, CAST(_slot % 64 AS INT)))").alias("_bits"))
-    sifted = rows.withColumn("_slot", slot).withColumn("_at", F.expr("_slot DIV 64")).join(F.broadcast(bits), "_at")
-    return sifted.filter("shiftright(_bits, CAST(_slot % 64 AS INT)) % 2 <> 0").drop("_at", "_bits", "_slot").join(named, "row", "left_semi")
+    """The rows whose number `row` is in named, exchanging hardly more than these."""
+    some, _ = sifted(rows, "row", named, "row")
+    return some.join(named, "row", "left_semi")
 
 
 def sets_of(rows: DataFrame, used: DataFrame, size: int = COPY) -> DataFrame:
@@ -483,7 +490,9 @@ def one_of_each(documents: DataFrame, size: int = COPY) -> DataFrame:
     kept = classes.join(plain.select("row", "doc_id"), "row").groupBy("class").agg(first.alias("row"))
     gone = stage(classes.join(kept, "row", "left_anti").select(F.col("row").alias("_gone")), "copy-gone")
     unstage(classes)
-    return rows.join(gone, F.col(number) == F.col("_gone"), "left_anti").select(*documents.columns)
+    # texts that surely stay are not exchanged
+    some, rest = sifted(rows, number, gone, "_gone")
+    return rest.unionByName(some.join(gone, F.col(number) == F.col("_gone"), "left_anti")).select(*documents.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
