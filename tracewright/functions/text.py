@@ -120,6 +120,7 @@ def metric_line(line: Column) -> Column:
     return bound(clean, lambda c: bound(found(c), lambda tokens: point(tokens, F.transform(tokens, name), first_match(c, _STEP).cast("bigint"))))
 
 
+# The worker prefixes below are fixed values, as the logs write them.
 def log_traces(log: Column) -> Column:
     """The traces of a whole log in file order, without colours and worker prefixes."""
     clean = F.regexp_replace(F.regexp_replace(log, r"\x1b\[\d+m", ""), r"\((?:main_task|WorkerDict) pid=\d+\)", "")
@@ -173,6 +174,7 @@ def one_think_block(trace: Column) -> Column:
     return right_stripped(F.concat(block, F.lit("\n"), stripped(outcome)))
 
 
+# The group tags below are fixed values, as the traces write them.
 def with_answer_container(text: Column) -> Column:
     """a group container is repeated as an answer at the end, unless there is an answer."""
     group = r"(?is)(<group_(?:consensus|solution)>.*?</group_(?:consensus|solution)>)"
@@ -192,6 +194,7 @@ def dialogue_answer(text: Column) -> Column:
     return stripped(first_match(text, r"(?is)<group_(?:consensus|solution)>(.*?)</group_(?:consensus|solution)>"))
 
 
+# The lead-in below is a fixed value, as answers are introduced.
 def monologue_answer(text: Column) -> Column:
     """F16: the first line behind the first reasoning block, without its prefix."""
     tail = stripped(F.regexp_extract(text, r"(?is)<think>.*?</think>\s*(.*)$", 1))
