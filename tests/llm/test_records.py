@@ -253,3 +253,33 @@ def test_audio_feature_by_brute_force(spark):
 
 def test_audio_of_an_empty_table(spark):
     assert audio.read_features(audio.store_pcm(audio.store_media(odd_documents(spark).limit(0)))).count() == 0
+
+
+def test_half_the_rate_keeps_low_tones_and_drops_high_ones():
+    t = np.arange(1600) / 8000
+    tone = lambda f: (12000 * np.sin(2 * np.pi * f * t)).astype(np.int16)
+    low = (audio.resample_half(tone(300)).astype(int) - 128) * 256
+    # a sample stands midway between the two that it replaces
+    want = 12000 * np.sin(2 * np.pi * 300 * (np.arange(800) * 2 + 0.5) / 8000)
+    assert len(low) == 800 and np.abs(low[10:-10] - want[10:-10]).max() < 600
+    assert np.abs((audio.resample_half(tone(3600)).astype(int) - 128) * 256)[10:-10].max() < 2000
+    assert [len(audio.resample_half(np.zeros(n, dtype=np.int16))) for n in (1, 2, 3)] == [1, 1, 2]
+    assert audio.resample_half(np.full(9, 32767, dtype=np.int16)).tolist() == [255] * 5 and audio.resample_half(np.full(4, -32768, dtype=np.int16)).tolist() == [0, 0]
+
+
+def test_stored_sound_is_read_without_a_resampler(spark, monkeypatch):
+    """The query's store holds every resampled sample; what the query reads from it follows from these bytes alone."""
+    docs = odd_documents(spark)
+    stored = audio.store_pcm(audio.store_media(docs), half=True)
+    features = sorted((r["doc_id"] or -1, r["feature"]) for r in audio.read_features(stored).collect())
+    found = []
+    for r in stored.collect():
+        size = int.from_bytes(r["pcm"][1:5], "little")
+        samples = [(b - 128) * 256 for b in r["pcm"][5:]]
+        assert len(samples) == size and r["pcm"][0] == 4
+        # one sample a byte at 8 kHz, or 385 a frame of 192 bytes
+        codec = r["feature"].split(";")[0]
+        assert size == -(-(r["payload_bytes"] // 192 * 385 if codec == "adpcm" else r["payload_bytes"]) // 2)
+        cross = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
+        found.append((r["doc_id"] or -1, f"{codec};n={size};peak={max(map(abs, samples))};energy={sum(x * x for x in samples) // size};crossings={cross};pcm={zlib.crc32(np.array(samples, dtype='<i2').tobytes()):08x}"))
+    assert features == sorted(found)

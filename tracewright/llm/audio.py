@@ -2,7 +2,8 @@
 
 A payload becomes a WAV file of 8 kHz codes: one byte is one mu-law or A-law sample, or two ADPCM
 nibbles. Files are stored in the shared folder as a Parquet column, read back, expanded by lookup
-tables (ADPCM: all blocks of a batch in step) and resampled to 16 kHz PCM, which is stored packed without loss.
+tables (ADPCM: all blocks of a batch in step) and resampled: to 4 kHz PCM of 8 bits (unsigned, as in a WAV file), which is stored as it is,
+or to 16 kHz PCM of 16 bits, stored packed without loss.
 
 Cases. Null text is empty; payloads are filled with blanks to a positive multiple of 192 bytes, so
 an empty one holds one frame; equal texts give equal files and features, whatever their ids; null
@@ -105,9 +106,34 @@ def resample_double(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
-#: How packed sound begins: flags and the number of samples.
+def _low_pass(half: int = 4) -> np.ndarray:
+    """A windowed sinc that keeps what half the rate can hold, centred between two samples."""
+    x = (np.arange(2 * half) - half + 0.5) / 2
+    taps = np.sinc(x) * np.hanning(2 * half + 2)[1:-1]
+    return (taps / taps.sum()).astype(np.float32)
+
+
+_LOW = _low_pass()
+
+
+def resample_half(pcm: np.ndarray) -> np.ndarray:
+    """Half the rate, as unsigned 8-bit PCM: one sample for every two (edges repeat, a last one alone counts as two)."""
+    half, n = len(_LOW) // 2, -(-len(pcm) // 2)
+    padded = np.concatenate([np.full(half - 1, pcm[0]), pcm, np.full(half + 1, pcm[-1])]).astype(np.float32)
+    out = np.zeros(n, dtype=np.float32)
+    for k, tap in enumerate(_LOW):
+        out += tap * padded[k : k + 2 * n : 2]
+    return np.clip(np.rint(out / 256) + 128, 0, 255).astype(np.uint8)
+
+
+#: How stored sound begins: flags and the number of samples. PLAIN: unsigned 8-bit PCM follows.
 _PACKED = struct.Struct("<BI")
-_PALETTE, _EXACT = 1, 2
+_PALETTE, _EXACT, _PLAIN = 1, 2, 4
+
+
+def plain(samples: np.ndarray) -> bytes:
+    """Unsigned 8-bit PCM as it is stored."""
+    return _PACKED.pack(_PLAIN, len(samples)) + samples.astype(np.uint8).tobytes()
 
 
 def levels_of(sounds: list[np.ndarray]) -> np.ndarray | None:
@@ -135,8 +161,10 @@ def packed(pcm: np.ndarray, values: np.ndarray | None = None) -> bytes:
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    """The samples of packed()."""
+    """The samples of packed(), or those of plain() with 16 bits."""
     flags, n = _PACKED.unpack_from(data)
+    if flags & _PLAIN:
+        return (np.frombuffer(data, dtype=np.uint8, count=n, offset=_PACKED.size).astype(np.int16) - 128) * 256
     half, at = -(-n // 2), _PACKED.size
     if flags & _PALETTE:
         many = data[at] + 1
@@ -243,8 +271,8 @@ def store_media(documents: DataFrame, name: str = "audio") -> DataFrame:
     return stage(texts.mapInArrow(build, "doc_id long, n_bytes long, media binary"), name, **PRESSED)
 
 
-def decode_media(media: DataFrame, keep_pcm: bool = True, pack: bool = False) -> DataFrame:
-    """Digests and features of stored files, and their PCM at 16 kHz (little-endian, 16 bit; or packed())."""
+def decode_media(media: DataFrame, keep_pcm: bool = True, pack: bool = False, half: bool = False) -> DataFrame:
+    """Digests and features of stored files, and their PCM at 16 kHz (little-endian, 16 bit; or packed()); half: their plain() PCM at 4 kHz."""
 
     def decode(batches):
         for batch in batches:
@@ -252,8 +280,9 @@ def decode_media(media: DataFrame, keep_pcm: bool = True, pack: bool = False) ->
                 stored = part.column(2).to_pylist()
                 files = [from_wav(w) for w in stored]
                 payloads = [payload_from(c, d) for c, d in files]
-                sounds = [resample_double(pcm) for pcm in expand(files)]
-                shared = {c: levels_of([s for (k, _), s in zip(files, sounds, strict=True) if k == c]) for c in CODECS} if pack else {}
+                stored_pcm = [plain(resample_half(pcm)) for pcm in expand(files)] if half else None
+                sounds = [unpacked(b) for b in stored_pcm] if half else [resample_double(pcm) for pcm in expand(files)]
+                shared = {c: levels_of([s for (k, _), s in zip(files, sounds, strict=True) if k == c]) for c in CODECS} if pack and not half else {}
                 yield record_batch(
                     DECODED,
                     part.column(0),
@@ -264,19 +293,19 @@ def decode_media(media: DataFrame, keep_pcm: bool = True, pack: bool = False) ->
                     [len(w) for w in stored],
                     [hashlib.sha256(w).hexdigest() for w in stored],
                     [feature_of(c, s) for (c, _), s in zip(files, sounds, strict=True)],
-                    [None if not keep_pcm else packed(s, shared[c]) if pack else s.tobytes() for (c, _), s in zip(files, sounds, strict=True)],
+                    stored_pcm if half and keep_pcm else [None if not keep_pcm else packed(s, shared[c]) if pack else s.tobytes() for (c, _), s in zip(files, sounds, strict=True)],
                 )
 
     return media.mapInArrow(decode, _DDL)
 
 
-def store_pcm(media: DataFrame, name: str = "audio-pcm") -> DataFrame:
-    """decode_media written to the shared folder, PCM (packed) and all."""
-    return stage(decode_media(media, pack=True), name, **PRESSED)
+def store_pcm(media: DataFrame, name: str = "audio-pcm", half: bool = False) -> DataFrame:
+    """decode_media written to the shared folder, PCM (packed; half: plain, at 4 kHz) and all."""
+    return stage(decode_media(media, pack=True, half=half), name, **PRESSED)
 
 
 def read_features(stored: DataFrame) -> DataFrame:
-    """The rows of store_pcm without their PCM; the features are those of the stored PCM, unpacked."""
+    """The rows of store_pcm without their PCM; the features are those of the stored PCM."""
 
     def read(batches):
         for batch in batches:
@@ -290,4 +319,4 @@ def read_features(stored: DataFrame) -> DataFrame:
 
 def op9_audio(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return read_features(store_pcm(store_media(docs)))
+    return read_features(store_pcm(store_media(docs), half=True))
