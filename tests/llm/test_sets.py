@@ -58,6 +58,65 @@ def test_shard_cases(spark):
     assert sharding.shard_documents(documents(spark, rows[:1])).first()["text_crc32"] == 0
 
 
+def test_shard_cells_hold_like_shares(spark):
+    random.seed(4)
+    sources = [None] * 5 + ["hot"] * 60 + [f"s{random.randrange(300):03}" for _ in range(200)]
+    rows = [(i, "x" * (i * i % 997), None, s) for i, s in enumerate(sources)]
+    bounds = sharding.cell_bounds(sharding._measured(documents(spark, rows)), ("size", "source", "lang"))
+    assert bounds["lang"] == []
+    for name, values in (("source", [s for s in sources if s]), ("size", [f"{len(t) + 8:020}" for _, t, _, _ in rows])):
+        expected = {}
+        for v in sorted(set(values)):
+            below = sum(x < v for x in values)
+            expected[(2 * below + values.count(v)) * 16 // (2 * len(values))] = v
+        assert bounds[name] == sorted(expected.items())
+
+
+def test_written_shards_carry_whole_rows_and_their_ranges(spark, tmp_path):
+    rows = [(None, None, None, None), (1, "", "en", "s"), (1, "", "en", "s"), (2, "x" * 40000, "de", None), (3, "y", "en", "t")]
+    docs = documents(spark, rows).withColumn("shard", F.lit("mine")).withColumn("Curve", F.lit(7)).withColumn("_rows", F.lit(1))
+    ranges = sharding.write_shards(docs, str(tmp_path / "out"), shards=2).collect()
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    for r in ranges:
+        held = [x for x in back.collect() if x["shard_"] == r["shard"]]
+        assert r["rows"] == len(held)
+        ids = [x["doc_id"] for x in held if x["doc_id"] is not None]
+        assert (r["min_doc_id"], r["max_doc_id"]) == (min(ids), max(ids))
+        sizes = [len(x["text"] or "") + 8 for x in held]
+        assert (r["min_size"], r["max_size"]) == (min(sizes), max(sizes))
+    empty = sharding.write_shards(docs.limit(0), str(tmp_path / "none"))
+    assert empty.count() == 0
+
+
+def test_filters_skip_shards(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def read(dimensions):
+        """Mean number of the 24 shards that a filter on one value, or one sixteenth of the range, must read."""
+        rows = sharding.shard_documents(docs, dimensions=dimensions).collect()
+        out = {}
+        for name in ("source", "lang"):
+            of = {}
+            for r in rows:
+                of.setdefault(r[name], set()).add(r["shard"])
+            out[name] = np.mean([len(s) for s in of.values()])
+        for name in ("size", "doc_id"):
+            values = sorted(r[name] for r in rows)
+            ends = {}
+            for r in rows:
+                low, high = ends.get(r["shard"], (r[name], r[name]))
+                ends[r["shard"]] = min(low, r[name]), max(high, r[name])
+            cuts = [values[k * (len(values) - 1) // 16] for k in range(17)]
+            out[name] = np.mean([sum(low <= b and high >= a for low, high in ends.values()) for a, b in zip(cuts, cuts[1:])])
+        return out
+
+    four = read(sharding.DIMENSIONS)
+    assert max(four.values()) <= 14, four
+    two = read(("size", "source"))
+    assert max(two["size"], two["source"]) <= 9, two
+
+
 # --- mixing ---------------------------------------------------------------------------------
 
 
