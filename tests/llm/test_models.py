@@ -192,7 +192,13 @@ def weighted(history, depth, context, tail):
     return 0.5 * kt + 0.5 * below
 
 
-def test_context_tree_against_the_definition():
+def tree_of(spark, grams, counts):
+    """string_probabilities with groups of two strings, so that contexts of two bytes lie in several."""
+    rows = spark.createDataFrame([(int(g), None, int(n)) for g, n in zip(grams, counts)], "gram long, word binary, n long")
+    return {r["gram"]: r["logp"] for r in context_tree.string_probabilities(rows, 2).collect()}
+
+
+def test_context_tree_against_the_definition(spark):
     """P(bit) is the ratio of the tree's probabilities with and without one more such bit."""
     train = [[b"abab", b"aab"], [b"ba"], [b"abba", b"b"]]
     grams, sizes = context_tree.strings_of(train)
@@ -200,17 +206,7 @@ def test_context_tree_against_the_definition():
     probe, _ = context_tree.strings_of([[b"abz"]])
     every = np.unique(np.concatenate([keys, probe]))
     n = np.array([dict(zip(keys.tolist(), counts.tolist())).get(k, 0) for k in every.tolist()])
-    import pandas as pd
-
-    tops = []
-    for pair, at in pd.Series(range(len(every))).groupby(every >> 32):
-        tops.append(context_tree.group_tops(pd.DataFrame({"gram": every[at], "n": n[at]})))
-    rows = pd.concat(tops).groupby(["c", "node"], as_index=False).sum().to_dict("records")
-    crown = context_tree.Crown([{**r, "c": int(r["c"]), "node": int(r["node"])} for r in rows])
-    got = {}
-    for pair in np.unique(every >> 32):
-        at = every >> 32 == pair
-        got |= dict(zip(every[at].tolist(), context_tree.probabilities(every[at], n[at], crown).tolist()))
+    got = tree_of(spark, every, n)
 
     def context(k):
         return bytes((k >> (8 * (context_tree.DEPTH + 1 - d))) & 255 for d in range(1, context_tree.DEPTH + 1))
@@ -267,17 +263,14 @@ def test_language_model_scores(spark):
     assert context_tree.score(docs.limit(0)).count() == 0
 
 
-def test_probabilities_of_a_context_sum_to_one():
-    import pandas as pd
-
+def test_probabilities_of_a_context_sum_to_one(spark):
     grams, _ = context_tree.strings_of([[b"hello", b"help", b"held"]] * 3)
     keys, counts = context_tree.tally(grams)
     context = keys[0] >> 8 << 8
-    every = np.unique(np.concatenate([keys[keys >> 32 == context >> 32], context + np.arange(256)]))
+    every = np.unique(np.concatenate([keys, context + np.arange(256)]))
     n = np.array([dict(zip(keys.tolist(), counts.tolist())).get(k, 0) for k in every.tolist()])
-    tops = [context_tree.group_tops(pd.DataFrame({"gram": keys[keys >> 32 == p], "n": counts[keys >> 32 == p]})) for p in np.unique(keys >> 32)]
-    crown = context_tree.Crown([{**r, "c": int(r["c"]), "node": int(r["node"])} for r in pd.concat(tops).groupby(["c", "node"], as_index=False).sum().to_dict("records")])
-    p = 10 ** context_tree.probabilities(every, n, crown)
+    got = tree_of(spark, every, n)
+    p = 10 ** np.array([got[k] for k in every.tolist()])
     assert p[every >> 8 << 8 == context].sum() == pytest.approx(1.0)
 
 

@@ -6,9 +6,10 @@ the product of its children's, so all depths are mixed. The tree is learned from
 training texts' (DEPTH + 1)-byte strings and then stands still: the probability of a byte is a
 function of those bytes, evaluated once for every distinct string in the table.
 
-Strings are grouped by (hashes of) the two bytes before the predicted one. A group computes its part of the tree
-below depth two; the tops (256 contexts at most) meet on the driver; a second look at the groups
-gives the strings' probabilities. Scoring looks strings and words up in tables of bounded size,
+Strings are grouped by (hashes of) the three bytes before the predicted one. A group computes its part of the tree
+from depth five to three; nodes of depth three are summed to depth two on the cluster, and these to depth
+one; depths one and zero (256 contexts and the root) meet on the driver. A second look at the groups, each
+beside the depth-two nodes of its strings, gives the strings' probabilities. Scoring looks strings and words up in tables of bounded size,
 broadcast, that hold the frequent ones; the rest are joined on the cluster.
 
 The text that is scored is the tokens of the base score: words in lower case (A-Z), a blank between
@@ -42,8 +43,9 @@ STRINGS, WORDS = 2 << 20, 1 << 18
 #: Distinct strings or words that a counting task holds before it hands them on.
 HELD = 2_000_000
 MODULUS = 7
-#: Strings that a group of the tree has, about; all with the same two last bytes are in one.
+#: Strings that a group of the tree has, about; all with the same TOP last bytes, 2^24 at most, are in one.
 GROUP = 40_000
+TOP = 3
 
 
 # --- texts and byte strings ----------------------------------------------------------------
@@ -184,7 +186,7 @@ class Level:
         return np.where(seen, self.share[at] * own + (1 - self.share[at]) * below, 0.25 + 0.5 * below)
 
 
-def levels(grams: np.ndarray, counts: np.ndarray, bit: int, top: int = 2) -> dict[int, Level]:
+def levels(grams: np.ndarray, counts: np.ndarray, bit: int, top: int = TOP) -> dict[int, Level]:
     """The nodes of depths top..DEPTH that decide the given bit (0: the highest)."""
     byte = grams & 255
     node = (1 << bit) | (byte >> (8 - bit))
@@ -205,15 +207,18 @@ def levels(grams: np.ndarray, counts: np.ndarray, bit: int, top: int = 2) -> dic
     return out
 
 
-def group_tops(frame: pd.DataFrame) -> pd.DataFrame:
-    """The depth-two nodes of a group: c (the last byte), node, counts and weighted probability."""
-    seen = frame["n"].to_numpy() > 0
-    grams, counts = frame["gram"].to_numpy()[seen], frame["n"].to_numpy()[seen]
-    parts = []
-    for bit in range(8) if len(grams) else ():
-        top = levels(grams, counts, bit)[2]
-        parts.append(pd.DataFrame({"c": (top.keys >> 16).astype(np.int32), "node": (top.keys & 255).astype(np.int32), "zeros": top.zeros, "ones": top.ones, "weighted": top.weighted}))
-    return pd.concat(parts) if parts else pd.DataFrame({"c": pd.Series(dtype="int32"), "node": pd.Series(dtype="int32"), **{k: pd.Series(dtype="float64") for k in ("zeros", "ones", "weighted")}})
+def group_nodes(frame: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of depth TOP of a group, those of strings without a count too: they have counts of 0 and weigh nothing."""
+    grams, counts = frame["gram"].to_numpy(), frame["n"].to_numpy()
+    tops = [levels(grams, counts, bit)[TOP] for bit in range(8)]
+    return pd.DataFrame({"key": np.concatenate([t.keys for t in tops]), **{k: np.concatenate([getattr(t, k) for t in tops]) for k in ("zeros", "ones", "weighted")}})
+
+
+def weigh(frames):
+    """The sums of depth-three nodes, as nodes of depth two."""
+    for frame in frames:
+        level = Level(*[frame[k].to_numpy() for k in ("pair", "zeros", "ones", "below")])
+        yield pd.DataFrame({"pair": level.keys, "zeros": level.zeros, "ones": level.ones, "weighted": level.weighted, "share": level.share})
 
 
 class Crown:
@@ -238,38 +243,57 @@ class Crown:
         return share * np.where(bit == 1, ones, 1 - ones) + (1 - share) * below
 
 
-def probabilities(grams: np.ndarray, counts: np.ndarray, crown: Crown) -> np.ndarray:
-    """log10 P(byte | context) of the strings of one group."""
+def probabilities(grams: np.ndarray, counts: np.ndarray, parents: pd.DataFrame, crown: Crown) -> np.ndarray:
+    """log10 P(byte | context) of the strings of one group; parents: for each of its nodes of depth TOP the one above."""
     out = np.zeros(len(grams))
-    seen = counts > 0
     byte, last = grams & 255, grams >> (8 * DEPTH)
+    parents = parents.sort_values("key")
+    keys, zeros, ones, share = (parents[k].to_numpy() for k in ("key", "zeros", "ones", "share"))
     for bit in range(8):
-        tree = levels(grams[seen], counts[seen], bit)
+        tree = levels(grams, counts, bit)
         node, one = (1 << bit) | (byte >> (8 - bit)), (byte >> (7 - bit)) & 1
         p = None
-        for depth in range(DEPTH, 1, -1):
-            p = tree[depth].mixed((grams >> (8 * (DEPTH - depth + 1)) << 8) | node, one, p)
+        for depth in range(DEPTH, TOP - 1, -1):
+            at = (grams >> (8 * (DEPTH - depth + 1)) << 8) | node
+            p = tree[depth].mixed(at, one, p)
+        up = np.searchsorted(keys, at)
+        own = (ones[up] + 0.5) / (zeros[up] + ones[up] + 1)
+        p = share[up] * np.where(one == 1, own, 1 - own) + (1 - share[up]) * p
         p = crown.mixed(last, node, one, p)
         out += np.log10(crown.mixed(256, node, one, p))
     return out
 
 
-def string_table(counts: DataFrame) -> DataFrame:
-    """gram, n and the log10 probability of its last byte after the others."""
+_NODE = "zeros double, ones double, weighted double"
+
+
+def string_probabilities(counts: DataFrame, size: int = GROUP) -> DataFrame:
+    """gram, n and the log10 probability (double) of its last byte after the others; groups hold about `size` strings."""
     grams = counts.filter("gram IS NOT NULL").select("gram", "n")
-    groups = min(1 << 16, 1 + grams.count() // GROUP)
-    pair = F.shiftright("gram", 8 * (DEPTH - 1))
-    grams = grams.withColumn("group", F.pmod(F.xxhash64(pair), F.lit(groups)))
+    groups = min(1 << 20, 1 + grams.count() // size)
+    group_of = lambda key: F.pmod(F.xxhash64(key), F.lit(groups))
+    grams = grams.withColumn("group", group_of(F.shiftright("gram", 8 * (DEPTH + 1 - TOP))))
     spark = counts.sparkSession
-    tops = grams.groupBy("group").applyInPandas(lambda key, frame: group_tops(frame), "c int, node int, zeros double, ones double, weighted double")
-    rows = tops.groupBy("c", "node").agg(*[F.sum(k).alias(k) for k in ("zeros", "ones", "weighted")]).collect()  # 256 x 255 at most
+    # without the oldest byte of context; the low byte is the node
+    pair = F.shiftleft(F.shiftright("key", 16), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255)))
+    nodes = stage(grams.groupBy("group").applyInPandas(lambda key, frame: group_nodes(frame), f"key long, {_NODE}").withColumn("pair", pair), "lm-nodes")
+    sums = nodes.groupBy("pair").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
+    twos = stage(sums.mapInPandas(weigh, f"pair long, {_NODE}, share double"), "lm-twos")
+    last, node = F.shiftright("pair", 16).cast("int"), F.col("pair").bitwiseAND(F.lit(255)).cast("int")
+    rows = twos.groupBy(last.alias("c"), node.alias("node")).agg(*[F.sum(k).alias(k) for k in ("zeros", "ones", "weighted")]).collect()  # 256 x 255 at most
     crown = spark.sparkContext.broadcast(Crown(rows))
+    parents = nodes.select("key", "pair").join(twos.drop("weighted"), "pair").select(group_of(F.shiftright("key", 8)).alias("group"), "key", "zeros", "ones", "share")
 
-    def evaluate(key, frame):
+    def evaluate(key, frame, above):
         grams, n = frame["gram"].to_numpy(), frame["n"].to_numpy()
-        return pd.DataFrame({"gram": grams, "n": n, "logp": probabilities(grams, n, crown.value).astype(np.float32)})
+        return pd.DataFrame({"gram": grams, "n": n, "logp": probabilities(grams, n, above, crown.value)})
+
+    return grams.groupBy("group").cogroup(parents.groupBy("group")).applyInPandas(evaluate, "gram long, n long, logp double")
 
-    return grams.groupBy("group").applyInPandas(evaluate, "gram long, n long, logp float")
+
+def string_table(counts: DataFrame) -> DataFrame:
+    """string_probabilities in single precision."""
+    return string_probabilities(counts).withColumn("logp", F.col("logp").cast("float"))
 
 
 # --- scores --------------------------------------------------------------------------------
