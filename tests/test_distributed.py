@@ -310,3 +310,24 @@ def test_six_adapters(spark):
     ifeval = readers.ifeval_pool(spark.createDataFrame([(1, "do")], "pid int, prompt string")).first()
     assert (ifeval["gradable"], ifeval["answer"], ifeval["options"]) == (False, "", [])
     assert readers.math_hard_pool(spark.createDataFrame([(1, "algebra", "p", "none")], "pid int, subtask string, problem string, solution string")).count() == 0
+
+
+# --- shares of squared values ---------------------------------------------------------------
+
+
+def test_variance_cutoff_cuts_groups_into_ranges(spark):
+    r = random.Random(9)
+    rows = [(r.choice(("hot", "hot", "hot", "a", None)), r.choice((None, 0.0, 3.0, -2.0, r.uniform(-5, 9)))) for _ in range(900)]
+    rows += [("none", None), ("zero", 0.0), ("zero", 0.0), ("one", 4.0), ("nan", float("nan")), ("nan", 1.0)]
+    for share in (0.5, 0.9, 0.99):
+        got = stats.variance_cutoff(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", share).collect()
+        want = {}
+        for g in {x for x, _ in rows}:
+            squares = [v * v for v in sorted((v for x, v in rows if x == g and v is not None), key=lambda v: (v == v, -v))]
+            total = sum(squares)
+            want[g] = 1 + sum(s < share * total for s in np.cumsum(squares)) if total > 0 else 1
+        assert {x["g"]: x["k"] for x in got} == want and len(got) == len(want)
+    whole = stats.variance_cutoff(spark.createDataFrame(rows[:900], "g string, v double"), [], "v", 0.9).collect()
+    squares = [v * v for v in sorted((v for _, v in rows[:900] if v is not None), reverse=True)]
+    assert [x["k"] for x in whole] == [1 + int((np.cumsum(squares) < 0.9 * sum(squares)).sum())]
+    assert stats.variance_cutoff(spark.createDataFrame([], "g string, v double"), ["g"], "v").count() == 0

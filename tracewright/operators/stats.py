@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import scratch
-from . import order_stats
+from . import order_stats, sampling
 
 Z = 1.96
 
@@ -155,12 +155,27 @@ def percentile_position(population: Column, anchor: Column) -> Column:
 
 
 def variance_cutoff(df: DataFrame, by: list[str], value: str, share: float = 0.99) -> DataFrame:
-    """How many of the largest squared values it takes to explain the share."""
-    s2 = F.col(value) * F.col(value)
-    whole = Window.partitionBy(*by)
-    run = whole.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
-    part = df.withColumn("_share", F.sum(s2).over(run) / F.sum(s2).over(whole))
-    return part.groupBy(*by).agg((F.count(F.when(F.col("_share") < share, 1)) + 1).alias("k"))
+    """How many of the largest squared values it takes to explain the share, values taken from the greatest down.
+
+    Rows are counted by group and value where they are read, the distinct values are dealt into ranges, and the ranges' sums give
+    each its offset: a group may span any number of tasks. Null values are left out; a group without a sum has 1, as one with NaN.
+    """
+    keys = [f"_g{i}" for i in range(len(by))]
+    v = F.col(value).cast("double")
+    counts = df.filter(v.isNotNull()).groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], v.alias("_v")).agg(F.count("*").alias("_n"))
+    placed = sampling.ranges(counts, [*keys, F.desc("_v")]).withColumn("_s", F.col("_v") * F.col("_v"))
+    mass, group, zero = F.sum(F.col("_s") * F.col("_n")), Window.partitionBy(*keys), F.lit(0.0)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of a group, as many rows as ranges
+    pieces = placed.groupBy("_range", *keys).agg(mass.alias("_m")).withColumn("_below", F.coalesce(F.sum("_m").over(earlier), zero)).withColumn("_all", F.sum("_m").over(group))
+    inside = Window.partitionBy("_range", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    run = placed.withColumn("_local", F.coalesce(mass.over(inside), zero))
+    left = F.lit(share) * F.col("_all") - F.col("_below") - F.col("_local")
+    # equal values are one row: how many of them stay below the share
+    taken = F.when(F.isnan("_all") | (left <= 0), 0).when(F.col("_s") == 0, F.col("_n")).otherwise(F.greatest(F.lit(0), F.least(F.col("_n"), F.ceil(left / F.col("_s")) - 1)))
+    below = order_stats._beside(run, pieces.drop("_m"), ["_range", *keys]).groupBy(*keys).agg(F.sum(taken).alias("_k"))
+    groups = df.groupBy(*by).agg(F.count("*").alias("_rows"))
+    named = below.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "_k")
+    return order_stats._beside(groups, named, by).select(*by, (F.coalesce("_k", F.lit(0)) + 1).alias("k"))
 
 
 def explained_variance(x: str, approx: str, mean: str) -> Column:
