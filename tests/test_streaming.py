@@ -108,6 +108,20 @@ def test_the_first_record_of_a_step_stays(spark, tmp_path):
     assert whole == {"x": 1.0, "y": 2.0}
 
 
+def test_first_records_need_no_python_and_no_memory(spark, tmp_path):
+    before = spark.conf.get(metrics.STATE_STORE)
+    stream = metrics.metric_stream(spark, str(tmp_path / "logs"))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "Pandas" not in plan and "Aggregate" in plan
+    (tmp_path / "logs" / "a.log").write_text("".join(f"step:{k % 700} - x:{k}\n" for k in range(1400)))
+    query = metrics.write_metrics(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    state = next(p.stateOperators[0] for p in query.recentProgress if p.stateOperators and p.stateOperators[0].numRowsUpdated)
+    assert state.numRowsTotal == 700 and any(name.startswith("rocksdb") for name in state.customMetrics)
+    assert sorted((r["step"], r["metrics"]["x"]) for r in readers.jsonl(spark, str(tmp_path / "out"), POINTS).collect()) == [(k, float(k)) for k in range(700)]
+    assert spark.conf.get(metrics.STATE_STORE) == before
+
+
 def test_merged_records_keep_the_first_of_each_metric(spark):
     rows = spark.createDataFrame([(1, 2, {"a": 2.0, "b": 5.0}), (1, 1, {"a": 1.0}), (2, 3, {"a": 3.0})], "step int, at int, metrics map<string,double>")
     assert {r["step"]: r["metrics"] for r in metrics.merged_by_step(rows, ["at"]).collect()} == {1: {"a": 1.0, "b": 5.0}, 2: {"a": 3.0}}
@@ -195,3 +209,38 @@ def test_points_beyond_the_room_are_not_fetched(spark, tmp_path):
     assert t.finish() and t.sent == 5 and t.dropped == 35
     assert [s for s, _ in slow.got] == [100, 101, 102, 103, 104]
     assert len({json.loads(line)["step"] for p in (tmp_path / "out").rglob("*.json") for line in p.read_text().splitlines()}) == 40
+
+
+class Brief:
+    def log(self, point, step):
+        time.sleep(0.001)
+        if step % 10 == 3:
+            raise ValueError(step)
+
+
+def test_trackers_by_task_get_all_points_through_little_room(spark, tmp_path):
+    logs, out, state, counts = (str(tmp_path / x) for x in ("logs", "out", "state", "counts"))
+
+    def run(stream):
+        tracker.write_tracked_by_task(stream, out, state, counts, Brief, capacity=3, patience=60.0, finish_seconds=60.0).awaitTermination()
+        return tuple(spark.read.schema(tracker.COUNTS).parquet(counts).agg(*[F.sum(c) for c in ("sent", "failed", "dropped", "waiting")]).first())
+
+    (tmp_path / "logs").mkdir()
+    for name in "ab":
+        (tmp_path / "logs" / f"{name}.log").write_text("".join(f"step:{k} - x:{name == 'b':d}\n" for k in range(200)))
+    assert run(metrics.metric_stream(spark, logs, first_only=False)) == (360, 40, 0, 0)
+    (tmp_path / "logs" / "c.log").write_text("step:3 - x:1\nstep:4 - x:1\n")
+    assert run(metrics.metric_stream(spark, logs, first_only=False)) == (361, 41, 0, 0)
+
+
+def test_patience_ends():
+    class Slow(Kept):
+        def log(self, point, step):
+            time.sleep(60)
+
+    t = tracker.Tracker(Slow, capacity=2)
+    began = time.monotonic()
+    assert t.offer([(k, {}) for k in range(50)], patience=0.5) <= 3 and time.monotonic() - began < 5
+    hanging = tracker.Tracker(lambda: time.sleep(600), start_seconds=0.3, capacity=2)
+    hanging.offer([(k, {}) for k in range(50)], patience=60)
+    assert time.monotonic() - began < 10 and hanging.counts() == {"sent": 0, "failed": 0, "dropped": 50, "waiting": 0}

@@ -3,14 +3,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import metric_line
 from .tail import LogTail
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 
 def ensure_folder(spark: SparkSession, path: str) -> None:
     """T-3: a stream may start before its log does."""
@@ -40,30 +44,36 @@ def metric_stream(spark: SparkSession, folder: str, first_only: bool = True) ->
 
 def first_in_stream(rows: DataFrame) -> DataFrame:
     """T-2 on a stream of file, at, step and metrics: of a step's records in one micro-batch the first by (file, at), and none in later
-    ones. A step's state is that it was seen; states are never dropped, as a step may be logged again at any time."""
+    ones. A step's state is its first record and the times of the first and last micro-batch that had it (equal: it is new); states
+    are never dropped, as a step may be logged again at any time. For output mode update (write_metrics, write_tracked)."""
+    timed = rows.withColumn("_now", F.current_timestamp())  # one time for a micro-batch
+    seen = timed.groupBy("step").agg(F.min_by("metrics", F.struct("file", "at")).alias("metrics"), F.min("_now").alias("_from"), F.max("_now").alias("_to"))
+    return seen.filter("_from = _to").select("step", "metrics")
+
 
-    def first(key, frames, state: GroupState):
-        best = None
-        for frame in frames:  # all are read, whether needed or not
-            if not state.exists:
-                r = min(zip(frame["file"], frame["at"], frame["packed"], strict=True))
-                best = r if best is None else min(best, r)
-        if best is not None:
-            state.update((True,))
-            import pandas as pd
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their states in RocksDB, as states of all steps need not fit into memory."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
 
-            yield pd.DataFrame({"step": [key[0]], "packed": [best[2]]})
 
-    packed = rows.select("step", "file", "at", F.to_json("metrics").alias("packed"))
-    found = packed.groupBy("step").applyInPandasWithState(first, "step bigint, packed string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
-    return found.select("step", F.from_json("packed", "map<string,double>").alias("metrics"))
+def started(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool):
+    """Starts a stream whose micro-batches `write` gets with their numbers; one that is repeated comes with the same number."""
+    writer = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+    with state_on_disk(stream.sparkSession):
+        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
 def write_metrics(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True):
-    """T-1: points appended as JSON lines; the checkpoint lets a restart go on where it stopped."""
+    """T-1: points as JSON lines, a folder batch=N for each micro-batch (a batch that is repeated replaces its own); the checkpoint
+    lets a restart go on where it stopped."""
     ensure_folder(stream.sparkSession, out)
-    writer = stream.writeStream.format("json").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
+    return started(stream, lambda batch, number: batch.write.mode("overwrite").json(f"{out}/batch={number}"), checkpoint, available_now)
 
 
 def first_by_step(rows: DataFrame, order: list[str]) -> DataFrame:

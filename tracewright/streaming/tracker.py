@@ -10,11 +10,15 @@ from __future__ import annotations
 
 import queue
 import threading
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
+from .metrics import started
+
 POINT = "step bigint, metrics map<string,double>"
+COUNTS = "sent bigint, failed bigint, dropped bigint, waiting bigint"
 
 
 class Tracker:
@@ -38,14 +42,19 @@ class Tracker:
         """How many points can be handed over now."""
         return 0 if self._given_up.is_set() else self._waiting.maxsize - self._waiting.qsize()
 
-    def offer(self, points, more: int = 0) -> int:
-        """Hands over (step, metrics) as far as there is room; `more` points that were not even read count as dropped."""
+    def offer(self, points, more: int = 0, patience: float = 0.0) -> int:
+        """Hands over (step, metrics) as far as there is room; `more` points that were not even read count as dropped. With patience it
+        waits for room, for so many seconds at most over all points, and no longer than the tracker's time to open."""
         taken = lost = 0
+        until = time.monotonic() + patience
         for point in points:
             try:
                 if self._given_up.is_set():
                     raise queue.Full
-                self._waiting.put_nowait(point)
+                try:
+                    self._waiting.put_nowait(point)
+                except queue.Full:
+                    self._waiting.put(point, timeout=max(0.0, until - time.monotonic()))
                 taken += 1
             except queue.Full:
                 lost += 1
@@ -122,5 +131,30 @@ def write_tracked(stream: DataFrame, out: str, checkpoint: str, tracker: Tracker
         points = [(r["step"], r["metrics"]) for r in written.orderBy("step").limit(room).collect()] if room and n else []
         tracker.offer(points, more=n - len(points))
 
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
+    return started(stream, write, checkpoint, available_now)
+
+
+def write_tracked_by_task(
+    stream: DataFrame, out: str, checkpoint: str, counts: str, open: Callable[[], object], start_seconds: float = 60.0, capacity: int = 10_000, patience: float = 0.0,
+    finish_seconds: float = 10.0, available_now: bool = True,
+):
+    """As write_tracked, for more points than the driver takes: every task that reads a micro-batch back opens a tracker of its own
+    and hands it all points of its part, as Tracker.offer does with that patience for a task. No point passes the driver. What became of them is
+    written to the folder `counts`, a row a task below batch=N. A task takes `patience` and `finish_seconds` longer at most."""
+
+    def serve(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        tracker, until = Tracker(open, start_seconds, capacity), time.monotonic() + patience
+        for batch in batches:
+            points = zip(batch.column(0).to_pylist(), (dict(m or ()) for m in batch.column(1).to_pylist()), strict=True)
+            tracker.offer(points, patience=max(0.0, until - time.monotonic()))
+        tracker.finish(finish_seconds)
+        yield pa.RecordBatch.from_pylist([tracker.counts()])
+
+    def write(batch: DataFrame, number: int) -> None:
+        folder = f"{out}/batch={number}"
+        batch.write.mode("overwrite").json(folder)
+        batch.sparkSession.read.schema(POINT).json(folder).mapInArrow(serve, COUNTS).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+
+    return started(stream, write, checkpoint, available_now)
