@@ -298,3 +298,11 @@ def test_records_keep_their_order_in_their_file(spark, tmp_path):
     rows = readers.in_file_order(spark, str(tmp_path), "x string").orderBy("file", "line").collect()
     assert [r["x"] for r in rows] == [f"{n}{k}" for n in "ab" for k in range(500)]
     assert [r["line"] for r in rows] == [*range(500)] * 2
+
+
+def test_argmax_of_equal_scores_is_the_least(spark):
+    rows = [("a", 7, 2.0), ("a", 3, 2.0), ("a", 9, 2.0), ("a", None, 5.0), ("a", 1, None), ("b", None, 1.0), ("c", 4, float("nan")), ("c", 5, 1.0)]
+    df = spark.createDataFrame(rows, "k string, what int, score double")
+    for some in (df.repartition(1), df.repartition(5), df.orderBy("what").coalesce(1), df.orderBy(F.desc("what")).coalesce(1)):
+        got = {r["k"]: (r["what"], r["score"]) for r in corpus.argmax(some, ["k"], "what", "score").collect()}
+        assert got["a"] == (3, 5.0) and got["b"] == (None, 1.0) and got["c"][0] == 4

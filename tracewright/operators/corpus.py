@@ -106,8 +106,9 @@ def layer_rank(df: DataFrame, layer: str, value: str) -> DataFrame:
 
 
 def argmax(df: DataFrame, by: list[str], what: str, score: str) -> DataFrame:
-    """O17"""
-    return df.groupBy(*by).agg(F.max_by(what, score).alias(what), F.max(score).alias(score))
+    """O17; of equal scores the least `what` counts, and none that is null."""
+    least = df.groupBy(*by, score).agg(F.min(what).alias(what))
+    return least.groupBy(*by).agg(F.max_by(what, F.when(F.col(what).isNotNull(), F.col(score))).alias(what), F.max(score).alias(score))
 
 
 def alignment(basis: Column, direction: Column) -> Column:
