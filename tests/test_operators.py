@@ -306,3 +306,20 @@ def test_argmax_of_equal_scores_is_the_least(spark):
     for some in (df.repartition(1), df.repartition(5), df.orderBy("what").coalesce(1), df.orderBy(F.desc("what")).coalesce(1)):
         got = {r["k"]: (r["what"], r["score"]) for r in corpus.argmax(some, ["k"], "what", "score").collect()}
         assert got["a"] == (3, 5.0) and got["b"] == (None, 1.0) and got["c"][0] == 4
+
+
+def test_layers_of_equal_values_tie_in_any_order(spark):
+    import random
+
+    from tracewright.operators import reports
+
+    r = random.Random(2)
+    values = [r.randrange(11) / 100 * r.randrange(1, 51) for _ in range(300)]
+    rows = [(layer, v) for layer in range(12) for v in r.sample(values, len(values))]
+    df = spark.createDataFrame([*rows, (90, 1e25), (90, 1e25), (91, 1e-12), (92, float("nan")), (93, None)], "layer int, v double").repartition(7)
+    got = {x["layer"]: (x["mean_change"], x["place"]) for x in corpus.layer_rank(df, "layer", "v").collect()}
+    assert len({got[k][0] for k in range(12)}) == 1 and got[0][0] == pytest.approx(sum(values) / 300)
+    assert [got[k][1] for k in (92, 90, *range(12), 91, 93)] == list(range(1, 17))
+    assert got[90][0] == 1e25 and got[91][0] == 1e-12 and got[93][0] is None
+    top = reports.largest_shifts(df.filter("layer < 90"), "layer", "v", 5)
+    assert [x["layer"] for x in top.orderBy("place").collect()] == [0, 1, 2, 3, 4]

@@ -78,7 +78,7 @@ def anchor_and_top(scored: DataFrame, key: str, score: str, anchor, n: int) -> D
 
 def largest_shifts(df: DataFrame, layer: str, value: str, n: int = 6) -> DataFrame:
     """The n layers with the largest absolute mean shift, with their place. The window runs over n rows."""
-    means = df.groupBy(layer).agg(F.avg(value).alias("shift"))
+    means = df.groupBy(layer).agg(stats.steady_mean(F.col(value)).alias("shift"))
     top = means.orderBy(F.desc(F.abs("shift")), layer).limit(n)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.abs("shift")), layer)))
 

@@ -16,6 +16,15 @@ def rate(flag: Column) -> Column:
     return F.avg(flag.cast("int"))
 
 
+def steady_mean(value: Column) -> Column:
+    """The mean as it is in whatever order rows come, so that groups of equal values tie: values are summed exactly, to 18 places. Where
+    these can't hold them (values of 1e20 or more or not finite, or none as large as 1e-3) the plain mean."""
+    v = value.cast("double")
+    places = v.try_cast("decimal(38,18)")
+    held = (F.count(places) == F.count(v)) & (F.max(F.abs(v)) >= 1e-3)
+    return F.coalesce(F.when(held, F.try_sum(places).cast("double") / F.count(v)), F.avg(v))
+
+
 def two_level_mean(df: DataFrame, cell: list[str], unit: str, value: Column) -> DataFrame:
     """A1: the mean over units of each unit's mean."""
     return df.groupBy(*cell, unit).agg(F.avg(value).alias("unit_mean")).groupBy(*cell).agg(F.avg("unit_mean").alias("mean"), F.count("*").alias("units"))
