@@ -201,6 +201,22 @@ def test_classes_in_several_arrays(spark):
     assert tuple(one) == pytest.approx(tuple(parted))
 
 
+def test_draws_are_md5_and_no_rows(spark):
+    import hashlib
+
+    import numpy as np
+
+    b, i = (np.array(x) for x in zip(*[(r, s) for r in (0, 9, 10, 3999) for s in (0, 9, 10, 99_999, 1_234_567, 10**10)], strict=True))
+    for seed in (11, "7l", "é", "s" * 30, "s" * 60):
+        assert resample.slot_numbers(seed, b, i).tolist() == [int(hashlib.md5(f"{seed}|{x}|{y}".encode()).hexdigest()[:8], 16) for x, y in zip(b, i, strict=True)]
+    units = spark.range(900).select("id", F.lit(0).alias("g"), F.lit(1.0).alias("v"))
+    drawn = resample._drawn(spark, units, "id", 3000, 1, 900, 2_000)  # 2.7 M draws
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "md5" not in plan
+    rows = drawn.groupBy("b").agg(F.sum("c").alias("c"), F.count("*").alias("parts")).collect()
+    assert len(rows) == 3000 and all(r["c"] == 900 for r in rows) and sum(r["parts"] for r in rows) < 3010
+
+
 # --- chunks, file order, early stop ---------------------------------------------------------
 
 
