@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,10 +101,11 @@ def activation_summary(df: DataFrame, index: str, value: str) -> DataFrame:
     return df.groupBy(index).agg(F.max(value).alias("max_act"), F.avg((F.col(value) > 0).cast("int")).alias("frac_nonzero"))
 
 
-def layer_rank(df: DataFrame, layer: str, value: str) -> DataFrame:
-    """Layers by falling mean change, ties by layer. The window runs over the layers' means, not over rows."""
-    means = df.groupBy(layer).agg(stats.steady_mean(F.col(value)).alias("mean_change"))
-    return means.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean_change"), layer)))
+def layer_rank(df: DataFrame, layer: str, value: str, shown: Callable[[Column], Column] = stats.steady_mean) -> DataFrame:
+    """Layers by falling mean change, ties by layer. Places go by steady means, also where `shown` makes the mean that is
+    returned. The window runs over the layers' means, not over rows."""
+    means = df.groupBy(layer).agg(shown(F.col(value)).alias("mean_change"), stats.steady_mean(F.col(value)).alias("_steady"))
+    return means.withColumn("place", F.row_number().over(Window.orderBy(F.desc("_steady"), layer))).drop("_steady")
 
 
 def argmax(df: DataFrame, by: list[str], what: str, score: str) -> DataFrame:
